@@ -111,12 +111,12 @@ def top_values(df: DataFrame, names: list[str], k: int) -> DataFrame:
         shown = counted.selectExpr("column", f"{as_text('value', data_type)} as value", "cnt")
         best = first_k(shown, "column", "cnt desc, value", k)
         if isinstance(data_type, T.StringType):
-            best = _whole_texts(df, cols, best)
+            best = whole_texts(df, cols, best)
         parts.append(best.selectExpr("column", "cast(rank as bigint) as rank", "value", "cnt"))
     return union_all(parts)
 
 
-def _whole_texts(df: DataFrame, cols: list[str], best: DataFrame) -> DataFrame:
+def whole_texts(df: DataFrame, cols: list[str], best: DataFrame) -> DataFrame:
     """Replace the key of a long text by the text; at most k rows per column."""
     too_long = f"length(value) > {KEY_PREFIX_CHARS}"
     wanted = best.where(too_long).selectExpr("column", "value as key")
