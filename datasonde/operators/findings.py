@@ -334,8 +334,15 @@ RECOMMENDATIONS: tuple[Rule, ...] = (
 
 def rec_clean(p: Profile) -> DataFrame:
     """One row when no recommendation applies."""
-    fired = union_all(rule(p) for rule in RECOMMENDATIONS).selectExpr("count(*) as n").where("n = 0")
-    return _ranked(fired, "clean", "n", "'recommendations'", "n", a="null")
+    return _recommended(p).where("rule = 'clean'")
+
+
+def _recommended(p: Profile) -> DataFrame:
+    """Every recommendation that applies, else the 'clean' row."""
+    clean = _ranked(p.shape, "clean", "n_rows", "'recommendations'", "0", a="null")
+    rows = union_all([*[rule(p) for rule in RECOMMENDATIONS], clean])  # a few rows per rule
+    fired = rows.selectExpr("*", "count_if(rule != 'clean') over (partition by 0) as fired")
+    return fired.where("rule != 'clean' or fired = 0").drop("fired")
 
 
 def insights(df: DataFrame) -> DataFrame:
@@ -345,6 +352,4 @@ def insights(df: DataFrame) -> DataFrame:
 
 def recommendations(df: DataFrame) -> DataFrame:
     """All that apply, or the single 'clean' row."""
-    p = Profile(df)
-    found = union_all(rule(p) for rule in RECOMMENDATIONS)
-    return found.unionByName(rec_clean(p))
+    return _recommended(Profile(df))
