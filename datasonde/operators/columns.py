@@ -97,25 +97,43 @@ def column_types(df: DataFrame) -> DataFrame:
     )
 
 
+def numeric_cells(df: DataFrame, infos: list[ColumnInfo]) -> DataFrame:
+    """(position, v double): one row per cell of the numeric columns.
+
+    Heavy aggregates run over cells grouped by column: the generated code stays the
+    same size for any number of columns, and each task still emits a row per column.
+    """
+    if not infos:
+        df = no_columns(df, T.DoubleType())
+        infos = column_infos(df)
+    numbers = df.selectExpr(*[f"{c.number} as `{c.position}`" for c in infos])
+    cells = numbers.unpivot([], [f"`{c.position}`" for c in infos], "position", "v")
+    return cells.selectExpr("cast(position as int) as position", "v")
+
+
+def named(df: DataFrame, by_position: DataFrame) -> DataFrame:
+    """Put the column name next to its position."""
+    listed = f"array({', '.join(text_literal(n) for n in df.columns)})"
+    return by_position.selectExpr("position", f"element_at({listed}, position + 1) as column", "* except (position)")
+
+
 def numeric_moments(df: DataFrame, max_columns: int = MAX_PROFILE_COLUMNS) -> DataFrame:
     """(position, column, n, mean, std, min, max, skew, kurtosis, n_zeros, n_negative)."""
-    return per_column(
-        df,
-        profiled(df, NUMERIC, max_columns=max_columns),
-        lambda c: {
-            "n": f"count({c.value})",
-            "mean": finite(f"avg({c.number})"),
-            "std": finite(f"stddev_samp({c.number})"),
-            "min": finite(f"cast(min({c.value}) as double)"),
-            "max": finite(f"cast(max({c.value}) as double)"),
-            "min_text": as_text(f"min({c.value})", c.data_type),
-            "max_text": as_text(f"max({c.value})", c.data_type),
-            "skew": finite(sample_skewness(c.number)),
-            "kurtosis": finite(sample_kurtosis(c.number)),
-            "n_zeros": f"count_if({c.value} = 0)",
-            "n_negative": f"count_if({c.value} < 0)",
-        },
+    cells = numeric_cells(df, profiled(df, NUMERIC, max_columns=max_columns))
+    measured = grouped(
+        cells,
+        ["position"],
+        n="count(v)",
+        mean=finite("avg(v)"),
+        std=finite("stddev_samp(v)"),
+        min=finite("min(v)"),
+        max=finite("max(v)"),
+        skew=finite(sample_skewness("v")),
+        kurtosis=finite(sample_kurtosis("v")),
+        n_zeros="count_if(v = 0)",
+        n_negative="count_if(v < 0)",
     )
+    return named(df, measured)
 
 
 def numeric_buckets(df: DataFrame, names: list[str]) -> RangeBuckets:
@@ -148,10 +166,14 @@ def approximate_quantiles(
     )
 
 
-def approximate_distinct(df: DataFrame, names: list[str], rsd: float = 0.02) -> DataFrame:
-    """(position, column, n_unique) from a mergeable sketch."""
+def approximate_distinct(df: DataFrame, names: list[str], rsd: float = 0.05) -> DataFrame:
+    """(position, column, n_unique) from a mergeable sketch of the values' hashes."""
     infos = column_infos(df, names=names)
-    return per_column(df, infos, lambda c: {"n_unique": f"approx_count_distinct({c.value}, {rsd!r}D)"})
+    hashes = df.selectExpr(
+        *[f"if(({c.value}) is null, null, xxhash64({c.value})) as `{c.position}`" for c in infos]
+    ).unpivot([], [f"`{c.position}`" for c in infos], "position", "h")
+    cells = hashes.selectExpr("cast(position as int) as position", "h")
+    return named(df, grouped(cells, ["position"], n_unique=f"approx_count_distinct(h, {rsd!r}D)"))
 
 
 def judged_values(df: DataFrame, names: list[str], buckets: RangeBuckets | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ from datasonde.functions.kinds import (
     text_literal,
 )
 from datasonde.functions.values import as_text, grouped, number_literal, rounded, union_all
-from datasonde.operators.columns import missing_counts, per_column
+from datasonde.operators.columns import approximate_distinct, missing_counts, per_column
 from datasonde.operators.frequency import distinct_counts
 from datasonde.operators.order_stats import average_ranks, plan_buckets
 
@@ -53,8 +53,8 @@ def low_cardinality_counts(
     infos = column_infos(df, *kinds)
     if not infos:
         return []
-    sketch = per_column(df, infos, lambda c: {"n": f"approx_count_distinct({c.value})"})
-    near = [r["column"] for r in sketch.orderBy("position").collect() if r["n"] <= 4 * at_most + 20]
+    sketch = approximate_distinct(df, [c.name for c in infos]).orderBy("position").collect()  # one row per column
+    near = [r["column"] for r in sketch if r["n_unique"] <= 4 * at_most + 20]
     if not near:
         return []
     exact = {r["column"]: r["n_unique"] for r in distinct_counts(df, near).collect()}  # one row per column
