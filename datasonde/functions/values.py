@@ -19,11 +19,12 @@ from datasonde.functions.fixed_values import (
     ISO_PATTERN,
     NUMBER_PATTERN,
     SENTINEL_STRINGS,
+    WHITESPACE,
 )
 from datasonde.functions.kinds import BOOLEAN, DATETIME, column_infos, is_floating, kind_of, quoted, text_literal
 
-# Texts longer than this are compared through a SHA-256 digest (see text_key).
-KEY_PREFIX_CHARS = 128
+# Texts of more bytes than this are compared through a SHA-256 digest (see text_key).
+KEY_BYTES = 128
 
 
 def normalize_missing(df: DataFrame) -> DataFrame:
@@ -63,8 +64,12 @@ def percent(part: str, whole: str, digits: int = 2) -> str:
 
 
 def strip(sql: str) -> str:
-    """Remove Unicode whitespace at both ends (``trim`` only removes spaces)."""
-    return rf"regexp_replace({sql}, r'(?U)^\s+|\s+$', '')"
+    """Remove Unicode whitespace at both ends (plain ``trim`` only removes spaces).
+
+    Only the ends of a text are looked at, however long it is.
+    """
+    listed = "".join(f"\\u{ord(c):04x}" for c in WHITESPACE)
+    return f"trim(both '{listed}' from {sql})"
 
 
 def as_text(sql: str, data_type: T.DataType) -> str:
@@ -96,16 +101,25 @@ def text_key(sql: str) -> str:
     followed by the SHA-256 of the whole text, so a shuffle by value moves a
     bounded number of bytes per text however long the documents are.
     """
-    digest = f"concat(left({sql}, {KEY_PREFIX_CHARS}), sha2({sql}, 256))"
-    return f"if(length({sql}) <= {KEY_PREFIX_CHARS}, {sql}, {digest})"
+    digest = f"concat(left({sql}, {KEY_BYTES}), sha2({sql}, 256))"
+    return f"if({is_long(sql)}, {digest}, {sql})"
+
+
+def is_long(sql: str) -> str:
+    """Whether a text, or equally its key, is longer than the texts standing for themselves."""
+    return f"octet_length({sql}) > {KEY_BYTES}"
 
 
 def looks_numeric(stripped: str) -> str:
-    return f"replace({stripped}, ',', '') rlike r'{NUMBER_PATTERN}'"
+    # the first character settles it for most texts, without reading the rest
+    return f"({stripped} rlike r'^[+\\-.,\\diI]' and replace({stripped}, ',', '') rlike r'{NUMBER_PATTERN}')"
 
 
 def is_sentinel(stripped: str) -> str:
-    return f"lower({stripped}) in ({', '.join(text_literal(s) for s in SENTINEL_STRINGS)})"
+    # lowercasing shrinks a character to no less than a third of its bytes
+    most = 3 * max(len(s) for s in SENTINEL_STRINGS)
+    listed = ", ".join(text_literal(s) for s in SENTINEL_STRINGS)
+    return f"(octet_length({stripped}) <= {most} and lower({stripped}) in ({listed}))"
 
 
 def iso_timestamp(text: str) -> str:
@@ -135,4 +149,4 @@ def looks_like_date(stripped: str) -> str:
         f"({stripped} rlike r'{shape}' and try_to_timestamp({stripped}, '{layout}') is not null)"
         for layout, shape in DATE_FORMATS
     ]
-    return f"(length({stripped}) between 4 and 40 and ({' or '.join(tests)}))"
+    return f"(octet_length({stripped}) between 4 and 40 and ({' or '.join(tests)}))"

@@ -19,7 +19,7 @@ from datasonde.functions.kinds import (
 )
 from datasonde.functions.values import as_text, grouped, number_literal, percent, rounded, union_all
 from datasonde.operators.columns import missing_counts, numeric_buckets, per_column
-from datasonde.operators.frequency import numeric_frequencies, top_values
+from datasonde.operators.frequency import named, numeric_frequencies, top_values
 from datasonde.operators.order_stats import QUARTILES, RangeBuckets, quantiles, with_fences
 from datasonde.operators.relations import category_effects, low_cardinality_counts, pearson_matrix, top_pearson
 
@@ -120,19 +120,20 @@ def density(df: DataFrame, points: int = GRID_POINTS) -> DataFrame:
     if not facts:
         return df.sparkSession.createDataFrame([], "column string, point int, x double, density double")
     known = df.sparkSession.createDataFrame(
-        [(f["column"], f["low"], f["high"], f["std"] * f["n"] ** -0.2, f["n"]) for f in facts],
-        "column string, lo double, hi double, h double, n bigint",
+        [(f["position"], f["low"], f["high"], f["std"] * f["n"] ** -0.2, f["n"]) for f in facts],
+        "position int, lo double, hi double, h double, n bigint",
     ).withColumn("step", F.expr(f"(hi - lo) / {points - 1}"))
-    values = numeric_frequencies(df, [f["column"] for f in facts]).join(F.broadcast(known), "column")  # 12 rows
+    values = numeric_frequencies(df, [f["column"] for f in facts]).join(F.broadcast(known), "position")  # 12 rows
     first = f"greatest(0, cast(ceil((value - {KERNEL_REACH} * h - lo) / step) as int))"
     last = f"least({points - 1}, cast(floor((value + {KERNEL_REACH} * h - lo) / step) as int))"
-    reached = values.selectExpr("column", "value", "cnt", "lo", "step", "h", f"explode(sequence({first}, {last})) as point")
+    reached = values.selectExpr("position", "value", "cnt", "lo", "step", "h", f"explode(sequence({first}, {last})) as point")
     z = "((lo + point * step - value) / h)"
-    summed = grouped(reached, ["column", "point"], s=f"sum(cnt * exp(-0.5D * {z} * {z}))")
-    spine = known.selectExpr("column", "lo", "step", "h", "n", f"explode(sequence(0, {points - 1})) as point")
-    return spine.join(summed, ["column", "point"], "left").selectExpr(
-        "column", "point", "lo + point * step as x", "coalesce(s, 0D) / (n * h * sqrt(2 * pi())) as density"
+    summed = grouped(reached, ["position", "point"], s=f"sum(cnt * exp(-0.5D * {z} * {z}))")
+    spine = known.selectExpr("position", "lo", "step", "h", "n", f"explode(sequence(0, {points - 1})) as point")
+    drawn = spine.join(summed, ["position", "point"], "left").selectExpr(
+        "position", "point", "lo + point * step as x", "coalesce(s, 0D) / (n * h * sqrt(2 * pi())) as density"
     )
+    return named(df, drawn).drop("position")
 
 
 def box_stats(freq: DataFrame, keys: list[str], buckets: RangeBuckets) -> DataFrame:
@@ -161,7 +162,8 @@ def box_stats(freq: DataFrame, keys: list[str], buckets: RangeBuckets) -> DataFr
 def chart_box(df: DataFrame) -> DataFrame:
     """Box statistics of the first twelve numeric columns that vary."""
     names = [f["column"] for f in varying_columns(df, MAX_NUMERIC_CHARTS)]
-    return box_stats(numeric_frequencies(df, names), ["column"], numeric_buckets(df, names))
+    stats = box_stats(numeric_frequencies(df, names), ["position"], numeric_buckets(df, names))
+    return named(df, stats).drop("position")
 
 
 def chart_categories(df: DataFrame) -> DataFrame:
@@ -172,8 +174,8 @@ def chart_categories(df: DataFrame) -> DataFrame:
     near = low_cardinality_counts(df, (BOOLEAN, CATEGORICAL), 2, LOW_CARDINALITY)
     names = [n for n, _ in near][:MAX_CATEGORY_CHARTS]
     bars = top_values(df, names, MAX_CATEGORY_BARS)
-    rows = missing_counts(df, column_infos(df, names=names)).select("column", "n_rows")
-    return bars.join(rows, "column").selectExpr(
+    rows = missing_counts(df, column_infos(df, names=names)).select("position", "n_rows")
+    return bars.join(rows, "position").selectExpr(
         "column", "rank", "value", "cnt", f"{rounded('cnt / n_rows', 4)} as share"
     )
 

@@ -22,6 +22,7 @@ from datasonde.functions.values import as_text, datetime_text, finite, grouped,
 from datasonde.operators.frequency import (
     first_k,
     modes,
+    named,
     no_columns,
     numeric_frequencies,
     top_values,
@@ -111,12 +112,6 @@ def numeric_cells(df: DataFrame, infos: list[ColumnInfo]) -> DataFrame:
     return cells.selectExpr("cast(position as int) as position", "v")
 
 
-def named(df: DataFrame, by_position: DataFrame) -> DataFrame:
-    """Put the column name next to its position."""
-    listed = f"array({', '.join(text_literal(n) for n in df.columns)})"
-    return by_position.selectExpr("position", f"element_at({listed}, position + 1) as column", "* except (position)")
-
-
 def numeric_moments(df: DataFrame, max_columns: int = MAX_PROFILE_COLUMNS) -> DataFrame:
     """(position, column, n, mean, std, min, max, skew, kurtosis, n_zeros, n_negative)."""
     cells = numeric_cells(df, profiled(df, NUMERIC, max_columns=max_columns))
@@ -147,9 +142,9 @@ def numeric_buckets(df: DataFrame, names: list[str]) -> RangeBuckets:
 def column_quantiles(
     df: DataFrame, names: list[str], probs: dict[str, float] = PROFILE_QUANTILES, buckets: RangeBuckets | None = None
 ) -> DataFrame:
-    """(column, n, quantiles…), exact, linear between neighbours."""
+    """(position, column, n, quantiles…), exact, linear between neighbours."""
     buckets = buckets or numeric_buckets(df, names)
-    return quantiles(numeric_frequencies(df, names), ["column"], probs, buckets)
+    return named(df, quantiles(numeric_frequencies(df, names), ["position"], probs, buckets))
 
 
 def approximate_quantiles(
@@ -177,38 +172,38 @@ def approximate_distinct(df: DataFrame, names: list[str], rsd: float = 0.05) ->
 
 
 def judged_values(df: DataFrame, names: list[str], buckets: RangeBuckets | None = None) -> DataFrame:
-    """(column, value, cnt, n, quartiles, fences, out): the frequency table against its fences."""
+    """(position, value, cnt, n, quartiles, fences, out): the frequency table against its fences."""
     buckets = buckets or numeric_buckets(df, names)
     freq = numeric_frequencies(df, names)
-    fences = with_fences(quantiles(freq, ["column"], QUARTILES, buckets))
-    return freq.join(fences, "column").selectExpr("*", f"{IS_OUTLIER} as out")
+    fences = with_fences(quantiles(freq, ["position"], QUARTILES, buckets))
+    return freq.join(fences, "position").selectExpr("*", f"{IS_OUTLIER} as out")
 
 
 def outlier_stats(df: DataFrame, names: list[str], buckets: RangeBuckets | None = None) -> DataFrame:
-    """(column, n, lower, upper, median, n_outliers, pct_outliers) for every numeric column."""
+    """(position, column, n, lower, upper, median, n_outliers, pct_outliers) per numeric column."""
     counted = grouped(
         judged_values(df, names, buckets),
-        ["column"],
+        ["position"],
         n="max(n)",
         lower="max(lower)",
         upper="max(upper)",
         median="max(median)",
         n_outliers="sum(if(out, cnt, 0))",
     )
-    return counted.selectExpr("*", f"{percent('n_outliers', 'n')} as pct_outliers")
+    return named(df, counted.selectExpr("*", f"{percent('n_outliers', 'n')} as pct_outliers"))
 
 
 def outlier_examples(df: DataFrame, names: list[str], k: int = 3, buckets: RangeBuckets | None = None) -> DataFrame:
-    """(column, rank, value): outliers farthest from the median, repeats included."""
+    """(position, column, rank, value): outliers farthest from the median, repeats included."""
     far = judged_values(df, names, buckets).where("out").selectExpr(
-        "column", "value", "cnt", "abs(value - median) as distance"
+        "position", "value", "cnt", "abs(value - median) as distance"
     )
-    distinct = first_k(far, "column", "distance desc, value", k).drop("rank")
+    distinct = first_k(far, "position", "distance desc, value", k).drop("rank")
     repeated = distinct.selectExpr(
-        "column", "value", "distance", f"explode(sequence(1, cast(least(cnt, {k}) as int))) as copy"
+        "position", "value", "distance", f"explode(sequence(1, cast(least(cnt, {k}) as int))) as copy"
     )
-    ranked = first_k(repeated, "column", "distance desc, value, copy", k)
-    return ranked.selectExpr("column", "cast(rank as bigint) as rank", f"{rounded('value', 6)} as value")
+    ranked = first_k(repeated, "position", "distance desc, value, copy", k)
+    return named(df, ranked.selectExpr("position", "cast(rank as bigint) as rank", f"{rounded('value', 6)} as value"))
 
 
 def outlier_columns(df: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -217,13 +212,13 @@ def outlier_columns(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     names = [c.name for c in infos]
     buckets = numeric_buckets(df, names)
     stats = outlier_stats(df, names, buckets).where("n_outliers > 0")
-    rows = missing_counts(df, infos).select("column", "position", "n_rows")
+    rows = missing_counts(df, infos).select("position", "n_rows")
     shown = grouped(  # three rows per column
         outlier_examples(df, names, 3, buckets),
-        ["column"],
+        ["position"],
         examples="transform(sort_array(collect_list(struct(rank, value))), e -> e.value)",
     )
-    found = stats.join(rows, "column").join(shown, "column")
+    found = stats.join(rows, "position").join(shown, "position")
     return (
         found.selectExpr(
             "position",
@@ -259,7 +254,7 @@ def datetime_spans(df: DataFrame) -> DataFrame:
 
 
 def category_tops(df: DataFrame, k: int = 5) -> DataFrame:
-    """(column, rank, value, cnt) of boolean and text columns."""
+    """(position, column, rank, value, cnt) of boolean and text columns."""
     return top_values(df, [c.name for c in profiled(df, BOOLEAN, CATEGORICAL)], k)
 
 
@@ -267,12 +262,12 @@ def numeric_profile(df: DataFrame) -> DataFrame:
     """Everything known about each numeric column, one row per column."""
     names = [c.name for c in profiled(df, NUMERIC)]
     buckets = numeric_buckets(df, names)
-    outliers = outlier_stats(df, names, buckets).select("column", "lower", "upper", "n_outliers", "pct_outliers")
+    outliers = outlier_stats(df, names, buckets).select("position", "lower", "upper", "n_outliers", "pct_outliers")
     return (
         numeric_moments(df)
-        .join(column_quantiles(df, names, PROFILE_QUANTILES, buckets).drop("n"), "column", "left")
-        .join(modes(df, names), "column", "left")
-        .join(outliers, "column", "left")
+        .join(column_quantiles(df, names, PROFILE_QUANTILES, buckets).drop("n", "column"), "position", "left")
+        .join(modes(df, names).drop("column"), "position", "left")
+        .join(outliers, "position", "left")
         .orderBy("position")
     )
 
@@ -289,7 +284,7 @@ def column_summaries(df: DataFrame) -> DataFrame:
         "position", "column", "concat(min, ' → ', max, coalesce(concat(' (', span_days, ' days)'), '')) as summary"
     )
     others = profiled(df, BOOLEAN, CATEGORICAL)
-    tops = top_values(df, [c.name for c in others], 1).selectExpr("column", "concat('top: ', value, ' (', cnt, ')') as top")
+    tops = top_values(df, [c.name for c in others], 1).selectExpr("position", "concat('top: ', value, ' (', cnt, ')') as top")
     places = per_column(df, others, lambda c: {"n": "count(*)"})
-    texts = places.join(tops, "column", "left").selectExpr("position", "column", "coalesce(top, '—') as summary")
+    texts = places.join(tops, "position", "left").selectExpr("position", "column", "coalesce(top, '—') as summary")
     return union_all([numeric, dates, texts]).orderBy("position")

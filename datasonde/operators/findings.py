@@ -21,7 +21,6 @@ from datasonde.operators.columns import (
     numeric_moments,
     numeric_buckets,
     outlier_stats,
-    per_column,
     profiled,
 )
 from datasonde.operators.frequency import distinct_counts, first_k
@@ -53,8 +52,7 @@ class Profile:
     @cached_property
     def distinct(self) -> DataFrame:
         """(position, column, n_unique, n_rows)."""
-        places = per_column(self.df, column_infos(self.df), lambda c: {"at": "count(*)"}).select("position", "column")
-        return places.join(distinct_counts(self.df).select("column", "n_unique", "n_rows"), "column")
+        return distinct_counts(self.df).select("position", "column", "n_unique", "n_rows")
 
     @cached_property
     def moments(self) -> DataFrame:
@@ -66,8 +64,8 @@ class Profile:
         infos = profiled(self.df, NUMERIC)
         names = [c.name for c in infos]
         stats = outlier_stats(self.df, names, numeric_buckets(self.df, names)).where("n_outliers > 0")
-        rows = missing_counts(self.df, infos).select("position", "column", "n_rows")
-        return stats.join(rows, "column").select("position", "column", "n_outliers", "pct_outliers", "n_rows")
+        rows = missing_counts(self.df, infos).select("position", "n_rows")
+        return stats.join(rows, "position").select("position", "column", "n_outliers", "pct_outliers", "n_rows")
 
     @cached_property
     def tops(self) -> DataFrame:
@@ -188,8 +186,8 @@ def insight_high_card(p: Profile) -> DataFrame:
 
 def insight_imbalance(p: Profile) -> DataFrame:
     varied = p.distinct.where(f"n_unique > 1 and column in ({p.names(CATEGORICAL, BOOLEAN)})")
-    first = p.tops.where("rank = 1").select("column", "value", "cnt")
-    heavy = varied.join(first, "column").where("cnt / n_rows > 0.8")
+    first = p.tops.where("rank = 1").select("position", "value", "cnt")
+    heavy = varied.join(first, "position").where("cnt / n_rows > 0.8")
     return _ranked(heavy, "imbalance", "position", "value", "cnt / n_rows", 5)
 
 

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datasonde.functions.kinds import SCALAR_KINDS, column_infos, is_floating, is_integral, names_of, quoted
-from datasonde.functions.values import KEY_PREFIX_CHARS, as_text, grouped, text_key, union_all
+from datasonde.functions.kinds import SCALAR_KINDS, column_infos, is_floating, is_integral, names_of, text_literal
+from datasonde.functions.values import as_text, grouped, is_long, text_key, union_all
 
 
 def value_type(data_type: T.DataType) -> T.DataType:
@@ -42,56 +42,65 @@ def families(df: DataFrame, names: Iterable[str]) -> dict[T.DataType, list[str]]
 
 
 def unpivot_values(df: DataFrame, names: list[str], data_type: T.DataType) -> DataFrame:
-    """Rows (column, value) of equally typed columns; NaN is null."""
+    """Rows (position, value) of equally typed columns; NaN is null.
+
+    The column travels as its number: eight bytes in every shuffled row, not its name.
+    """
     target = data_type.simpleString()
     infos = column_infos(df, names=names)
-    narrowed = df.selectExpr(*[f"cast({c.value} as {target}) as {quoted(c.name)}" for c in infos])
-    return narrowed.unpivot([], [quoted(c.name) for c in infos], "column", "value")
+    narrowed = df.selectExpr(*[f"cast({c.value} as {target}) as `{c.position}`" for c in infos])
+    cells = narrowed.unpivot([], [f"`{c.position}`" for c in infos], "position", "value")
+    return cells.selectExpr("cast(position as int) as position", "value")
 
 
-def frequencies(df: DataFrame, names: list[str], data_type: T.DataType) -> DataFrame:
-    """(column, value, cnt), nulls included as one row per column that has any."""
-    return grouped(unpivot_values(df, names, data_type), ["column", "value"], cnt="count(*)")
+def named(df: DataFrame, by_position: DataFrame) -> DataFrame:
+    """Put the column's name next to its position."""
+    listed = f"array({', '.join(text_literal(n) for n in df.columns)})"
+    return by_position.selectExpr("position", f"element_at({listed}, position + 1) as column", "* except (position)")
 
 
-def keyed_frequencies(df: DataFrame, names: list[str], data_type: T.DataType) -> DataFrame:
-    """Like :func:`frequencies`, with long texts represented by their key."""
-    long = unpivot_values(df, names, data_type)
+def frequencies(df: DataFrame, names: list[str], data_type: T.DataType) -> DataFrame:
+    """(position, value, cnt), nulls included as one row per column that has any.
+
+    Long texts are represented by their key.
+    """
+    cells = unpivot_values(df, names, data_type)
     if isinstance(data_type, T.StringType):
-        long = long.selectExpr("column", f"{text_key('value')} as value")
-    return grouped(long, ["column", "value"], cnt="count(*)")
+        cells = cells.selectExpr("position", f"{text_key('value')} as value")
+    return grouped(cells, ["position", "value"], cnt="count(*)")
 
 
 def distinct_counts(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """(column, n_unique, n_missing, n_rows) of every scalar column."""
+    """(position, column, n_unique, n_missing, n_rows) of every scalar column."""
     names = names if names is not None else names_of(df, *SCALAR_KINDS)
     if not names:
         df, names = no_columns(df, T.StringType()), ["none"]
-    return union_all(
+    counted = union_all(
         grouped(
-            keyed_frequencies(df, cols, dt),
-            ["column"],
+            frequencies(df, cols, dt),
+            ["position"],
             n_unique="count(value)",
             n_missing="sum(if(value is null, cnt, 0))",
             n_rows="sum(cnt)",
         )
         for dt, cols in families(df, names).items()
     )
+    return named(df, counted)
 
 
 def numeric_frequencies(df: DataFrame, names: list[str]) -> DataFrame:
-    """(column, value double, cnt) of numeric columns, nulls left out."""
+    """(position, value double, cnt) of numeric columns, nulls left out."""
     if not names:
         df, names = no_columns(df, T.DoubleType()), ["none"]
     return union_all(
-        frequencies(df, cols, dt).where("value is not null").selectExpr("column", "cast(value as double) as value", "cnt")
+        frequencies(df, cols, dt).where("value is not null").selectExpr("position", "cast(value as double) as value", "cnt")
         for dt, cols in families(df, names).items()
     )
 
 
 def modes(df: DataFrame, names: list[str]) -> DataFrame:
-    """(column, mode): the smallest of the most frequent values."""
-    return grouped(numeric_frequencies(df, names), ["column"], mode="min(struct(-cnt, value)).value")
+    """(position, column, mode): the smallest of the most frequent values."""
+    return named(df, grouped(numeric_frequencies(df, names), ["position"], mode="min(struct(-cnt, value)).value"))
 
 
 def first_k(df: DataFrame, keys: str, order: str, k: int) -> DataFrame:
@@ -102,26 +111,25 @@ def first_k(df: DataFrame, keys: str, order: str, k: int) -> DataFrame:
 
 
 def top_values(df: DataFrame, names: list[str], k: int) -> DataFrame:
-    """(column, rank, value, cnt): most frequent values as text, ties by text."""
+    """(position, column, rank, value, cnt): most frequent values as text, ties by text."""
     if not names:
         df, names = no_columns(df, T.BooleanType()), ["none"]
     parts = []
     for data_type, cols in families(df, names).items():
-        counted = keyed_frequencies(df, cols, data_type).where("value is not null")
-        shown = counted.selectExpr("column", f"{as_text('value', data_type)} as value", "cnt")
-        best = first_k(shown, "column", "cnt desc, value", k)
+        counted = frequencies(df, cols, data_type).where("value is not null")
+        shown = counted.selectExpr("position", f"{as_text('value', data_type)} as value", "cnt")
+        best = first_k(shown, "position", "cnt desc, value", k)
         if isinstance(data_type, T.StringType):
             best = whole_texts(df, cols, best)
-        parts.append(best.selectExpr("column", "cast(rank as bigint) as rank", "value", "cnt"))
-    return union_all(parts)
+        parts.append(best.selectExpr("position", "cast(rank as bigint) as rank", "value", "cnt"))
+    return named(df, union_all(parts))
 
 
 def whole_texts(df: DataFrame, cols: list[str], best: DataFrame) -> DataFrame:
     """Replace the key of a long text by the text; at most k rows per column."""
-    too_long = f"length(value) > {KEY_PREFIX_CHARS}"
-    wanted = best.where(too_long).selectExpr("column", "value as key")
-    long = unpivot_values(df, cols, T.StringType()).where(too_long)
-    keyed = long.selectExpr("column", "value as whole", f"{text_key('value')} as key")
-    found = keyed.join(F.broadcast(wanted), ["column", "key"])  # k rows per column
-    texts = grouped(found, ["column", "key"], whole="any_value(whole)").withColumnRenamed("key", "value")
-    return best.join(texts, ["column", "value"], "left").withColumn("value", F.expr("coalesce(whole, value)"))
+    wanted = best.where(is_long("value")).selectExpr("position", "value as key")
+    cells = unpivot_values(df, cols, T.StringType()).where(is_long("value"))
+    keyed = cells.selectExpr("position", "value as whole", f"{text_key('value')} as key")
+    found = keyed.join(F.broadcast(wanted), ["position", "key"])  # k rows per column
+    texts = grouped(found, ["position", "key"], whole="any_value(whole)").withColumnRenamed("key", "value")
+    return best.join(texts, ["position", "value"], "left").withColumn("value", F.expr("coalesce(whole, value)"))

@@ -20,7 +20,7 @@ from datasonde.operators.frequency import (
     whole_texts,
     distinct_counts,
     first_k,
-    keyed_frequencies,
+    frequencies,
     no_columns,
     top_values,
 )
@@ -67,8 +67,8 @@ def ask_stats(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def ask_unique(df: DataFrame, column: str) -> DataFrame:
     """(rank, value, cnt, n_unique): the most frequent values and how many there are."""
-    counts = distinct_counts(df, [column]).select("column", "n_unique")
-    return counts.join(top_values(df, [column], MAX_VALUES), "column").select("rank", "value", "cnt", "n_unique")
+    counts = distinct_counts(df, [column]).select("position", "n_unique")
+    return counts.join(top_values(df, [column], MAX_VALUES), "position").select("rank", "value", "cnt", "n_unique")
 
 
 def ask_correlation(df: DataFrame, column_a: str, column_b: str) -> DataFrame:
@@ -117,15 +117,15 @@ def schema_catalog(df: DataFrame, limit: int = CATALOG_COLUMNS) -> DataFrame:
     ranges = per_column(df, infos, sample)
     texts = [c.name for c in infos if c.kind == CATEGORICAL]
     source, names = (df, texts) if texts else (no_columns(df, T.StringType()), ["none"])
-    values = keyed_frequencies(source, names, T.StringType()).where("value is not null")
-    first = whole_texts(source, names, first_k(values, "column", "value", CATALOG_VALUES))
+    values = frequencies(source, names, T.StringType()).where("value is not null")
+    first = whole_texts(source, names, first_k(values, "position", "value", CATALOG_VALUES))
     listed = grouped(  # five values per column
         first,
-        ["column"],
+        ["position"],
         listed="concat_ws(', ', transform(sort_array(collect_list(struct(rank, value))), x -> concat('\\'', x.value, '\\'')))",
     )
     return (
-        ranges.join(listed, "column", "left")
+        ranges.join(listed, "position", "left")
         .selectExpr("position", "column", "kind", "coalesce(sample, listed, 'empty') as sample")
         .orderBy("position")
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import prod
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ PAIRS_PER_PASS = 60
 # A value held by more than one row in this many is attached by broadcast.
 HOT_SHARE = 200
 SPREAD = 64
+# Joint groups of the category columns up to which rows are folded into them first.
+MAX_JOINT_GROUPS = 1_000_000
 # Remaining share of a sum of squares that counts as rounding noise, not variance.
 NO_VARIANCE = "1e-14D"
 
@@ -61,9 +64,9 @@ def low_cardinality_counts(
     return [(n, exact[n]) for n in near if at_least <= exact.get(n, 0) <= at_most]
 
 
-def low_cardinality_columns(df: DataFrame, cap: int = MAX_LOW_CARD_COLUMNS) -> list[str]:
-    """The first non-numeric columns with 2..20 distinct values."""
-    return [name for name, _ in low_cardinality_counts(df, (BOOLEAN, CATEGORICAL, DATETIME))][:cap]
+def low_cardinality_columns(df: DataFrame, cap: int = MAX_LOW_CARD_COLUMNS) -> list[tuple[str, int]]:
+    """The first non-numeric columns with 2..20 distinct values, and how many they have."""
+    return low_cardinality_counts(df, (BOOLEAN, CATEGORICAL, DATETIME))[:cap]
 
 
 def numeric_pairs(names: list[str]) -> list[Pair]:
@@ -211,17 +214,30 @@ def top_spearman(df: DataFrame, threshold: float = 0.5, limit: int = 10) -> Data
 # -- categories ----------------------------------------------------------------
 
 
-def pair_counts(df: DataFrame, names: list[str]) -> DataFrame:
-    """(i, j, a, b, cnt): contingency tables of every pair of columns in one aggregation."""
+def pair_counts(df: DataFrame, counts: list[tuple[str, int]]) -> DataFrame:
+    """(i, j, a, b, cnt): contingency tables of every pair of columns in one aggregation.
+
+    ``counts`` names the columns and their distinct values. Where these bound the
+    joint groups, rows are folded into joint groups first and only those are
+    spread over the pairs.
+    """
+    names = [n for n, _ in counts]
     infos = {c.name: c for c in column_infos(df, names=names)}
-    narrow = df.selectExpr(
-        *[f"{as_text(infos[n].value, infos[n].data_type)} as c{i}" for i, n in enumerate(names)]
+    rows = df.selectExpr(
+        *[f"{as_text(infos[n].value, infos[n].data_type)} as c{i}" for i, n in enumerate(names)], "1L as cnt"
     )
+    if joint_groups(counts) <= MAX_JOINT_GROUPS:
+        rows = grouped(rows, [f"c{i}" for i in range(len(names))], cnt="sum(cnt)")
     cells = ", ".join(
         f"struct({i} as i, {j} as j, c{i} as a, c{j} as b)" for i, j in combinations(range(len(names)), 2)
     )
-    long = narrow.selectExpr(f"inline(array({cells}))").where("a is not null and b is not null")
-    return grouped(long, ["i", "j", "a", "b"], cnt="count(*)")
+    long = rows.selectExpr("cnt", f"inline(array({cells}))").where("a is not null and b is not null")
+    return grouped(long, ["i", "j", "a", "b"], cnt="sum(cnt)")
+
+
+def joint_groups(counts: list[tuple[str, int]]) -> int:
+    """The most groups the columns can form together, a missing value being one more."""
+    return prod(n + 1 for _, n in counts)
 
 
 def chi_square(counts: DataFrame) -> DataFrame:
@@ -254,14 +270,15 @@ def cramers_v(tested: DataFrame) -> DataFrame:
     )
 
 
-def cramers_v_pairs(df: DataFrame, names: list[str]) -> DataFrame:
-    """(i, j, col_a, col_b, chi2, stat, n) for every pair of the given columns."""
+def cramers_v_pairs(df: DataFrame, counts: list[tuple[str, int]]) -> DataFrame:
+    """(i, j, col_a, col_b, chi2, stat, n) for every pair of the columns counted."""
+    names = [n for n, _ in counts]
     if len(names) < 2:
         return df.sparkSession.createDataFrame(
             [], "i int, j int, col_a string, col_b string, chi2 double, stat double, n bigint"
         )
     listed = f"array({', '.join(text_literal(n) for n in names)})"
-    tested = cramers_v(chi_square(pair_counts(df, names)))
+    tested = cramers_v(chi_square(pair_counts(df, counts)))
     return tested.selectExpr(
         "i", "j", f"element_at({listed}, i + 1) as col_a", f"element_at({listed}, j + 1) as col_b", "chi2", "stat", "n"
     )
@@ -313,29 +330,30 @@ def category_effects(df: DataFrame, limit: int = 8, groups: int = 8) -> DataFram
     )
 
 
-def group_means(df: DataFrame, cats: list[str], nums: list[str]) -> DataFrame:
+def group_means(df: DataFrame, counts: list[tuple[str, int]], nums: list[str]) -> DataFrame:
     """(ci, ni, category, numeric, group, mean, cnt): one aggregation over all categories.
 
-    Rows are unpivoted by category only; every numeric column rides along as an
-    aggregate, so a task emits at most 20 rows per category.
+    Every numeric column rides along as a sum and a count, so a task emits at most
+    20 rows per category. Where the distinct values bound the joint groups of the
+    categories, rows are folded into those first and only the groups are unpivoted.
     """
+    cats = [c for c, _ in counts]
     infos = {c.name: c for c in column_infos(df, names=[*cats, *nums])}
-    cells = ", ".join(f"struct({i} as ci, c{i} as group)" for i in range(len(cats)))
-    long = (
-        df.selectExpr(
-            *[f"{as_text(infos[c].value, infos[c].data_type)} as c{i}" for i, c in enumerate(cats)],
-            *[f"{infos[n].number} as v{i}" for i, n in enumerate(nums)],
-        )
-        .selectExpr(*[f"v{i}" for i in range(len(nums))], f"inline(array({cells}))")
-        .where("group is not null")
+    rows = df.selectExpr(
+        *[f"{as_text(infos[c].value, infos[c].data_type)} as c{i}" for i, c in enumerate(cats)],
+        *[f"{infos[n].number} as s{i}" for i, n in enumerate(nums)],
+        *[f"if({infos[n].number} is null, 0L, 1L) as n{i}" for i, n in enumerate(nums)],
     )
-    measures = {}
-    for i in range(len(nums)):
-        measures[f"m{i}"], measures[f"n{i}"] = f"avg(v{i})", f"count(v{i})"
-    rows = ", ".join(
-        f"struct({i} as ni, {text_literal(n)} as numeric, m{i} as mean, n{i} as cnt)" for i, n in enumerate(nums)
+    sums = {f"{m}{i}": f"sum({m}{i})" for i in range(len(nums)) for m in ("s", "n")}
+    if joint_groups(counts) <= MAX_JOINT_GROUPS:
+        rows = grouped(rows, [f"c{i}" for i in range(len(cats))], **sums)
+    cells = ", ".join(f"struct({i} as ci, c{i} as group)" for i in range(len(cats)))
+    long = rows.selectExpr(*sums, f"inline(array({cells}))").where("group is not null")
+    found = ", ".join(
+        f"struct({i} as ni, {text_literal(n)} as numeric, try_divide(s{i}, n{i}) as mean, n{i} as cnt)"
+        for i, n in enumerate(nums)
     )
     listed = f"array({', '.join(text_literal(c) for c in cats)})"
-    wide = grouped(long, ["ci", "group"], **measures)
-    means = wide.selectExpr("ci", f"element_at({listed}, ci + 1) as category", "group", f"inline(array({rows}))")
+    wide = grouped(long, ["ci", "group"], **sums)
+    means = wide.selectExpr("ci", f"element_at({listed}, ci + 1) as category", "group", f"inline(array({found}))")
     return means.where("cnt > 0")

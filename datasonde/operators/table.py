@@ -141,7 +141,7 @@ def id_like(df: DataFrame, order_by: str | None = None) -> DataFrame:
 
     shape = per_column(df, infos, lambda c: {"sequential": dense(c) if order_by is None else rising(c)})
     reason = "if(sequential, 'sequential integer', 'unique per row') as reason"
-    return unique.join(shape, "column").selectExpr("position", "column", reason).orderBy("position")
+    return unique.drop("column").join(shape, "position").selectExpr("position", "column", reason).orderBy("position")
 
 
 def is_non_decreasing(df: DataFrame, order_by: str, column: str) -> bool:

@@ -151,7 +151,7 @@ def chart_time_trend_month(spark, sf):
     return tidy(V.chart_time_trend(table(spark, sf, "orders")), mean=4)
 
 
-_YEARLY = "(select o_totalprice, o_custkey, timestamp '2024-01-01' + to_days(((epoch_us(o_orderdate) - epoch_us(timestamp '1995-01-01')) / 86400000000 // 4)::integer) as day from orders)"
+_YEARLY = "(select o_totalprice, o_custkey, timestamp '2024-01-01' + to_days(floor(date_diff('day', date '1995-01-01', o_orderdate) / 4)::integer) as day from orders)"
 
 
 @query("chart_time_trend_week", trend_sql(_YEARLY, "day", ["o_totalprice", "o_custkey"], "strftime(date_trunc('week', day) + interval 6 day, '%Y-%m-%d')"))

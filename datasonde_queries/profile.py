@@ -32,7 +32,7 @@ def col_missing(spark, sf):
 
 @query("col_n_unique", each('select \'{c}\' as "column", count(distinct {c}) as n_unique, count(*) - count({c}) as n_missing, count(*) as n_rows from lineitem', c=LINEITEM_COLUMNS))
 def col_n_unique(spark, sf):
-    return distinct_counts(table(spark, sf, "lineitem"))
+    return distinct_counts(table(spark, sf, "lineitem")).drop("position")
 
 
 @query(
@@ -59,7 +59,7 @@ def col_moments(spark, sf):
     ),
 )
 def col_quantiles(spark, sf):
-    return tidy(C.column_quantiles(table(spark, sf, "lineitem"), LINEITEM_NUMBERS), **{k: 6 for k in C.PROFILE_QUANTILES})
+    return tidy(C.column_quantiles(table(spark, sf, "lineitem"), LINEITEM_NUMBERS).drop("position"), **{k: 6 for k in C.PROFILE_QUANTILES})
 
 
 @query(
@@ -84,7 +84,7 @@ def col_skew_kurt(spark, sf):
     ),
 )
 def col_mode(spark, sf):
-    return modes(table(spark, sf, "lineitem"), LINEITEM_NUMBERS)
+    return modes(table(spark, sf, "lineitem"), LINEITEM_NUMBERS).drop("position")
 
 
 @query(
@@ -138,7 +138,7 @@ PCT_OUT = "round_even(count(case when out then 1 end) * 100.0::double / max(n),
 )
 def col_outlier_count(spark, sf):
     df = table(spark, sf, "lineitem_sentinel")
-    return tidy(C.outlier_stats(df, names_of(df, NUMERIC)), lower=6, upper=6, median=6)
+    return tidy(C.outlier_stats(df, names_of(df, NUMERIC)).drop("position"), lower=6, upper=6, median=6)
 
 
 EXAMPLES_SQL = (
@@ -149,7 +149,7 @@ EXAMPLES_SQL = (
 
 @query("col_outlier_examples", "with " + judged_sql("events", EVENT_NUMBERS) + "\n" + EXAMPLES_SQL.format(k=3))
 def col_outlier_examples(spark, sf):
-    return C.outlier_examples(table(spark, sf, "events"), EVENT_NUMBERS)
+    return C.outlier_examples(table(spark, sf, "events"), EVENT_NUMBERS).drop("position")
 
 
 @query(
@@ -190,9 +190,9 @@ def top_sql(source: str, columns: list[str], k: int) -> str:
     )
 
 
-@query("col_top_values", top_sql("documents", ["text", "lang", "source"], 5).replace("cast(text as varchar)) as rank", "left(text, 128), case when length(text) > 128 then sha256(text) end) as rank"))
+@query("col_top_values", top_sql("documents", ["text", "lang", "source"], 5).replace("cast(text as varchar)) as rank", "case when strlen(text) > 128 then left(text, 128) || sha256(text) else text end) as rank"))
 def col_top_values(spark, sf):
-    return C.category_tops(table(spark, sf, "documents"))
+    return C.category_tops(table(spark, sf, "documents")).drop("position")
 
 
 KINDS = {
@@ -420,13 +420,15 @@ def cramers_sql(columns: list[str], source: str = "v") -> str:
 
 @query("chi_square", over("lineitem_bands", f"select col_a, col_b, n, round_even(chi2, 4) as chi2 from ({chi_square_sql(BANDS)})"))
 def chi_square(spark, sf):
-    pairs = R.cramers_v_pairs(table(spark, sf, "lineitem_bands"), BANDS)
+    df = table(spark, sf, "lineitem_bands")
+    pairs = R.cramers_v_pairs(df, R.low_cardinality_columns(df))
     return tidy(pairs.select("col_a", "col_b", "n", "chi2"), chi2=4)
 
 
 @query("cramers_v", over("lineitem_bands", f"select col_a, col_b, n, round_even(stat, 4) as v from ({cramers_sql(BANDS)})"))
 def cramers_v(spark, sf):
-    pairs = R.cramers_v_pairs(table(spark, sf, "lineitem_bands"), BANDS)
+    df = table(spark, sf, "lineitem_bands")
+    pairs = R.cramers_v_pairs(df, R.low_cardinality_columns(df))
     return tidy(pairs.selectExpr("col_a", "col_b", "n", "stat as v"), v=4)
 
 
