@@ -137,11 +137,15 @@ def density(df: DataFrame, points: int = GRID_POINTS) -> DataFrame:
 
 
 def box_stats(freq: DataFrame, keys: list[str], buckets: RangeBuckets) -> DataFrame:
-    """(keys…, n, p25, median, p75, whisker_low, whisker_high, n_fliers, pct_outliers)."""
+    """(keys…, n, p25, median, p75, whisker_low, whisker_high, n_fliers, pct_outliers).
+
+    The keys are a column or one of the 20 groups of a column pair, so their
+    quartiles are few enough to broadcast.
+    """
     spread = with_fences(quantiles(freq, keys, QUARTILES, buckets)).selectExpr(
         "*", "p25 - 1.5D * (p75 - p25) as reach_low", "p75 + 1.5D * (p75 - p25) as reach_high"
     )
-    judged = freq.join(spread, keys)
+    judged = freq.join(F.broadcast(spread), keys)
     counted = grouped(
         judged,
         keys,

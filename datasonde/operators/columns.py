@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from datasonde.functions.fixed_values import MAX_PROFILE_COLUMNS
@@ -20,6 +21,7 @@ from datasonde.functions.kinds import (
 from datasonde.functions.moments import sample_kurtosis, sample_skewness
 from datasonde.functions.values import as_text, datetime_text, finite, grouped, percent, rounded, union_all
 from datasonde.operators.frequency import (
+    POSITION,
     first_k,
     modes,
     named,
@@ -109,7 +111,7 @@ def numeric_cells(df: DataFrame, infos: list[ColumnInfo]) -> DataFrame:
         infos = column_infos(df)
     numbers = df.selectExpr(*[f"{c.number} as `{c.position}`" for c in infos])
     cells = numbers.unpivot([], [f"`{c.position}`" for c in infos], "position", "v")
-    return cells.selectExpr("cast(position as int) as position", "v")
+    return cells.selectExpr(f"{POSITION} as position", "v")
 
 
 def numeric_moments(df: DataFrame, max_columns: int = MAX_PROFILE_COLUMNS) -> DataFrame:
@@ -167,7 +169,7 @@ def approximate_distinct(df: DataFrame, names: list[str], rsd: float = 0.05) ->
     hashes = df.selectExpr(
         *[f"if(({c.value}) is null, null, xxhash64({c.value})) as `{c.position}`" for c in infos]
     ).unpivot([], [f"`{c.position}`" for c in infos], "position", "h")
-    cells = hashes.selectExpr("cast(position as int) as position", "h")
+    cells = hashes.selectExpr(f"{POSITION} as position", "h")
     return named(df, grouped(cells, ["position"], n_unique=f"approx_count_distinct(h, {rsd!r}D)"))
 
 
@@ -176,7 +178,8 @@ def judged_values(df: DataFrame, names: list[str], buckets: RangeBuckets | None
     buckets = buckets or numeric_buckets(df, names)
     freq = numeric_frequencies(df, names)
     fences = with_fences(quantiles(freq, ["position"], QUARTILES, buckets))
-    return freq.join(fences, "position").selectExpr("*", f"{IS_OUTLIER} as out")
+    # one row per column: broadcast, or every value of a column would meet in one task
+    return freq.join(F.broadcast(fences), "position").selectExpr("*", f"{IS_OUTLIER} as out")
 
 
 def outlier_stats(df: DataFrame, names: list[str], buckets: RangeBuckets | None = None) -> DataFrame:

@@ -17,6 +17,11 @@ from datasonde.functions.kinds import SCALAR_KINDS, column_infos, is_floating, i
 from datasonde.functions.values import as_text, grouped, is_long, text_key, union_all
 
 
+# The number of an unpivoted column. Never null, so that Spark adds no null filter to
+# one use of a frequency table and computes it twice.
+POSITION = "coalesce(cast(position as int), -1)"
+
+
 def value_type(data_type: T.DataType) -> T.DataType:
     """The type under which values of ``data_type`` are counted, without loss."""
     if is_integral(data_type):
@@ -50,7 +55,7 @@ def unpivot_values(df: DataFrame, names: list[str], data_type: T.DataType) -> Da
     infos = column_infos(df, names=names)
     narrowed = df.selectExpr(*[f"cast({c.value} as {target}) as `{c.position}`" for c in infos])
     cells = narrowed.unpivot([], [f"`{c.position}`" for c in infos], "position", "value")
-    return cells.selectExpr("cast(position as int) as position", "value")
+    return cells.selectExpr(f"{POSITION} as position", "value")
 
 
 def named(df: DataFrame, by_position: DataFrame) -> DataFrame:

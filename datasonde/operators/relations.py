@@ -26,6 +26,8 @@ from datasonde.operators.order_stats import average_ranks, plan_buckets
 
 # Column pairs aggregated together; more would outgrow one generated method.
 PAIRS_PER_PASS = 60
+# Columns with no more values than this, by a sketch within a few percent, are looked up by broadcast.
+FEW_VALUES = 10_000
 # A value held by more than one row in this many is attached by broadcast.
 HOT_SHARE = 200
 SPREAD = 64
@@ -157,17 +159,22 @@ def top_pearson(df: DataFrame, threshold: float = 0.3, limit: int = 10) -> DataF
 # -- Spearman ------------------------------------------------------------------
 
 
-def attach_ranks(rows: DataFrame, base: DataFrame, v: str, n_rows: int) -> DataFrame:
+def attach_ranks(rows: DataFrame, base: DataFrame, v: str, n_rows: int, few: bool) -> DataFrame:
     """Replace column ``v`` of ``rows`` by its average rank within ``base``.
 
-    Values held by more than one row in ``HOT_SHARE`` are at most ``HOT_SHARE`` in
-    number and are looked up by broadcast; the remaining values join on the value,
-    with the rows already served spread over salted empty keys, so no task gets
-    more than a small share of the rows whatever the distribution.
+    A column of few values is looked up by broadcast. Otherwise the values held by
+    more than one row in ``HOT_SHARE``, at most ``HOT_SHARE`` of them, are looked up
+    by broadcast and the others join on the value, with the rows already served
+    spread over salted keys, so no task gets more than a small share of the rows
+    whatever the distribution.
     """
     values = base.selectExpr(f"{v} as value").where("value is not null")
     freq = grouped(values, ["value"], cnt="count(*)").selectExpr("0 as side", "value", "cnt")
     ranks = average_ranks(freq, ["side"], plan_buckets(values, n_rows))
+    kept = [c for c in rows.columns if c != v]
+    if few:
+        found = rows.join(F.broadcast(ranks.selectExpr("value", f"rank as r{v}")), F.expr(f"{v} = value"), "left")
+        return found.select(*kept, f"r{v}")
     hot = f"cnt * {HOT_SHARE} > total"
     common = ranks.where(hot).selectExpr("value as k1", "rank as r1")
     others = ranks.where(f"not ({hot})").selectExpr("value as k2", "0 as s2", "rank as r2")
@@ -175,7 +182,6 @@ def attach_ranks(rows: DataFrame, base: DataFrame, v: str, n_rows: int) -> DataF
     spread = f"1 + cast(pmod(xxhash64({', '.join(rows.columns)}), {SPREAD}) as int)"
     keyed = served.selectExpr("*", f"if(r1 is null and {v} is not null, 0, {spread}) as s")
     joined = keyed.join(others, F.expr(f"{v} = k2 and s = s2"), "left")
-    kept = [c for c in rows.columns if c != v]
     return joined.selectExpr(*kept, f"coalesce(r1, r2) as r{v}")
 
 
@@ -190,6 +196,8 @@ def spearman_pairs(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     counted = missing_counts(df, list(infos.values())).collect()  # one row per numeric column
     gaps = {r["column"] for r in counted if r["n_missing"] > 0}
     n_rows = max([r["n_rows"] for r in counted], default=0)
+    sketch = approximate_distinct(df, names).collect()  # one row per numeric column
+    few = {r["column"] for r in sketch if r["n_unique"] <= FEW_VALUES}
     groups: dict[frozenset[str], list[Pair]] = {}
     for pair in numeric_pairs(names):
         groups.setdefault(frozenset({pair[2], pair[3]} & gaps), []).append(pair)
@@ -201,7 +209,7 @@ def spearman_pairs(df: DataFrame, names: list[str] | None = None) -> DataFrame:
             base = base.dropna(subset=[f"v{names.index(n)}" for n in present])
         rows = base
         for k in used:
-            rows = attach_ranks(rows, base, f"v{k}", n_rows)
+            rows = attach_ranks(rows, base, f"v{k}", n_rows, names[k] in few)
         ranks = rows.selectExpr(*[f"rv{k} - {number_literal(n_rows / 2)} as v{k}" for k in used])
         parts.append(_correlate(ranks, group, set()))
     return union_all(parts) if parts else df.sparkSession.createDataFrame([], PAIR_SCHEMA)
