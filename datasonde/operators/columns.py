@@ -18,7 +18,7 @@ from datasonde.functions.kinds import (
     column_infos,
     text_literal,
 )
-from datasonde.functions.moments import sample_kurtosis, sample_skewness
+from datasonde.functions.moments import sample_deviation, sample_kurtosis, sample_skewness
 from datasonde.functions.values import as_text, datetime_text, finite, grouped, percent, rounded, union_all
 from datasonde.operators.frequency import (
     POSITION,
@@ -122,7 +122,7 @@ def numeric_moments(df: DataFrame, max_columns: int = MAX_PROFILE_COLUMNS) -> Da
         ["position"],
         n="count(v)",
         mean=finite("avg(v)"),
-        std=finite("stddev_samp(v)"),
+        std=finite(sample_deviation("v")),
         min=finite("min(v)"),
         max=finite("max(v)"),
         skew=finite(sample_skewness("v")),
@@ -165,6 +165,8 @@ def approximate_quantiles(
 
 def approximate_distinct(df: DataFrame, names: list[str], rsd: float = 0.05) -> DataFrame:
     """(position, column, n_unique) from a mergeable sketch of the values' hashes."""
+    if not names:
+        df, names = no_columns(df, T.StringType()), ["none"]
     infos = column_infos(df, names=names)
     hashes = df.selectExpr(
         *[f"if(({c.value}) is null, null, xxhash64({c.value})) as `{c.position}`" for c in infos]

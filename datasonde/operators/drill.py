@@ -22,6 +22,7 @@ from datasonde.functions.kinds import (
     column_infos,
     text_literal,
 )
+from datasonde.functions.moments import sample_deviation
 from datasonde.functions.periods import UNITS, period_label, period_start
 from datasonde.functions.values import (
     as_text,
@@ -69,7 +70,7 @@ def group_compare(df: DataFrame, numeric_column: str, categorical_column: str) -
         "value is not null"
     )
     complete = rows.where("category is not null")
-    summed = grouped(complete, ["category"], n="count(*)", mean="avg(value)", std="stddev_samp(value)")
+    summed = grouped(complete, ["category"], n="count(*)", mean="avg(value)", std=sample_deviation("value"))
     largest = summed.orderBy(F.desc("n"), "category").limit(MAX_GROUPS)
     buckets = numeric_buckets(df, [numeric_column])
     shown = complete.join(F.broadcast(largest.select("category")), "category")  # 12 rows
@@ -83,7 +84,7 @@ def group_compare(df: DataFrame, numeric_column: str, categorical_column: str) -
     none, no_number = "cast(null as string)", "cast(null as double)"
     group_rows = groups.selectExpr("'group' as part", "rank", "category", f"{none} as low_category", "n", "mean", "median", "std")
     everything = rows.selectExpr("'all' as category", "value")
-    overall = grouped(everything, ["category"], n="count(*)", mean="avg(value)", std="stddev_samp(value)").join(
+    overall = grouped(everything, ["category"], n="count(*)", mean="avg(value)", std=sample_deviation("value")).join(
         _medians(everything, "category", buckets), "category"
     )
     overall_row = overall.selectExpr(

@@ -19,6 +19,7 @@ from datasonde.functions.kinds import (
     quoted,
     text_literal,
 )
+from datasonde.functions.moments import sample_deviation
 from datasonde.functions.values import as_text, grouped, number_literal, rounded, union_all
 from datasonde.operators.columns import approximate_distinct, missing_counts, per_column
 from datasonde.operators.frequency import distinct_counts
@@ -85,6 +86,8 @@ def pearson_pairs(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     products of the centred values. One row leaves each task.
     """
     names = names if names is not None else names_of(df, NUMERIC)
+    if len(names) < 2:
+        return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
     infos = {c.name: c for c in column_infos(df, names=names)}
     facts = per_column(
         df,
@@ -105,8 +108,6 @@ def _correlate(centred: DataFrame, pairs: list[Pair], gaps: set[str]) -> DataFra
     Columns without gaps share their own sums; a pair touching a column with gaps
     sums over the rows where both are present.
     """
-    if not pairs:
-        return centred.sparkSession.createDataFrame([], PAIR_SCHEMA)
     parts = []
     for at in range(0, len(pairs), PAIRS_PER_PASS):
         sums: dict[str, str] = {"n": "cast(count(*) as double)"}
@@ -139,7 +140,7 @@ def _correlate(centred: DataFrame, pairs: list[Pair], gaps: set[str]) -> DataFra
 def strongest(pairs: DataFrame, threshold: float, limit: int, name: str) -> DataFrame:
     """(col_a, col_b, name): the pairs at or above the threshold, strongest first."""
     kept = pairs.where(f"abs(stat) >= {threshold!r}D").selectExpr("i", "j", "col_a", "col_b", f"{rounded('stat', 3)} as {name}")
-    ordered = kept.orderBy(F.expr(f"abs({name}) desc"), "i", "j").limit(limit)
+    ordered = kept.orderBy(F.expr(f"abs({name})").desc(), "i", "j").limit(limit)
     return ordered.select("col_a", "col_b", name)
 
 
@@ -147,8 +148,8 @@ def pearson_matrix(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """The full symmetric matrix in long form: (col_a, col_b, r)."""
     names = names if names is not None else names_of(df, NUMERIC)
     both = "inline(array(struct(col_a, col_b, stat as r), struct(col_b as col_a, col_a as col_b, stat as r)))"
-    own = per_column(df, column_infos(df, names=names), lambda c: {"v": f"var_pop({c.number})"})
-    diagonal = own.selectExpr("column as col_a", "column as col_b", "if(v > 0, 1D, null) as r")
+    own = per_column(df, column_infos(df, names=names), lambda c: {"low": f"min({c.number})", "high": f"max({c.number})"})
+    diagonal = own.selectExpr("column as col_a", "column as col_b", "if(low < high, 1D, null) as r")
     return union_all([pearson_pairs(df, names).selectExpr(both), diagonal])
 
 
@@ -192,10 +193,12 @@ def spearman_pairs(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     is ranked together with its partners on the rows where it is present.
     """
     names = names if names is not None else names_of(df, NUMERIC)
+    if len(names) < 2:
+        return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
     infos = {c.name: c for c in column_infos(df, names=names)}
     counted = missing_counts(df, list(infos.values())).collect()  # one row per numeric column
     gaps = {r["column"] for r in counted if r["n_missing"] > 0}
-    n_rows = max([r["n_rows"] for r in counted], default=0)
+    n_rows = max([r["n_rows"] for r in counted])
     sketch = approximate_distinct(df, names).collect()  # one row per numeric column
     few = {r["column"] for r in sketch if r["n_unique"] <= FEW_VALUES}
     groups: dict[frozenset[str], list[Pair]] = {}
@@ -212,7 +215,7 @@ def spearman_pairs(df: DataFrame, names: list[str] | None = None) -> DataFrame:
             rows = attach_ranks(rows, base, f"v{k}", n_rows, names[k] in few)
         ranks = rows.selectExpr(*[f"rv{k} - {number_literal(n_rows / 2)} as v{k}" for k in used])
         parts.append(_correlate(ranks, group, set()))
-    return union_all(parts) if parts else df.sparkSession.createDataFrame([], PAIR_SCHEMA)
+    return union_all(parts)
 
 
 def top_spearman(df: DataFrame, threshold: float = 0.5, limit: int = 10) -> DataFrame:
@@ -312,7 +315,7 @@ def category_effects(df: DataFrame, limit: int = 8, groups: int = 8) -> DataFram
     if not cats or not nums:
         return df.sparkSession.createDataFrame([], EFFECT_SCHEMA)
     deviations = per_column(
-        df, column_infos(df, names=nums), lambda c: {"std": f"stddev_samp({c.number})"}
+        df, column_infos(df, names=nums), lambda c: {"std": sample_deviation(c.number)}
     ).selectExpr("column as numeric", "std")
     pair = "over (partition by category, numeric)"
     judged = (

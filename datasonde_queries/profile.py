@@ -382,6 +382,11 @@ def top_pearson(spark, sf):
     return R.top_pearson(table(spark, sf, "lineitem_money"))
 
 
+@query("top_pearson_strongest", over("lineitem_money", strongest_sql(pearson_sql(MONEY), 0.0, "pearson_r", 5)))
+def top_pearson_strongest(spark, sf):
+    return R.top_pearson(table(spark, sf, "lineitem_money"), threshold=0.0, limit=5)
+
+
 @query("top_spearman", over("lineitem_money", TOP_SPEARMAN_SQL))
 def top_spearman(spark, sf):
     return R.top_spearman(table(spark, sf, "lineitem_money"))
