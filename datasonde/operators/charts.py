@@ -18,7 +18,7 @@ from datasonde.functions.kinds import (
     text_literal,
 )
 from datasonde.functions.values import as_text, grouped, number_literal, percent, rounded, union_all
-from datasonde.operators.columns import missing_counts, numeric_buckets, per_column
+from datasonde.operators.columns import missing_counts, numeric_buckets, per_column, pooled_buckets
 from datasonde.operators.frequency import named, numeric_frequencies, top_values
 from datasonde.operators.order_stats import QUARTILES, RangeBuckets, quantiles, with_fences
 from datasonde.operators.relations import category_effects, low_cardinality_counts, pearson_matrix, top_pearson
@@ -227,7 +227,7 @@ def chart_grouped_box(df: DataFrame) -> DataFrame:
         )
     long = df.selectExpr(f"inline(array({', '.join(cells)}))").where("group is not null and value is not null")
     keys = ["category", "numeric", "group"]
-    buckets = numeric_buckets(df, sorted({e["numeric"] for e in effects}))
+    buckets = pooled_buckets(df, sorted({e["numeric"] for e in effects}))
     return box_stats(grouped(long, [*keys, "value"], cnt="count(*)"), keys, buckets)
 
 

@@ -34,6 +34,7 @@ from datasonde.operators.order_stats import (
     QUARTILES,
     RangeBuckets,
     plan_buckets,
+    plan_keyed_buckets,
     quantiles,
     with_fences,
 )
@@ -134,11 +135,17 @@ def numeric_moments(df: DataFrame, max_columns: int = MAX_PROFILE_COLUMNS) -> Da
 
 
 def numeric_buckets(df: DataFrame, names: list[str]) -> RangeBuckets:
-    """Range buckets for the numeric columns, from their pooled values."""
-    values = ", ".join(c.number for c in column_infos(df, names=names))
-    if not values:
+    """Range buckets of each numeric column, from one scan of those columns."""
+    infos = column_infos(df, names=names)
+    if not infos:
         return RangeBuckets()
-    return plan_buckets(df.selectExpr(f"explode(array({values})) as value"), df.count())
+    return plan_keyed_buckets(numeric_cells(df, infos).withColumnRenamed("v", "value"), "position", df.count())
+
+
+def pooled_buckets(df: DataFrame, names: list[str]) -> RangeBuckets:
+    """Range buckets shared by the groups of one or a few numeric columns."""
+    infos = column_infos(df, names=names)
+    return plan_buckets(numeric_cells(df, infos).selectExpr("v as value").where("value is not null"), df.count())
 
 
 def column_quantiles(

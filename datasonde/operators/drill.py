@@ -34,7 +34,7 @@ from datasonde.functions.values import (
     strip,
     union_all,
 )
-from datasonde.operators.columns import numeric_buckets, outlier_stats
+from datasonde.operators.columns import outlier_stats, pooled_buckets
 from datasonde.operators.frequency import distinct_counts, first_k, top_values
 from datasonde.operators.order_stats import RangeBuckets, quantiles
 from datasonde.operators.relations import low_cardinality_counts, pearson_pairs, spearman_pairs
@@ -72,7 +72,7 @@ def group_compare(df: DataFrame, numeric_column: str, categorical_column: str) -
     complete = rows.where("category is not null")
     summed = grouped(complete, ["category"], n="count(*)", mean="avg(value)", std=sample_deviation("value"))
     largest = summed.orderBy(F.desc("n"), "category").limit(MAX_GROUPS)
-    buckets = numeric_buckets(df, [numeric_column])
+    buckets = pooled_buckets(df, [numeric_column])
     shown = complete.join(F.broadcast(largest.select("category")), "category")  # 12 rows
     medians = _medians(shown, "category", buckets)
     numbered = largest.selectExpr(

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 
 from datasonde.functions.fixed_values import CHECK_ADVICE
 from datasonde.functions.kinds import BOOLEAN, CATEGORICAL, NUMERIC, column_infos, text_literal
+from datasonde.functions.shared import kept
 from datasonde.functions.values import grouped, percent, union_all
 from datasonde.operators.columns import (
     category_tops,
@@ -32,31 +33,36 @@ HIGH_CARDINALITY = 50
 
 
 class Profile:
-    """The sections of a table's profile, each planned on first use."""
+    """The sections of a table's profile, each planned on first use.
 
-    def __init__(self, df: DataFrame):
+    With ``keep`` a section, a few rows per column, is computed once and
+    checkpointed; rules that share it then do not read the table again.
+    """
+
+    def __init__(self, df: DataFrame, keep: bool = False):
         self.df = df
+        self._section = kept if keep else lambda section: section
 
     @cached_property
     def shape(self) -> DataFrame:
-        return table_shape(self.df)
+        return self._section(table_shape(self.df))
 
     @cached_property
     def duplicates(self) -> DataFrame:
-        return duplicate_rows(self.df)
+        return self._section(duplicate_rows(self.df))
 
     @cached_property
     def missing(self) -> DataFrame:
-        return missing_counts(self.df)
+        return self._section(missing_counts(self.df))
 
     @cached_property
     def distinct(self) -> DataFrame:
         """(position, column, n_unique, n_rows)."""
-        return distinct_counts(self.df).select("position", "column", "n_unique", "n_rows")
+        return self._section(distinct_counts(self.df).select("position", "column", "n_unique", "n_rows"))
 
     @cached_property
     def moments(self) -> DataFrame:
-        return numeric_moments(self.df)
+        return self._section(numeric_moments(self.df))
 
     @cached_property
     def outliers(self) -> DataFrame:
@@ -65,47 +71,47 @@ class Profile:
         names = [c.name for c in infos]
         stats = outlier_stats(self.df, names, numeric_buckets(self.df, names)).where("n_outliers > 0")
         rows = missing_counts(self.df, infos).select("position", "n_rows")
-        return stats.join(rows, "position").select("position", "column", "n_outliers", "pct_outliers", "n_rows")
+        return self._section(stats.join(rows, "position").select("position", "column", "n_outliers", "pct_outliers", "n_rows"))
 
     @cached_property
     def tops(self) -> DataFrame:
-        return category_tops(self.df)
+        return self._section(category_tops(self.df))
 
     @cached_property
     def spans(self) -> DataFrame:
-        return datetime_spans(self.df)
+        return self._section(datetime_spans(self.df))
 
     @cached_property
     def empty(self) -> DataFrame:
-        return fully_empty_rows(self.df)
+        return self._section(fully_empty_rows(self.df))
 
     @cached_property
     def identifiers(self) -> DataFrame:
-        return id_like(self.df)
+        return self._section(id_like(self.df))
 
     @cached_property
     def issues(self) -> DataFrame:
-        return quality_issues(self.df)
+        return self._section(quality_issues(self.df))
 
     @cached_property
     def pii(self) -> DataFrame:
-        return pii_scan(self.df)
+        return self._section(pii_scan(self.df))
 
     @cached_property
     def pearson(self) -> DataFrame:
-        return top_pearson(self.df)
+        return self._section(top_pearson(self.df))
 
     @cached_property
     def spearman(self) -> DataFrame:
-        return top_spearman(self.df)
+        return self._section(top_spearman(self.df))
 
     @cached_property
     def associations(self) -> DataFrame:
-        return top_cramers_v(self.df)
+        return self._section(top_cramers_v(self.df))
 
     @cached_property
     def effects(self) -> DataFrame:
-        return category_effects(self.df)
+        return self._section(category_effects(self.df))
 
     def names(self, *kinds: str) -> str:
         """The profiled columns of the kinds, as a SQL list."""
@@ -343,11 +349,11 @@ def _recommended(p: Profile) -> DataFrame:
     return fired.where("rule != 'clean' or fired = 0").drop("fired")
 
 
-def insights(df: DataFrame) -> DataFrame:
-    p = Profile(df)
+def insights(table: DataFrame | Profile) -> DataFrame:
+    p = table if isinstance(table, Profile) else Profile(table, keep=True)
     return union_all(rule(p) for rule in INSIGHTS)
 
 
-def recommendations(df: DataFrame) -> DataFrame:
+def recommendations(table: DataFrame | Profile) -> DataFrame:
     """All that apply, or the single 'clean' row."""
-    return _recommended(Profile(df))
+    return _recommended(table if isinstance(table, Profile) else Profile(table, keep=True))

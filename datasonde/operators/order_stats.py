@@ -12,11 +12,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from datasonde.functions.values import grouped, number_literal
 
 # Distinct values one window partition may hold before ranges are split.
 ROWS_PER_BUCKET = 2_000_000
+# Ranges of about equal counts, and the even parts each is split into as rows grow.
 EDGES = 64
 MAX_SPLITS = 1024
 
@@ -25,50 +27,94 @@ QUARTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75}
 
 @dataclass(frozen=True)
 class RangeBuckets:
-    """A monotone map from a value to a bucket number, as SQL."""
+    """A monotone map from values to bucket numbers, from edges shared by all keys or one set per key.
+
+    Edges only balance the work; results are exact for any edges.
+    """
 
     edges: tuple[float, ...] = ()
     splits: int = 1
+    key: str | None = None
+    edges_by_key: tuple[tuple[int, tuple[float, ...]], ...] = ()
+
+    @property
+    def single(self) -> bool:
+        return not self.edges and not self.edges_by_key
+
+    def place(self, freq: DataFrame) -> DataFrame:
+        """``freq`` with a column ``bucket``."""
+        if self.single:
+            return freq.selectExpr("*", "0 as bucket")
+        if not self.edges_by_key:
+            return freq.selectExpr("*", f"{self._search([number_literal(e) for e in self.edges])} as bucket")
+        names = [f"e{i}" for i in range(EDGES + 1)]
+        schema = f"{self.key} int, " + ", ".join(f"{n} double" for n in names)
+        rows = [(k, *edges) for k, edges in self.edges_by_key]
+        known = freq.sparkSession.createDataFrame(rows, schema)
+        placed = freq.join(F.broadcast(known), self.key)  # one row per column
+        return placed.selectExpr(*freq.columns, f"{self._search(names)} as bucket")
+
+    def _search(self, edges: list[str]) -> str:
+        """Binary search as nested conditions; leaf ``i`` holds edges[i-1] <= value < edges[i]."""
+        v = "cast(value as double)"
+
+        def between(lo: int, hi: int) -> str:
+            if lo < hi:
+                mid = (lo + hi) // 2
+                return f"if({v} < {edges[mid]}, {between(lo, mid)}, {between(mid + 1, hi)})"
+            start = lo * self.splits
+            if self.splits == 1 or lo in (0, len(edges)):
+                return f"{start}"
+            share = f"try_divide({v} - {edges[lo - 1]}, {edges[lo]} - {edges[lo - 1]})"
+            return f"{start} + coalesce(cast(least(floor({share} * {self.splits}), {self.splits - 1}) as int), 0)"
+
+        return between(0, len(edges))
+
+
+def _sketch() -> str:
+    steps = ", ".join(f"{i / EDGES!r}D" for i in range(EDGES + 1))
+    return f"percentile_approx(cast(value as double), array({steps}), {10 * EDGES}) as edges"
 
-    def of(self, sql: str) -> str:
-        return self._search(f"cast({sql} as double)", 0, len(self.edges)) if self.edges else "0"
 
-    def _search(self, v: str, lo: int, hi: int) -> str:
-        """Binary search as nested conditions; leaf ``i`` holds edges[i-1] <= v < edges[i]."""
-        if lo < hi:
-            mid = (lo + hi) // 2
-            below, above = self._search(v, lo, mid), self._search(v, mid + 1, hi)
-            return f"if({v} < {number_literal(self.edges[mid])}, {below}, {above})"
-        start = lo * self.splits
-        if self.splits == 1 or lo in (0, len(self.edges)):
-            return f"{start}"
-        left, right = self.edges[lo - 1], self.edges[lo]
-        share = f"({v} - {number_literal(left)}) / {number_literal(right - left)}"
-        return f"{start} + cast(least(floor({share} * {self.splits}), {self.splits - 1}) as int)"
+def _splits(n: int) -> int:
+    return min(MAX_SPLITS, max(1, -(-n // (EDGES * ROWS_PER_BUCKET))))
+
+
+def _finite(edges: list[float] | None) -> tuple[float, ...]:
+    return tuple(sorted(float(e) for e in edges or [] if abs(e) != float("inf") and e == e))
 
 
 def plan_buckets(values: DataFrame, n: int) -> RangeBuckets:
-    """Buckets for the column ``value`` of ``values``, of which a key holds at most ``n``.
+    """Buckets for the column ``value`` of at most ``n`` rows, whatever their keys.
 
     Small inputs get a single bucket. Otherwise one aggregate brings back a fixed
-    number of approximate quantiles of the pooled values; they only balance the
-    work, the results stay exact for any edges.
+    number of approximate quantiles.
+    """
+    if n <= ROWS_PER_BUCKET:
+        return RangeBuckets()
+    found = values.selectExpr(_sketch()).first()["edges"]
+    return RangeBuckets(tuple(sorted(set(_finite(found)))), _splits(n))
+
+
+def plan_keyed_buckets(values: DataFrame, key: str, n: int) -> RangeBuckets:
+    """Buckets of their own for each key of (key, value), a key holding at most ``n`` rows.
+
+    For columns profiled together, whose values may lie on different scales; one row
+    of edges per column comes back.
     """
     if n <= ROWS_PER_BUCKET:
         return RangeBuckets()
-    steps = ", ".join(f"{i / EDGES!r}D" for i in range(1, EDGES))
-    sketch = f"percentile_approx(cast(value as double), array({steps}), {10 * EDGES}) as edges"
-    found = values.selectExpr(sketch).first()["edges"] or []
-    edges = tuple(sorted({float(e) for e in found if abs(e) != float("inf") and e == e}))
-    splits = min(MAX_SPLITS, max(1, -(-n // (EDGES * ROWS_PER_BUCKET))))
-    return RangeBuckets(edges, splits)
+    found = values.where("value is not null").groupBy(key).agg(F.expr(_sketch())).collect()
+    full = ((r[key], _finite(r["edges"])) for r in found)
+    rows = tuple((k, edges + edges[-1:] * (EDGES + 1 - len(edges))) for k, edges in full if edges)
+    return RangeBuckets((), _splits(n), key, rows)
 
 
 def running_counts(freq: DataFrame, keys: list[str], buckets: RangeBuckets) -> DataFrame:
     """Add ``before`` (rows below the value, per key) and ``total`` to (keys…, value, cnt)."""
     by = ", ".join(keys)
     so_far = "rows between unbounded preceding and current row"
-    if not buckets.edges:
+    if buckets.single:
         return freq.selectExpr(
             *keys,
             "value",
@@ -76,7 +122,7 @@ def running_counts(freq: DataFrame, keys: list[str], buckets: RangeBuckets) -> D
             f"sum(cnt) over (partition by {by} order by value {so_far}) - cnt as before",
             f"sum(cnt) over (partition by {by}) as total",
         )
-    placed = freq.selectExpr(*keys, "value", "cnt", f"{buckets.of('value')} as bucket")
+    placed = buckets.place(freq.select(*keys, "value", "cnt"))
     inside = placed.selectExpr(
         "*", f"sum(cnt) over (partition by {by}, bucket order by value {so_far}) - cnt as inside"
     )

@@ -23,7 +23,7 @@ from datasonde.functions.moments import sample_deviation
 from datasonde.functions.values import as_text, grouped, number_literal, rounded, union_all
 from datasonde.operators.columns import approximate_distinct, missing_counts, per_column
 from datasonde.operators.frequency import distinct_counts
-from datasonde.operators.order_stats import average_ranks, plan_buckets
+from datasonde.operators.order_stats import RangeBuckets, average_ranks, plan_buckets
 
 # Column pairs aggregated together; more would outgrow one generated method.
 PAIRS_PER_PASS = 60
@@ -171,7 +171,7 @@ def attach_ranks(rows: DataFrame, base: DataFrame, v: str, n_rows: int, few: boo
     """
     values = base.selectExpr(f"{v} as value").where("value is not null")
     freq = grouped(values, ["value"], cnt="count(*)").selectExpr("0 as side", "value", "cnt")
-    ranks = average_ranks(freq, ["side"], plan_buckets(values, n_rows))
+    ranks = average_ranks(freq, ["side"], RangeBuckets() if few else plan_buckets(values, n_rows))
     kept = [c for c in rows.columns if c != v]
     if few:
         found = rows.join(F.broadcast(ranks.selectExpr("value", f"rank as r{v}")), F.expr(f"{v} = value"), "left")

@@ -154,7 +154,7 @@ def is_non_decreasing(df: DataFrame, order_by: str, column: str) -> bool:
     key = info.number if info.kind == NUMERIC else f"cast(unix_micros(cast({info.value} as timestamp)) as double)"
     rows = df.selectExpr(f"{key} as value", f"{quoted(column)} as v").where("v is not null")
     buckets = plan_buckets(rows, df.count())
-    steps = rows.selectExpr("*", f"{buckets.of('value')} as bucket").selectExpr(
+    steps = buckets.place(rows).selectExpr(
         "bucket", "v", "coalesce(lag(v) over (partition by bucket order by value, v) > v, false) as falls"
     )
     ends = grouped(steps, ["bucket"], falls="max(falls)", low="min(v)", high="max(v)")  # one row per bucket

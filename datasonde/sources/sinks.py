@@ -1,28 +1,17 @@
-"""Writing a profile, and the shared folder for what jobs have to write."""
+"""Writing a profile."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from datasonde.operators.findings import Profile, insights, recommendations
-from datasonde.operators.health import health_score
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's ``spark.checkpoint.dir``.
-
-    Only where none is configured, as in a local test, is it a temporary folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="datasonde-")
-    return f"{root.rstrip('/')}/datasonde-{uuid.uuid4().hex}"
+from datasonde.operators.health import health_of
 
 
 def profile_tables(df: DataFrame) -> dict[str, DataFrame]:
-    """The profile of ``df`` as small tables by section."""
-    p = Profile(df)
+    """The profile of ``df`` as small tables by section, each computed once."""
+    p = Profile(df, keep=True)
+    constants = p.distinct.where("n_unique <= 1").select("column")
     return {
         "shape": p.shape,
         "duplicates": p.duplicates,
@@ -39,9 +28,9 @@ def profile_tables(df: DataFrame) -> dict[str, DataFrame]:
         "id_like": p.identifiers,
         "quality": p.issues,
         "pii": p.pii,
-        "health": health_score(df),
-        "insights": insights(df),
-        "recommendations": recommendations(df),
+        "health": health_of(p.missing, p.duplicates, p.issues, constants, len(df.columns)),
+        "insights": insights(p),
+        "recommendations": recommendations(p),
     }
 
 

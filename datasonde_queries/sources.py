@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datasonde.functions.shared import shared_folder
 from datasonde.functions.values import union_all
 from datasonde.operators.frequency import distinct_counts
 from datasonde.operators.table import all_missing
@@ -30,7 +31,7 @@ def order_parts(spark, sf) -> dict:
     "case when c_custkey % 4 = 0 then null else c_mktsegment end as c_mktsegment, c_acctbal < 0 as in_debt from customer",
 )
 def scan_csv(spark, sf):
-    path = f"{K.shared_folder(spark)}/customer.csv"
+    path = f"{shared_folder(spark)}/customer.csv"
     table(spark, sf, "customer").selectExpr(
         "c_custkey",
         "c_name",
@@ -152,7 +153,7 @@ def profile_sink(spark, sf):
         "missing": all_missing(df).selectExpr("column", "n_missing as n", "pct_missing as pct"),
         "distinct": distinct_counts(df).selectExpr("column", "n_unique as n"),
     }
-    written = K.write_profile(sections, K.shared_folder(spark), run_id="1")
+    written = K.write_profile(sections, shared_folder(spark), run_id="1")
     schema = "column string, n bigint, pct double"
     return union_all(
         spark.read.schema(schema).json(path).selectExpr(f"'{section}' as section", "*")

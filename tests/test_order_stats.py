@@ -33,7 +33,7 @@ def test_quantiles_match_numpy(spark, bucketed, tiny_buckets):
     values = skewed()
     rows, freq = tables(spark, values)
     buckets = O.plan_buckets(rows, len(values)) if bucketed else O.RangeBuckets()
-    assert bool(buckets.edges) == bucketed
+    assert buckets.single != bucketed
     got = O.quantiles(freq, ["side"], PROBS, buckets).first()
     assert got["n"] == len(values)
     for name, p in PROBS.items():
@@ -56,10 +56,24 @@ def test_no_bucket_is_crowded(spark, tiny_buckets):
     values = skewed()
     rows, freq = tables(spark, values)
     buckets = O.plan_buckets(rows, len(values))
-    sizes = freq.selectExpr(f"{buckets.of('value')} as bucket").groupBy("bucket").count()
+    sizes = buckets.place(freq).groupBy("bucket").count()
     assert sizes.agg({"count": "max"}).first()[0] < freq.count() / 4
 
 
+def test_columns_on_different_scales_get_their_own_buckets(spark, tiny_buckets):
+    rng = np.random.default_rng(8)
+    columns = {0: rng.random(400), 1: rng.normal(1e9, 5e7, 400), 2: np.full(400, 7.0), 3: -np.exp(rng.normal(0, 9, 400))}
+    rows = spark.createDataFrame([(p, float(v)) for p, vs in columns.items() for v in vs], "position int, value double")
+    buckets = O.plan_keyed_buckets(rows, "position", 400)
+    freq = grouped(rows, ["position", "value"], cnt="count(*)")
+    got = {r["position"]: r for r in O.quantiles(freq, ["position"], PROBS, buckets).collect()}
+    for p, values in columns.items():
+        for name, q in PROBS.items():
+            assert got[p][name] == pytest.approx(np.quantile(values, q), rel=1e-12)
+    largest = buckets.place(freq).groupBy("position", "bucket").count().groupBy("position").agg({"count": "max"})
+    assert all(n <= 400 / 4 for _, n in largest.collect())
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.floats(-1e9, 1e9), min_size=2, max_size=40), st.lists(st.floats(-1e9, 1e9), min_size=1, max_size=6, unique=True))
 def test_any_edges_give_exact_results(spark, values, edges):

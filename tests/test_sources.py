@@ -1,5 +1,6 @@
 import pytest
 
+from datasonde.functions.shared import shared_folder
 from datasonde.sources import parts as P
 from datasonde.sources import sinks as K
 from datasonde.sources import tables as S
@@ -122,4 +123,4 @@ def test_profile_is_written_once_per_run(spark, tmp_path):
 
 
 def test_shared_folder_is_the_cluster_one(spark):
-    assert K.shared_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert shared_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
