@@ -12,6 +12,7 @@ from datasonde_queries.profile import (
     PCT_MISSING,
     PCT_OUT,
     cramers_sql,
+    effects_sql,
     judged_sql,
     strongest_sql,
 )
@@ -172,7 +173,16 @@ for _freq, _label in LABELS.items():
     )
 
 
-@query("run_tool")
+@query(
+    "run_tool",
+    "select 0 as call, 'correlation_check' as tool, cast(null as varchar) as error, least(count(*), 1) as n_rows from orders\n"
+    "union all select 1, 'group_compare', null, count(distinct o_orderstatus) + 2 from orders\n"
+    "union all select 2, 'group_compare', 'column ''o_orderstatus'' is categorical, ''numeric_column'' must be numeric', null\n"
+    "union all select 3, 'value_scan', 'column ''nope'' not found', null\n"
+    "union all select 4, 'time_slice', 'freq must be one of [''D'', ''M'', ''Q'', ''W'', ''Y''], got ''H''', null\n"
+    "union all select 5, 'forecast', 'unknown tool ''forecast''; expected one of [''correlation_check'', ''group_compare'', "
+    "''missingness_analysis'', ''outlier_inspect'', ''time_slice'', ''value_scan'']', null",
+)
 def run_tool(spark, sf):
     """Dispatch by name: what ran and what was refused."""
     df = table(spark, sf, "orders")
@@ -197,9 +207,31 @@ def run_tool(spark, sf):
 # -- composites ----------------------------------------------------------------
 
 
-@query("auto_investigate")
+# The choices and the sentences in SQL; no numeric pair of the documents is correlated.
+DOCUMENT_EFFECT = effects_sql(1, 1, ["lang", "source"], ["doc_id", "n_chars"], "documents")
+
+
+def _gap_sql(n: str, c: str) -> str:
+    return (
+        f"select '{n}' as numeric, '{c}' as category, summary from (with {group_compare_sql('documents', n, c)}\n"
+        "select concat('mean differs by ', cast(round_even(max(mean) - min(mean), 4) as varchar), ' between ', "
+        "(select category from shown order by mean desc, rank limit 1), ' and ', "
+        "(select category from shown order by mean, rank limit 1)) as summary from shown)"
+    )
+
+
+@query(
+    "auto_investigate",
+    "with " + judged_sql("documents", ["n_chars"]) + ",\n"
+    f"e as ({DOCUMENT_EFFECT}),\n"
+    "gaps as (" + "\nunion all ".join(_gap_sql(n, c) for n in ("doc_id", "n_chars") for c in ("lang", "source")) + ")\n"
+    "select 1 as step, 'outlier_inspect' as tool, 'n_chars' as column_a, cast(null as varchar) as column_b, "
+    f"concat(count(case when out then 1 end), ' IQR outlier(s) in n_chars (', cast({PCT_OUT} as varchar), '% of ', max(n), ' non-null values), bounds [', "
+    "cast(round_even(max(lower), 4) as varchar), ', ', cast(round_even(max(upper), 4) as varchar), ']') as summary from j\n"
+    "union all select 3, 'group_compare', e.numeric, e.category, gaps.summary from e join gaps on e.numeric = gaps.numeric and e.category = gaps.category",
+)
 def auto_investigate(spark, sf):
-    return X.auto_investigate(table(spark, sf, "events"))
+    return X.auto_investigate(table(spark, sf, "documents"))
 
 
 @query(

@@ -211,5 +211,58 @@ def _clean_orders(spark, sf):
 
 
 register("rec_clean", _clean_orders, over("orders", _clean))
-register("insights", lambda spark, sf: tidy(I.insights(table(spark, sf, "events")), value=4))
-register("recommendations", lambda spark, sf: tidy(I.recommendations(table(spark, sf, "events")), value=4))
+# Everything said about the events: the rules that fire there, as one result.
+_event_skew = f"select * from ({placed(EVENT_NUMBERS, 'skewness({c}) as skew')}) where abs(skew) >= 1"
+# rule: (rows, order, column, metric, value)
+_event_rules = {
+    "shape": (
+        "select 1 as spot, 'n_rows' as fact, count(*) as n from v union all select 2, 'n_columns', 6 union all select 3, 'n_numeric_columns', 3 "
+        "union all select 4, 'n_categorical_columns', 3 union all select 5, 'duplicate_rows', (select count(*) from v) - (select count(*) from (select distinct * from v))",
+        "spot",
+        "null",
+        "fact",
+        "n",
+    ),
+    "missing": (
+        f"select * from (select sum(n_missing) as n_missing from ({placed(EVENTS_TEXT, 'count(*) - count({c}) as n_missing')})) where n_missing = 0",
+        "n_missing",
+        "null",
+        "'columns_with_missing'",
+        "n_missing",
+    ),
+    "skew": (_event_skew, "abs(skew) desc, position", '"column"', "'skew'", "skew"),
+    "outliers": (_outliers, 'n_out desc, "column"', '"column"', "'pct_rows'", "pct"),
+    "high_card": (_cardinality, "position", '"column"', "'n_unique'", "n_unique"),
+    "id_like": (
+        f"select *, case \"column\" when 'event_id' then 0 else 1 end as position from ({id_like_sql('v', ['event_id', 'user_id'], ['ts', 'event_type', 'props'])})",
+        "position",
+        '"column"',
+        "reason",
+        "null",
+    ),
+    "time_span": (_span, '"column"', '"column"', "span", "days"),
+    "transform": (_event_skew, "position", '"column"', "'skew'", "skew"),
+}
+
+
+def _event_sql(*names: str) -> str:
+    parts = []
+    for name in names:
+        rows, order, a, metric, value = _event_rules[name]
+        parts.append(
+            f"select '{name}' as rule, row_number() over (order by {order}) as rank, cast({a} as varchar) as column_a, cast(null as varchar) as column_b, "
+            f"cast({metric} as varchar) as metric, round_even(cast({value} as double), 4) as value from ({rows})"
+        )
+    return over("events", "\nunion all ".join(parts))
+
+
+register(
+    "insights",
+    lambda spark, sf: tidy(I.insights(table(spark, sf, "events")), value=4),
+    _event_sql("shape", "missing", "skew", "outliers", "high_card", "id_like", "time_span"),
+)
+register(
+    "recommendations",
+    lambda spark, sf: tidy(I.recommendations(table(spark, sf, "events")), value=4),
+    _event_sql("transform", "id_like", "high_card"),
+)

@@ -214,7 +214,24 @@ def col_types(spark, sf):
     return C.column_types(table(spark, sf, "lineitem")).drop("position")
 
 
-@query("col_summaries")
+def _summary(c: str) -> str:
+    numbers = {"mean": f"avg({c})", "median": f"quantile_cont({c}::double, 0.5)", "std": f"stddev_samp({c})", "skew": f"skewness({c})"}
+    return ", ' · ', ".join(f"'{name} ', cast(round_even({sql}, 4) as varchar)" for name, sql in numbers.items())
+
+
+@query(
+    "col_summaries",
+    "\nunion all ".join(
+        f"select {i} as position, '{c}' as \"column\", concat({_summary(c)}) as summary from events"
+        for i, c in ((0, "event_id"), (2, "user_id"), (4, "value"))
+    )
+    + "\nunion all select 1, 'ts', concat(" + TIME_TEXT.replace("{v}", "min(ts)") + ", ' → ', " + TIME_TEXT.replace("{v}", "max(ts)")
+    + ", ' (', cast(round_even((epoch_us(max(ts)) - epoch_us(min(ts)))::double / 86400000000, 2) as varchar), ' days)') from events"
+    + "".join(
+        f"\nunion all select {i}, '{c}', concat('top: ', value, ' (', cnt, ')') from ({top_sql('events', [c], 1)})"
+        for i, c in ((3, "event_type"), (5, "props"))
+    ),
+)
 def col_summaries(spark, sf):
     return C.column_summaries(table(spark, sf, "events"))
 
@@ -448,13 +465,13 @@ def top_cramers_v(spark, sf):
 BAND_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount"]
 
 
-def effects_sql(limit: int = 8, groups: int = 8) -> str:
+def effects_sql(limit: int = 8, groups: int = 8, cats: list[str] = BANDS, nums: list[str] = BAND_NUMBERS, source: str = "v") -> str:
     """(rank, category, numeric, spread, group_rank, group, mean, cnt)."""
     means = "\nunion all ".join(
         f"select {ci} as ci, {ni} as ni, '{c}' as category, '{n}' as numeric, {c} as \"group\", avg({n}) as mean, count({n}) as cnt, "
-        f"(select stddev_samp({n}) from v) as std from v where {c} is not null and {n} is not null group by {c}"
-        for ci, c in enumerate(BANDS)
-        for ni, n in enumerate(BAND_NUMBERS)
+        f"(select stddev_samp({n}) from {source}) as std from {source} where {c} is not null and {n} is not null group by {c}"
+        for ci, c in enumerate(cats)
+        for ni, n in enumerate(nums)
     )
     return (
         f"with m as ({means}),\n"
