@@ -24,6 +24,10 @@ from datasonde.operators.frequency import distinct_counts
 from datasonde.operators.order_stats import plan_buckets
 
 
+# JSON keeps milliseconds unless told otherwise.
+EXACT_TIMES = "map('timestampFormat', 'yyyy-MM-dd HH:mm:ss.SSSSSSXXX', 'timestampNTZFormat', 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
+
+
 def table_shape(df: DataFrame) -> DataFrame:
     """One row: n_rows, n_columns, n_numeric_columns, n_categorical_columns (all others)."""
     numeric = len(names_of(df, NUMERIC))
@@ -49,7 +53,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
         # adding 0.0 turns -0.0 into 0.0, which grouping by the columns does too
         cells = [f"{c.value} + 0D" if is_floating(c.data_type) else quoted(c.name) for c in infos]
         named = ", ".join(f"{cell} as c{i}" for i, cell in enumerate(cells))
-        keyed = df.selectExpr(f"unhex(sha2(to_json(struct({named})), 256)) as k")
+        keyed = df.selectExpr(f"unhex(sha2(to_json(struct({named}), {EXACT_TIMES}), 256)) as k")
     copies = grouped(keyed, keyed.columns, copies="count(*)")
     return copies.selectExpr(
         "coalesce(sum(copies), 0L) as n_rows", "coalesce(sum(copies - 1), 0L) as duplicate_rows"

@@ -21,6 +21,17 @@ def test_duplicates_keep_null_apart_from_its_spelling(make):
     assert T.duplicate_rows(df).first()["duplicate_rows"] == 0
 
 
+def test_duplicates_differ_in_the_last_digit(spark):
+    df = spark.sql(
+        "select 'x' as s, timestamp_ntz'2024-01-01 00:00:00.000001' as a, timestamp'2024-01-01 00:00:00' as b, 0.1D as d union all "
+        "select 'x', timestamp_ntz'2024-01-01 00:00:00.000002', timestamp'2024-01-01 00:00:00', 0.1D union all "
+        "select 'x', timestamp_ntz'2024-01-01 00:00:00.000001', timestamp'2024-01-01 00:00:00.000001', 0.1D union all "
+        "select 'x', timestamp_ntz'2024-01-01 00:00:00.000001', timestamp'2024-01-01 00:00:00', 0.10000000000000002D"
+    )
+    assert T.duplicate_rows(df).first()["duplicate_rows"] == 0
+    assert T.duplicate_rows(df.union(df)).first()["duplicate_rows"] == 4
+
+
 def test_duplicates_of_nested_rows(spark):
     df = spark.sql("select array(1, 2) as a, map('k', 1) as m union all select array(1, 2), map('k', 1) union all select array(2), map('k', 1)")
     assert T.duplicate_rows(df).first()["duplicate_rows"] == 1
