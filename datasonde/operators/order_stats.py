@@ -110,8 +110,9 @@ def plan_keyed_buckets(values: DataFrame, key: str, n: int) -> RangeBuckets:
     return RangeBuckets((), _splits(n), key, rows)
 
 
-def running_counts(freq: DataFrame, keys: list[str], buckets: RangeBuckets) -> DataFrame:
-    """Add ``before`` (rows below the value, per key) and ``total`` to (keys…, value, cnt)."""
+def running_counts(freq: DataFrame, keys: list[str], buckets: RangeBuckets, totals: bool = True) -> DataFrame:
+    """Add ``before`` (rows below the value, per key) and, if asked, ``total`` to (keys…, value, cnt)."""
+    total = ["total"] if totals else []
     by = ", ".join(keys)
     so_far = "rows between unbounded preceding and current row"
     if buckets.single:
@@ -120,7 +121,7 @@ def running_counts(freq: DataFrame, keys: list[str], buckets: RangeBuckets) -> D
             "value",
             "cnt",
             f"sum(cnt) over (partition by {by} order by value {so_far}) - cnt as before",
-            f"sum(cnt) over (partition by {by}) as total",
+            *[f"sum(cnt) over (partition by {by}) as {t}" for t in total],
         )
     placed = buckets.place(freq.select(*keys, "value", "cnt"))
     inside = placed.selectExpr(
@@ -133,7 +134,7 @@ def running_counts(freq: DataFrame, keys: list[str], buckets: RangeBuckets) -> D
         f"sum(size) over (partition by {by} order by bucket {so_far}) - size as base",
         f"sum(size) over (partition by {by}) as total",
     )
-    return inside.join(base, [*keys, "bucket"]).selectExpr(*keys, "value", "cnt", "base + inside as before", "total")
+    return inside.join(base, [*keys, "bucket"]).selectExpr(*keys, "value", "cnt", "base + inside as before", *total)
 
 
 def quantiles(freq: DataFrame, keys: list[str], probs: dict[str, float], buckets: RangeBuckets) -> DataFrame:
@@ -150,9 +151,9 @@ def quantiles(freq: DataFrame, keys: list[str], probs: dict[str, float], buckets
 
 
 def average_ranks(freq: DataFrame, keys: list[str], buckets: RangeBuckets) -> DataFrame:
-    """(keys…, value, cnt, total, rank): tied values share their mean rank."""
-    counted = running_counts(freq, keys, buckets)
-    return counted.selectExpr(*keys, "value", "cnt", "total", "before + (cnt + 1) / 2D as rank")
+    """(keys…, value, cnt, rank): tied values share their mean rank."""
+    counted = running_counts(freq, keys, buckets, totals=False)
+    return counted.selectExpr(*keys, "value", "cnt", "before + (cnt + 1) / 2D as rank")
 
 
 def with_fences(quartiles: DataFrame) -> DataFrame:

@@ -176,7 +176,7 @@ def attach_ranks(rows: DataFrame, base: DataFrame, v: str, n_rows: int, few: boo
     if few:
         found = rows.join(F.broadcast(ranks.selectExpr("value", f"rank as r{v}")), F.expr(f"{v} = value"), "left")
         return found.select(*kept, f"r{v}")
-    hot = f"cnt * {HOT_SHARE} > total"
+    hot = f"cnt * {HOT_SHARE} > {n_rows}"
     common = ranks.where(hot).selectExpr("value as k1", "rank as r1")
     others = ranks.where(f"not ({hot})").selectExpr("value as k2", "0 as s2", "rank as r2")
     served = rows.join(F.broadcast(common), F.expr(f"{v} = k1"), "left")
