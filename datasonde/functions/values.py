@@ -21,19 +21,12 @@ from datasonde.functions.fixed_values import (
     SENTINEL_STRINGS,
     WHITESPACE,
 )
-from datasonde.functions.kinds import BOOLEAN, DATETIME, column_infos, is_floating, kind_of, quoted, text_literal
+from datasonde.functions.kinds import BOOLEAN, DATETIME, is_floating, kind_of, text_literal
 
 # Texts of more bytes than this are compared through a SHA-256 digest (see text_key).
 KEY_BYTES = 128
 
 
-def normalize_missing(df: DataFrame) -> DataFrame:
-    """``df`` with every NaN replaced by null; other columns are untouched."""
-    if not any(is_floating(f.dataType) for f in df.schema.fields):
-        return df
-    return df.selectExpr(*[f"{c.value} as {quoted(c.name)}" for c in column_infos(df)])
-
-
 def union_all(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

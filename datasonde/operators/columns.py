@@ -19,7 +19,7 @@ from datasonde.functions.kinds import (
     text_literal,
 )
 from datasonde.functions.moments import sample_deviation, sample_kurtosis, sample_skewness
-from datasonde.functions.values import as_text, datetime_text, finite, grouped, percent, rounded, union_all
+from datasonde.functions.values import datetime_text, finite, grouped, percent, rounded, union_all
 from datasonde.operators.frequency import (
     POSITION,
     first_k,

@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from datasonde.functions.fixed_values import CHECK_ADVICE
-from datasonde.functions.kinds import BOOLEAN, CATEGORICAL, NUMERIC, column_infos, text_literal
+from datasonde.functions.kinds import BOOLEAN, CATEGORICAL, NUMERIC, text_literal
 from datasonde.functions.shared import kept
 from datasonde.functions.values import grouped, percent, union_all
 from datasonde.operators.columns import (

@@ -48,19 +48,6 @@ def validity(issues: DataFrame) -> DataFrame:
     return _flagged(issues, VALIDITY_CHECKS).selectExpr(*_component("validity", f"count(*) * {HEALTH_DEDUCTION}D"))
 
 
-def health_components(df: DataFrame) -> DataFrame:
-    """(component, score), unrounded, four rows."""
-    issues = quality_issues(df)
-    return union_all(
-        [
-            completeness(missing_counts(df)),
-            uniqueness(duplicate_rows(df)),
-            consistency(issues, constant_columns(df)),
-            validity(issues),
-        ]
-    )
-
-
 def health_score(df: DataFrame) -> DataFrame:
     """One row: score, grade, the rounded components and a verdict sentence."""
     return health_of(missing_counts(df), duplicate_rows(df), quality_issues(df), constant_columns(df), len(df.columns))

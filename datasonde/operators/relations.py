@@ -16,7 +16,6 @@ from datasonde.functions.kinds import (
     NUMERIC,
     column_infos,
     names_of,
-    quoted,
     text_literal,
 )
 from datasonde.functions.moments import sample_deviation

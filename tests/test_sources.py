@@ -53,6 +53,14 @@ def test_part_selection(parts):
             P.select_part(parts, wanted)
 
 
+def test_parts_from_files(spark, parts, tmp_path):
+    for name in ("Jan", "Feb"):
+        parts[name].write.parquet(str(tmp_path / name))
+    read = P.read_parts(spark, {name: str(tmp_path / name) for name in ("Jan", "Feb")})
+    combined, _ = P.combine_parts(read)
+    assert P.list_parts(read) == ["Jan", "Feb"] and combined.count() == 4
+
+
 def test_csv_types_and_missing_tokens(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text("id,score,grade,ok,joined,code\n1,1.5,A,True,2024-01-01,n/a\n2,NA,B,False,2024-01-02,7\n3,3,,True,,007\n4,4e2,\"x, \"\"y\"\"\",True,2024-01-04,NULL\n")
