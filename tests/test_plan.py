@@ -219,3 +219,19 @@ def test_date_windows(orders, kind, arguments, expected):
 
 def test_date_window_without_dates(make):
     assert date_window(make("x int", x=[1]), "since", start="2026-01-01") == []
+
+
+def test_filters_are_pushed_to_parquet(orders, tmp_path):
+    path = str(tmp_path / "orders")
+    orders.write.parquet(path)
+    spark = orders.sparkSession
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    df = spark.read.parquet(path)
+    node = {"op": "and", "children": [leaf(">", "amount", 150), leaf(">=", "day", "@month_start"), leaf("!=", "region", "US")]}
+    result = run_plan(df, {"aggregate": "count_nonnull", "column": "amount", "filters": node}, now=NOW)
+    scan = next(s.split("PushedFilters")[1] for s in result.table._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in s)
+    for pushed in ("GreaterThan(amount,150.0)", "GreaterThanOrEqual(day,2026-03-01T00:00)", "Not(EqualTo(region,US))"):
+        assert pushed in scan
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "ReadSchema: struct<region:string,amount:double,day:timestamp_ntz>" in scan
+    assert result.table.first()["value"] == 1
