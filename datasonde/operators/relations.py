@@ -19,6 +19,7 @@ from datasonde.functions.kinds import (
     text_literal,
 )
 from datasonde.functions.moments import sample_deviation
+from datasonde.functions.shared import kept
 from datasonde.functions.values import as_text, grouped, number_literal, rounded, union_all
 from datasonde.operators.columns import approximate_distinct, missing_counts, per_column
 from datasonde.operators.frequency import distinct_counts
@@ -26,6 +27,8 @@ from datasonde.operators.order_stats import RangeBuckets, average_ranks, plan_bu
 
 # Column pairs aggregated together; more would outgrow one generated method.
 PAIRS_PER_PASS = 60
+# Sets of rows ranked in one job; with more columns that have gaps, jobs follow each other.
+RANKINGS_PER_JOB = 12
 # Columns with no more values than this, by a sketch within a few percent, are looked up by broadcast.
 FEW_VALUES = 10_000
 # A value held by more than one row in this many is attached by broadcast.
@@ -214,7 +217,8 @@ def spearman_pairs(df: DataFrame, names: list[str] | None = None) -> DataFrame:
             rows = attach_ranks(rows, base, f"v{k}", n_rows, names[k] in few)
         ranks = rows.selectExpr(*[f"rv{k} - {number_literal(n_rows / 2)} as v{k}" for k in used])
         parts.append(_correlate(ranks, group, set()))
-    return union_all(parts)
+    batches = [union_all(parts[at : at + RANKINGS_PER_JOB]) for at in range(0, len(parts), RANKINGS_PER_JOB)]
+    return batches[0] if len(batches) == 1 else union_all(kept(b) for b in batches)
 
 
 def top_spearman(df: DataFrame, threshold: float = 0.5, limit: int = 10) -> DataFrame:

@@ -35,11 +35,12 @@ def test_pearson_matches_pandas(spark, numbers):
     assert {(r["col_a"], r["col_b"]): r["n"] for r in R.pearson_pairs(table(spark, numbers)).collect()}[("b", "d")] == len(numbers[["b", "d"]].dropna())
 
 
-@pytest.mark.parametrize("few, hot", [(10_000, 200), (0, 200), (0, 2), (0, 100_000)])
-def test_spearman_matches_pandas(spark, numbers, monkeypatch, few, hot):
+@pytest.mark.parametrize("few, hot, batch", [(10_000, 200, 12), (0, 200, 12), (0, 2, 12), (0, 100_000, 2)])
+def test_spearman_matches_pandas(spark, numbers, monkeypatch, few, hot, batch):
     """The same ranks whether values are broadcast, hot or joined."""
     monkeypatch.setattr(R, "FEW_VALUES", few)
     monkeypatch.setattr(R, "HOT_SHARE", hot)
+    monkeypatch.setattr(R, "RANKINGS_PER_JOB", batch)
     got, want = matrix(R.spearman_pairs(table(spark, numbers))), numbers.corr(method="spearman")
     assert len(got) == 10
     for (a, b), r in got.items():
