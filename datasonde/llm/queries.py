@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datasonde.llm import queries_native  # noqa: F401
+from datasonde.llm import queries_models, queries_native  # noqa: F401
 from datasonde.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
