@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from datasonde.llm import queries_models, queries_native  # noqa: F401
+import corpus_pipeline
+from datasonde.llm import queries_models, queries_native, queries_pairs, queries_tokens  # noqa: F401
 from datasonde.llm.registry import ORACLES, QUERIES
 
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
 __all__ = ["ORACLES", "QUERIES"]
