@@ -249,14 +249,17 @@ def fingerprint_links(marks: DataFrame, most: int = MAX_BITS, third_segment: boo
 
 
 def near_duplicates(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS, most: int = MAX_BITS, third_segment: bool = False) -> DataFrame:
-    """(id, digest, fp, component) of every (id, digest, text) row; the component is the smallest id of its group."""
+    """(id, digest, fp, root, component) of every (id, digest, text) row.
+
+    ``root`` is the least fingerprint of the row's group, ``component`` the smallest id in it.
+    """
     marks = stored(fingerprints(docs, words_per_shingle))
     firsts = stored(marks.groupBy("fp").agg(F.min("id").alias("first")))
     groups = components(fingerprint_links(firsts, most, third_segment))
     grouped = firsts.join(groups.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component"))
-    named = grouped.join(smallest, "root").select("fp", "component")
-    return marks.join(named, "fp").select("id", "digest", "fp", "component")
+    named = grouped.join(smallest, "root").select("fp", "root", "component")
+    return marks.join(named, "fp").select("id", "digest", "fp", "root", "component")
 
 
 def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words_per_shingle: int = SHINGLE_WORDS, most: int = MAX_BITS, third_segment: bool = False) -> DataFrame:
@@ -264,7 +267,7 @@ def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc
     body = F.col(f"`{text}`")
     rows = packed(docs, id=F.col(f"`{key}`"), digest=F.xxhash64(body), text=body)
     found = near_duplicates(rows, words_per_shingle, most, third_segment)
-    chosen = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "digest")).alias("c"))
+    chosen = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "digest")).alias("c"))
     chosen = chosen.select(F.col("c.id").alias("of"), F.col("c.digest").alias("of_digest"))
     same = F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("of_digest"))
     left = rows.drop("text").join(chosen, same, "left_semi")
