@@ -87,11 +87,8 @@ HEALTH_WEIGHTS = (("completeness", 40), ("uniqueness", 20), ("consistency", 20),
 HEALTH_DEDUCTION = 15.0
 HEALTH_GRADES = ((90, "A"), (80, "B"), (70, "C"), (60, "D"))
 
-# Sizes of the reported results.
-MAX_PROFILE_COLUMNS = 100
-MAX_LOW_CARD_COLUMNS = 12
+# Sizes of the reported results. Columns are never left out unless a caller asks for it.
 LOW_CARDINALITY = 20
-MAX_CO_MISSING_COLUMNS = 30
 MIN_ID_ROWS = 10
 
 # Plan limits.

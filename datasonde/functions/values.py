@@ -43,8 +43,8 @@ def number_literal(x: float) -> str:
 
 
 def finite(sql: str) -> str:
-    """Null instead of an infinite value."""
-    return f"if(abs({sql}) = double('Infinity'), null, {sql})"
+    """Null instead of an infinite value or NaN."""
+    return f"if(abs({sql}) < double('Infinity'), {sql}, null)"
 
 
 def rounded(sql: str, digits: int) -> str:

@@ -23,15 +23,11 @@ from datasonde.operators.frequency import named, numeric_frequencies, top_values
 from datasonde.operators.order_stats import QUARTILES, RangeBuckets, quantiles, with_fences
 from datasonde.operators.relations import category_effects, low_cardinality_counts, pearson_matrix, top_pearson
 
-MAX_NUMERIC_CHARTS = 12
-MAX_CATEGORY_CHARTS = 6
 MAX_CATEGORY_BARS = 12
-MAX_HEATMAP_COLUMNS = 40
 MAX_SCATTER_POINTS = 2000
 MAX_SCATTER_PAIRS = 3
 SCATTER_MIN_R = 0.4
 MAX_GROUPED_PAIRS = 3
-MAX_TREND_COLUMNS = 3
 BINS = 30
 GRID_POINTS = 200
 # A normal kernel this many bandwidths away is below double precision.
@@ -55,8 +51,8 @@ def chart_missing(df: DataFrame) -> DataFrame:
     )
 
 
-def varying_columns(df: DataFrame, limit: int) -> list[dict]:
-    """Range, spread and count of the first numeric columns that vary (driver-side, one row each)."""
+def varying_columns(df: DataFrame, limit: int | None = None) -> list[dict]:
+    """Range, spread and count of the numeric columns that vary, or of the first ones (driver-side, one row each)."""
     facts = per_column(
         df,
         column_infos(df, NUMERIC),
@@ -67,16 +63,16 @@ def varying_columns(df: DataFrame, limit: int) -> list[dict]:
             "n": f"count({c.value})",
         },
     )
-    known = facts.where("low < high").orderBy("position").limit(limit).collect()
-    return [r.asDict() for r in known]
+    known = facts.where("low < high").orderBy("position").collect()
+    return [r.asDict() for r in known[:limit]]
 
 
-def histogram(df: DataFrame, bins: int = BINS) -> DataFrame:
-    """(column, bin, low, high, cnt): equal-width bins of the first twelve numeric columns.
+def histogram(df: DataFrame, bins: int = BINS, columns: int | None = None) -> DataFrame:
+    """(column, bin, low, high, cnt): equal-width bins of the numeric columns, or of the first ``columns``.
 
     Bins are counted inside each task, so only bins leave it.
     """
-    facts = varying_columns(df, MAX_NUMERIC_CHARTS)
+    facts = varying_columns(df, columns)
     if not facts:
         return df.sparkSession.createDataFrame([], "column string, bin int, low double, high double, cnt bigint")
     infos = {c.name: c for c in column_infos(df, NUMERIC)}
@@ -110,22 +106,23 @@ def histogram(df: DataFrame, bins: int = BINS) -> DataFrame:
     )
 
 
-def density(df: DataFrame, points: int = GRID_POINTS) -> DataFrame:
+def density(df: DataFrame, points: int = GRID_POINTS, columns: int | None = None, reach: float = KERNEL_REACH) -> DataFrame:
     """(column, point, x, density): Gaussian kernel density with Scott's bandwidth.
 
     Every value is used. Each one only reaches the grid points its kernel can
-    change, so the work per value shrinks as the bandwidth does with more rows.
+    change, so the work per value shrinks as the bandwidth does with more rows: those
+    ``reach`` bandwidths away, beyond which a kernel is below double precision.
     """
-    facts = [f for f in varying_columns(df, MAX_NUMERIC_CHARTS) if f["std"]]
+    facts = [f for f in varying_columns(df, columns) if f["std"]]
     if not facts:
         return df.sparkSession.createDataFrame([], "column string, point int, x double, density double")
     known = df.sparkSession.createDataFrame(
         [(f["position"], f["low"], f["high"], f["std"] * f["n"] ** -0.2, f["n"]) for f in facts],
         "position int, lo double, hi double, h double, n bigint",
     ).withColumn("step", F.expr(f"(hi - lo) / {points - 1}"))
-    values = numeric_frequencies(df, [f["column"] for f in facts]).join(F.broadcast(known), "position")  # 12 rows
-    first = f"greatest(0, cast(ceil((value - {KERNEL_REACH} * h - lo) / step) as int))"
-    last = f"least({points - 1}, cast(floor((value + {KERNEL_REACH} * h - lo) / step) as int))"
+    values = numeric_frequencies(df, [f["column"] for f in facts]).join(F.broadcast(known), "position")  # one row per column
+    first = f"greatest(0, cast(ceil((value - {reach} * h - lo) / step) as int))"
+    last = f"least({points - 1}, cast(floor((value + {reach} * h - lo) / step) as int))"
     reached = values.selectExpr("position", "value", "cnt", "lo", "step", "h", f"explode(sequence({first}, {last})) as point")
     z = "((lo + point * step - value) / h)"
     summed = grouped(reached, ["position", "point"], s=f"sum(cnt * exp(-0.5D * {z} * {z}))")
@@ -163,20 +160,20 @@ def box_stats(freq: DataFrame, keys: list[str], buckets: RangeBuckets) -> DataFr
     )
 
 
-def chart_box(df: DataFrame) -> DataFrame:
-    """Box statistics of the first twelve numeric columns that vary."""
-    names = [f["column"] for f in varying_columns(df, MAX_NUMERIC_CHARTS)]
+def chart_box(df: DataFrame, columns: int | None = None) -> DataFrame:
+    """Box statistics of the numeric columns that vary, or of the first ``columns``."""
+    names = [f["column"] for f in varying_columns(df, columns)]
     stats = box_stats(numeric_frequencies(df, names), ["position"], numeric_buckets(df, names))
     return named(df, stats).drop("position")
 
 
-def chart_categories(df: DataFrame) -> DataFrame:
-    """(column, rank, value, cnt, share): bars of the first six category columns.
+def chart_categories(df: DataFrame, columns: int | None = None) -> DataFrame:
+    """(column, rank, value, cnt, share): bars of the category columns, or of the first ``columns``.
 
     Columns of 2..20 distinct values and varying booleans, each once, in table order.
     """
     near = low_cardinality_counts(df, (BOOLEAN, CATEGORICAL), 2, LOW_CARDINALITY)
-    names = [n for n, _ in near][:MAX_CATEGORY_CHARTS]
+    names = [n for n, _ in near][:columns]
     bars = top_values(df, names, MAX_CATEGORY_BARS)
     rows = missing_counts(df, column_infos(df, names=names)).select("position", "n_rows")
     return bars.join(rows, "position").selectExpr(
@@ -184,9 +181,9 @@ def chart_categories(df: DataFrame) -> DataFrame:
     )
 
 
-def chart_heatmap(df: DataFrame) -> DataFrame:
-    """(col_a, col_b, r): the full matrix of the first forty numeric columns that vary."""
-    return pearson_matrix(df, [f["column"] for f in varying_columns(df, MAX_HEATMAP_COLUMNS)])
+def chart_heatmap(df: DataFrame, columns: int | None = None) -> DataFrame:
+    """(col_a, col_b, r): the full matrix of the numeric columns that vary, or of the first ``columns``."""
+    return pearson_matrix(df, [f["column"] for f in varying_columns(df, columns)])
 
 
 def chart_scatter(df: DataFrame, key: list[str] | None = None, points: int = MAX_SCATTER_POINTS) -> DataFrame:
@@ -231,15 +228,16 @@ def chart_grouped_box(df: DataFrame) -> DataFrame:
     return box_stats(grouped(long, [*keys, "value"], cnt="count(*)"), keys, buckets)
 
 
-def chart_time_trend(df: DataFrame) -> DataFrame:
+def chart_time_trend(df: DataFrame, columns: int | None = None) -> DataFrame:
     """(bucket, column, mean): means per day, week or month of the first datetime column.
 
     Days up to a span of 90 days, weeks (labelled by their Sunday) up to three years,
-    months beyond; buckets without any value are left out.
+    months beyond; buckets without any value are left out. Of the numeric columns that
+    vary, or of the first ``columns``.
     """
     empty = df.sparkSession.createDataFrame([], "bucket string, column string, mean double")
     dates = column_infos(df, DATETIME)
-    names = [f["column"] for f in varying_columns(df, MAX_TREND_COLUMNS)] if dates else []
+    names = [f["column"] for f in varying_columns(df, columns)] if dates else []
     if not names:
         return empty
     at: ColumnInfo = dates[0]

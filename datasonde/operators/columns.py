@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datasonde.functions.fixed_values import MAX_PROFILE_COLUMNS
 from datasonde.functions.kinds import (
     BOOLEAN,
     CATEGORICAL,
@@ -39,8 +38,8 @@ from datasonde.operators.order_stats import (
     with_fences,
 )
 
-# Columns aggregated together; each group reads only its own columns.
-COLUMNS_PER_PASS = 12
+# Columns aggregated in one pass; beyond so many, another pass reads only its own columns.
+COLUMNS_PER_PASS = 1_000
 
 PROFILE_QUANTILES = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
 
@@ -48,9 +47,9 @@ PROFILE_QUANTILES = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95"
 Measure = Callable[[ColumnInfo], dict[str, str]]
 
 
-def profiled(df: DataFrame, *kinds: str, max_columns: int = MAX_PROFILE_COLUMNS) -> list[ColumnInfo]:
-    """The columns given a detailed profile: those of the kinds among the first ones."""
-    return [c for c in column_infos(df, *kinds) if c.position < max_columns]
+def profiled(df: DataFrame, *kinds: str, max_columns: int | None = None) -> list[ColumnInfo]:
+    """The columns given a detailed profile: all of the kinds, or those among the first ``max_columns``."""
+    return [c for c in column_infos(df, *kinds) if max_columns is None or c.position < max_columns]
 
 
 def per_column(df: DataFrame, infos: list[ColumnInfo], measure: Measure) -> DataFrame:
@@ -115,7 +114,7 @@ def numeric_cells(df: DataFrame, infos: list[ColumnInfo]) -> DataFrame:
     return cells.selectExpr(f"{POSITION} as position", "v")
 
 
-def numeric_moments(df: DataFrame, max_columns: int = MAX_PROFILE_COLUMNS) -> DataFrame:
+def numeric_moments(df: DataFrame, max_columns: int | None = None) -> DataFrame:
     """(position, column, n, mean, std, min, max, skew, kurtosis, n_zeros, n_negative)."""
     cells = numeric_cells(df, profiled(df, NUMERIC, max_columns=max_columns))
     measured = grouped(

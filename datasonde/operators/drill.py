@@ -42,16 +42,23 @@ from datasonde.operators.relations import low_cardinality_counts, pearson_pairs,
 MAX_GROUPS = 12
 MAX_TOP_VALUES = 8
 MAX_EXAMPLES = 5
-MAX_COMPARISONS = 3
 MAX_SPLITS = 3
 MAX_PERIODS = 10
 LOW_N = 30
 
 
 def correlation_check(df: DataFrame, column_a: str, column_b: str) -> DataFrame:
-    """One row: Pearson and Spearman on complete rows, n, and a caution below 30 rows."""
+    """One row: Pearson and Spearman on complete rows, n, and a caution below 30 rows.
+
+    An error without two complete rows, or where a column has one value in all of them.
+    """
     pair = [column_a, column_b]
     pearson = pearson_pairs(df, pair).selectExpr("i", "j", "n", f"{rounded('stat', 4)} as pearson_r")
+    known = pearson.first()  # one row
+    if known["n"] < 2:
+        raise ValueError(f"a correlation needs two complete rows, there are {known['n']}")
+    if known["pearson_r"] is None:
+        raise ValueError("a correlation needs two distinct values in both columns")
     spearman = spearman_pairs(df, pair).selectExpr("i", "j", f"{rounded('stat', 4)} as spearman_r")
     return pearson.join(spearman, ["i", "j"]).selectExpr(
         f"{text_literal(column_a)} as column_a", f"{text_literal(column_b)} as column_b", "pearson_r", "spearman_r", "n", f"n < {LOW_N} as low_n"
@@ -214,18 +221,20 @@ OUTLIER_SCHEMA = (
 )
 
 
-def outlier_inspect(df: DataFrame, column: str) -> DataFrame:
+def outlier_inspect(df: DataFrame, column: str, comparisons: int | None = None) -> DataFrame:
     """IQR outliers of one column and what else shifts with them.
 
     Parts: 'bounds' (fences, count, share), 'example' (five values farthest from the
-    median) and 'comparison' (means of up to three other numeric columns in the
-    outlier rows and in the rest).
+    median) and 'comparison' (means of the other numeric columns, or of the first
+    ``comparisons``, in the outlier rows and in the rest). An error without a value.
     """
     info = column_info(df, column)
     known = outlier_stats(df, [column]).first()  # one row
     spark = df.sparkSession
-    if known is None or known["lower"] is None:
-        n = known["n"] if known else 0
+    if known is None or not known["n"]:
+        raise ValueError(f"column {column!r} has no values")
+    if known["lower"] is None:
+        n = known["n"]
         return spark.createDataFrame([("bounds", None, column, None, None, None, n, 0, 0.0, None, None, None)], OUTLIER_SCHEMA)
     lower, upper, median = (number_literal(known[k]) for k in ("lower", "upper", "median"))
     bounds = spark.createDataFrame(
@@ -245,7 +254,7 @@ def outlier_inspect(df: DataFrame, column: str) -> DataFrame:
     ranked = first_k(copies, "side", "distance desc, value, copy", MAX_EXAMPLES)
     examples = shaped(ranked, part="'example'", rank="cast(rank as bigint)", column=text_literal(column), value=rounded("value", 6))
 
-    others = [c for c in column_infos(df, NUMERIC) if c.name != column][:MAX_COMPARISONS]
+    others = [c for c in column_infos(df, NUMERIC) if c.name != column][:comparisons]
     if not others or not known["n_outliers"]:
         return union_all([bounds, examples])
     out, rest = f"({v} < {lower} or {v} > {upper})", f"({v} >= {lower} and {v} <= {upper})"

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from datasonde.functions.kinds import SCALAR_KINDS, column_infos, is_floating, is_integral, names_of, text_literal
-from datasonde.functions.values import as_text, grouped, is_long, text_key, union_all
+from datasonde.functions.values import KEY_BYTES, as_text, grouped, is_long, text_key, union_all
 
 
 # The number of an unpivoted column. Never null, so that Spark adds no null filter to
@@ -123,18 +123,37 @@ def top_values(df: DataFrame, names: list[str], k: int) -> DataFrame:
     for data_type, cols in families(df, names).items():
         counted = frequencies(df, cols, data_type).where("value is not null")
         shown = counted.selectExpr("position", f"{as_text('value', data_type)} as value", "cnt")
-        best = first_k(shown, "position", "cnt desc, value", k)
         if isinstance(data_type, T.StringType):
-            best = whole_texts(df, cols, best)
+            # keys of long texts order by their first characters only: whole texts decide among equals
+            best = whole_texts(df, cols, tied_k(shown, f"cnt desc, left(value, {KEY_BYTES})", k))
+            best = first_k(best, "position", "cnt desc, value", k)
+        else:
+            best = first_k(shown, "position", "cnt desc, value", k)
         parts.append(best.selectExpr("position", "cast(rank as bigint) as rank", "value", "cnt"))
     return named(df, union_all(parts))
 
 
+def tied_k(df: DataFrame, order: str, k: int) -> DataFrame:
+    """The first ``k`` rows per column and all that tie with the last of them."""
+    ranked = df.withColumn("rank", F.expr(f"rank() over (partition by position order by {order})"))
+    return ranked.where(f"rank <= {k}").drop("rank")
+
+
 def whole_texts(df: DataFrame, cols: list[str], best: DataFrame) -> DataFrame:
-    """Replace the key of a long text by the text; at most k rows per column."""
+    """Replace the keys of long texts by the texts. As many as tie are joined, by key."""
     wanted = best.where(is_long("value")).selectExpr("position", "value as key")
     cells = unpivot_values(df, cols, T.StringType()).where(is_long("value"))
     keyed = cells.selectExpr("position", "value as whole", f"{text_key('value')} as key")
-    found = keyed.join(F.broadcast(wanted), ["position", "key"])  # k rows per column
-    texts = grouped(found, ["position", "key"], whole="any_value(whole)").withColumnRenamed("key", "value")
-    return best.join(texts, ["position", "value"], "left").withColumn("value", F.expr("coalesce(whole, value)"))
+    texts = grouped(keyed.join(wanted, ["position", "key"]), ["position", "key"], whole="any_value(whole)")
+    texts = texts.withColumnRenamed("key", "value")
+    return best.join(texts, ["position", "value"], "left").withColumn("value", F.expr("coalesce(whole, value)")).drop("whole")
+
+
+def first_texts(df: DataFrame, cols: list[str], k: int) -> DataFrame:
+    """(position, rank, value): the first ``k`` distinct texts of each column, in the order of whole texts.
+
+    Every task trims its cells to the first ``k`` ranks before they are shuffled.
+    """
+    cells = unpivot_values(df, cols, T.StringType()).where("value is not null")
+    ranked = cells.withColumn("rank", F.expr("dense_rank() over (partition by position order by value)"))
+    return ranked.where(f"rank <= {k}").distinct()

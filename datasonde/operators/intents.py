@@ -17,25 +17,21 @@ from datasonde.functions.kinds import (
 from datasonde.functions.values import as_text, datetime_text, grouped, rounded, union_all
 from datasonde.operators.columns import column_types, missing_counts, per_column
 from datasonde.operators.frequency import (
-    whole_texts,
     distinct_counts,
-    first_k,
-    frequencies,
+    first_texts,
     no_columns,
     top_values,
 )
 from datasonde.operators.relations import pearson_pairs, top_cramers_v, top_pearson, top_spearman
 from datasonde.operators.table import duplicate_rows, fully_empty_rows
 
-MAX_COLUMNS = 3
 MAX_VALUES = 8
-CATALOG_COLUMNS = 40
 CATALOG_VALUES = 5
 
 
 def ask_missing(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, n_missing, pct_missing, n_rows) of up to three columns."""
-    infos = [column_info(df, c) for c in columns[:MAX_COLUMNS]]
+    """(column, n_missing, pct_missing, n_rows) of the columns asked for."""
+    infos = [column_info(df, c) for c in columns]
     return missing_counts(df, infos).select("column", "n_missing", "pct_missing", "n_rows")
 
 
@@ -50,8 +46,8 @@ def ask_rows(df: DataFrame, duplicates: bool = False, missing: bool = False) ->
 
 
 def ask_stats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, max, min, mean, n) of up to three numeric columns that have values."""
-    infos = [c for c in (column_info(df, n) for n in columns) if c.kind == NUMERIC][:MAX_COLUMNS]
+    """(column, max, min, mean, n) of the numeric columns asked for that have values."""
+    infos = [c for c in (column_info(df, n) for n in columns) if c.kind == NUMERIC]
     measured = per_column(
         df,
         infos,
@@ -100,9 +96,9 @@ def ask_duplicates(df: DataFrame) -> DataFrame:
     return duplicate_rows(df)
 
 
-def schema_catalog(df: DataFrame, limit: int = CATALOG_COLUMNS) -> DataFrame:
-    """(position, column, kind, sample): range or first distinct values of each column."""
-    infos = [c for c in column_infos(df) if c.position < limit]
+def schema_catalog(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """(position, column, kind, sample): range or first distinct values of each column, or of the first ``limit``."""
+    infos = column_infos(df)[:limit]
 
     def sample(c) -> dict[str, str]:
         low, high = f"min({c.value})", f"max({c.value})"
@@ -117,8 +113,7 @@ def schema_catalog(df: DataFrame, limit: int = CATALOG_COLUMNS) -> DataFrame:
     ranges = per_column(df, infos, sample)
     texts = [c.name for c in infos if c.kind == CATEGORICAL]
     source, names = (df, texts) if texts else (no_columns(df, T.StringType()), ["none"])
-    values = frequencies(source, names, T.StringType()).where("value is not null")
-    first = whole_texts(source, names, first_k(values, "position", "value", CATALOG_VALUES))
+    first = first_texts(source, names, CATALOG_VALUES)
     listed = grouped(  # five values per column
         first,
         ["position"],

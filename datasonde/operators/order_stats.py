@@ -51,7 +51,8 @@ class RangeBuckets:
         schema = f"{self.key} int, " + ", ".join(f"{n} double" for n in names)
         rows = [(k, *edges) for k, edges in self.edges_by_key]
         known = freq.sparkSession.createDataFrame(rows, schema)
-        placed = freq.join(F.broadcast(known), self.key)  # one row per column
+        # one row per column; a column without finite values has no edges and a single bucket
+        placed = freq.join(F.broadcast(known), self.key, "left")
         return placed.selectExpr(*freq.columns, f"{self._search(names)} as bucket")
 
     def _search(self, edges: list[str]) -> str:

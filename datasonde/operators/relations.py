@@ -8,7 +8,7 @@ from math import prod
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datasonde.functions.fixed_values import LOW_CARDINALITY, MAX_LOW_CARD_COLUMNS
+from datasonde.functions.fixed_values import LOW_CARDINALITY
 from datasonde.functions.kinds import (
     BOOLEAN,
     CATEGORICAL,
@@ -69,8 +69,8 @@ def low_cardinality_counts(
     return [(n, exact[n]) for n in near if at_least <= exact.get(n, 0) <= at_most]
 
 
-def low_cardinality_columns(df: DataFrame, cap: int = MAX_LOW_CARD_COLUMNS) -> list[tuple[str, int]]:
-    """The first non-numeric columns with 2..20 distinct values, and how many they have."""
+def low_cardinality_columns(df: DataFrame, cap: int | None = None) -> list[tuple[str, int]]:
+    """The non-numeric columns with 2..20 distinct values, or the first ``cap``, and how many they have."""
     return low_cardinality_counts(df, (BOOLEAN, CATEGORICAL, DATETIME))[:cap]
 
 
@@ -333,7 +333,7 @@ def category_effects(df: DataFrame, limit: int = 8, groups: int = 8) -> DataFram
         .where("n_groups >= 2 and smallest >= 3 and raw_spread > 0")
         .withColumn("spread", F.expr(rounded("raw_spread", 3)))
     )
-    # at most 12 categories x numeric columns x 20 groups from here on
+    # at most categories x numeric columns x 20 groups from here on
     ranked = judged.selectExpr(
         "*",
         "cast(row_number() over (partition by category, numeric order by abs(mean) desc, group) as bigint) as group_rank",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from datasonde.functions.fixed_values import MAX_CO_MISSING_COLUMNS, MIN_ID_ROWS
+from datasonde.functions.fixed_values import MIN_ID_ROWS
 from datasonde.functions.kinds import (
     NESTED,
     NUMERIC,
@@ -100,23 +100,22 @@ def fully_empty_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def co_missing_pairs(df: DataFrame, limit: int = 5) -> DataFrame:
+def co_missing_pairs(df: DataFrame, limit: int = 5, max_columns: int | None = None) -> DataFrame:
     """(col_a, col_b, cnt, pct_of_rows) of columns missing together, most rows first.
 
-    Each row is reduced to the list of its missing columns; the lists are counted
-    once and the pairs are read off the few distinct ones.
+    Of all columns with gaps, or of the first ``max_columns``. Each row is reduced to the
+    list of its missing columns, which gives its pairs; pairs are counted in the tasks, so
+    one row per pair leaves each, however many patterns there are.
     """
-    gaps = missing_counts(df).where("n_missing > 0").orderBy("position").limit(MAX_CO_MISSING_COLUMNS)
-    found = gaps.select("column", "n_rows").collect()  # at most 30 rows
+    gaps = missing_counts(df).where("n_missing > 0").orderBy("position")
+    found = gaps.select("column", "n_rows").collect()[:max_columns]  # one row per column
     infos = [column_info(df, r["column"]) for r in found]
     n_rows = found[0]["n_rows"] if found else 0
     marks = ", ".join(f"if(({c.value}) is null, {i}, null)" for i, c in enumerate(infos, 1))
     listed = f"array({', '.join(text_literal(c.name) for c in infos)})" if infos else "cast(array() as array<string>)"
-    patterns = grouped(df.selectExpr(f"cast(array_compact(array({marks})) as array<int>) as at"), ["at"], cnt="count(*)")
-    pairs = patterns.selectExpr("cnt", "at", "explode(at) as a").selectExpr(
-        "cnt", "a", "explode(filter(at, x -> x > a)) as b"
-    )
-    counted = grouped(pairs, ["a", "b"], cnt="sum(cnt)").orderBy("cnt", "a", "b", ascending=[False, True, True])
+    rows = df.selectExpr(f"cast(array_compact(array({marks})) as array<int>) as at").where("size(at) > 1")
+    pairs = rows.selectExpr("at", "explode(at) as a").selectExpr("a", "explode(filter(at, x -> x > a)) as b")
+    counted = grouped(pairs, ["a", "b"], cnt="count(*)").orderBy("cnt", "a", "b", ascending=[False, True, True])
     return counted.limit(limit).selectExpr(
         f"element_at({listed}, a) as col_a",
         f"element_at({listed}, b) as col_b",
@@ -140,8 +139,12 @@ def id_like(df: DataFrame, order_by: str | None = None) -> DataFrame:
         v = f"cast({c.value} as decimal(20,0))"
         return f"max({v}) - min({v}) + 1 = count({v})"
 
+    # only a column that is unique in each row is read along the order
+    asked = {r["column"] for r in unique.select("column").collect()} if order_by is not None else set()
+
     def rising(c) -> str:
-        return f"max({str(is_integral(c.data_type) and is_non_decreasing(df, order_by, c.name)).lower()})"
+        holds = c.name in asked and is_integral(c.data_type) and is_non_decreasing(df, order_by, c.name)
+        return f"max({str(holds).lower()})"
 
     shape = per_column(df, infos, lambda c: {"sequential": dense(c) if order_by is None else rising(c)})
     reason = "if(sequential, 'sequential integer', 'unique per row') as reason"
@@ -151,16 +154,19 @@ def id_like(df: DataFrame, order_by: str | None = None) -> DataFrame:
 def is_non_decreasing(df: DataFrame, order_by: str, column: str) -> bool:
     """Whether ``column`` never falls along ``order_by`` (a number or a timestamp).
 
-    Neighbours are compared inside range buckets of the order key, then the
-    buckets' extremes are compared in turn.
+    Rows of one key are in the order of the column, so each key is folded to its extremes
+    before the shuffle; rows without a key have no place in the order and are left out.
+    Neighbouring keys, in their own type, are compared inside range buckets, then the
+    buckets' extremes in turn.
     """
     info = column_info(df, order_by)
-    key = info.number if info.kind == NUMERIC else f"cast(unix_micros(cast({info.value} as timestamp)) as double)"
-    rows = df.selectExpr(f"{key} as value", f"{quoted(column)} as v").where("v is not null")
-    buckets = plan_buckets(rows, df.count())
-    steps = buckets.place(rows).selectExpr(
-        "bucket", "v", "coalesce(lag(v) over (partition by bucket order by value, v) > v, false) as falls"
+    key = info.value if info.kind == NUMERIC else f"unix_micros(cast({info.value} as timestamp))"
+    rows = df.selectExpr(f"{key} as key", f"{quoted(column)} as v").where("key is not null and v is not null")
+    folded = grouped(rows, ["key"], low="min(v)", high="max(v)").selectExpr("*", "cast(key as double) as value")
+    buckets = plan_buckets(folded, df.count())
+    steps = buckets.place(folded).selectExpr(
+        "bucket", "low", "high", "coalesce(lag(high) over (partition by bucket order by key) > low, false) as falls"
     )
-    ends = grouped(steps, ["bucket"], falls="max(falls)", low="min(v)", high="max(v)")  # one row per bucket
+    ends = grouped(steps, ["bucket"], falls="max(falls)", low="min(low)", high="max(high)")  # one row per bucket
     across = ends.selectExpr("falls or coalesce(lag(high) over (partition by 0 order by bucket) > low, false) as falls")
     return not across.selectExpr("max(falls) as falls").first()["falls"]

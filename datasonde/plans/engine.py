@@ -12,12 +12,13 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 
 from datasonde.functions.fixed_values import MAX_RESULT_GROUPS
-from datasonde.functions.kinds import column_info, column_infos, quoted
+from datasonde.functions.kinds import column_info, column_infos, is_integral, quoted
 from datasonde.functions.values import as_text, grouped
 from datasonde.plans.dates import is_token, resolve_token, zone
 from datasonde.plans.filters import predicate
 from datasonde.plans.validate import children_of, operands, plan_errors
 
+RESULT_NAMES = ("value", "n", "n_rows", "truncated")
 SQL_AGGREGATES = {"count_nonnull": "count", "sum": "sum", "mean": "avg", "min": "min", "max": "max"}
 
 
@@ -37,11 +38,17 @@ class PlanResult:
         return self.matched.count()
 
 
-def run_plan(df: DataFrame, plan: object, tz: str = "UTC", now: datetime | None = None) -> PlanResult:
+def run_plan(
+    df: DataFrame, plan: object, tz: str = "UTC", now: datetime | None = None, max_groups: int | None = MAX_RESULT_GROUPS
+) -> PlanResult:
     """Check the plan against ``df`` and build its result.
 
-    Ungrouped: one row (value, n_matched, n_used). Grouped: (keys…, value, n,
-    n_rows, truncated), keys as text, the first 20 groups in key order.
+    Ungrouped: one row (value, n_matched, n_used). Grouped: (keys…, value, n, n_rows, truncated),
+    keys as text, the first ``max_groups`` groups in key order, or all for None. A key called like
+    a result gets underscores after its name. Integers are summed without overflow.
+
+    What can't be planned is an error value. The table is lazy: a value that Spark rejects only
+    when it reads the rows raises there.
     """
     try:
         errors = plan_errors(plan, df.schema)
@@ -49,7 +56,7 @@ def run_plan(df: DataFrame, plan: object, tz: str = "UTC", now: datetime | None
             return PlanResult(False, "; ".join(errors))
         zone(tz)
         rows = df.where(predicate(plan["filters"], df.schema, tz, now)) if plan.get("filters") else df
-        table = _grouped(rows, plan) if plan.get("group_by") else _scalar(rows, plan)
+        table = _grouped(rows, plan, max_groups) if plan.get("group_by") else _scalar(rows, plan)
         return PlanResult(True, None, describe(plan, tz, now), tz, table, rows)
     except Exception as problem:  # a plan never raises; what Spark rejects is an error value too
         return PlanResult(False, f"{type(problem).__name__}: {problem}")
@@ -59,7 +66,10 @@ def _measures(rows: DataFrame, plan: dict) -> tuple[str, str]:
     """SQL of the value and of the number of values used."""
     if plan["aggregate"] == "count":
         return "count(*)", "count(*)"
-    value = column_info(rows, plan["column"]).value
+    info = column_info(rows, plan["column"])
+    value = info.value
+    if plan["aggregate"] == "sum" and is_integral(info.data_type):
+        value = f"cast({value} as decimal(38,0))"
     measure = f"{SQL_AGGREGATES[plan['aggregate']]}({value})"
     if plan["aggregate"] == "sum":
         measure = f"coalesce({measure}, 0)"
@@ -71,19 +81,28 @@ def _scalar(rows: DataFrame, plan: dict) -> DataFrame:
     return rows.selectExpr(f"{value} as value", "count(*) as n_matched", f"{used} as n_used")
 
 
-def _grouped(rows: DataFrame, plan: dict) -> DataFrame:
+def _key_name(key: str) -> str:
+    while key.lower() in RESULT_NAMES:
+        key += "_"
+    return key
+
+
+def _grouped(rows: DataFrame, plan: dict, max_groups: int | None) -> DataFrame:
+    """Keys are grouped under internal names, so that they may be called like results."""
     keys = plan["group_by"]
     value, used = _measures(rows, plan)
     infos = {c.name: c for c in column_infos(rows, names=keys)}
+    inner = [f"__key_{i}" for i in range(len(keys))]
     present = rows.where(" and ".join(f"({infos[k].value}) is not null" for k in keys))
-    counted = grouped(present, [quoted(k) for k in keys], value=value, n=used, n_rows="count(*)")
-    shown = [f"{as_text(quoted(k), infos[k].data_type)} as {quoted(k)}" for k in keys]
-    ordered = counted.selectExpr(*shown, "value", "n", "n_rows").orderBy(*[quoted(k) for k in keys])
-    # one group more than shown tells whether any were left out; 21 rows at most from here on
-    first = ordered.limit(MAX_RESULT_GROUPS + 1).selectExpr(
-        "*", f"count(*) over (partition by 0) > {MAX_RESULT_GROUPS} as truncated"
-    )
-    return first.orderBy(*[quoted(k) for k in keys]).limit(MAX_RESULT_GROUPS)
+    named = present.selectExpr("*", *[f"{quoted(k)} as {n}" for k, n in zip(keys, inner)])
+    counted = grouped(named, inner, value=value, n=used, n_rows="count(*)")
+    shown = counted.selectExpr(*[f"{as_text(n, infos[k].data_type)} as {n}" for k, n in zip(keys, inner)], "value", "n", "n_rows")
+    final = [f"{n} as {quoted(_key_name(k))}" for k, n in zip(keys, inner)]
+    if max_groups is None:
+        return shown.orderBy(*inner).selectExpr(*final, "value", "n", "n_rows", "false as truncated")
+    # one group more than shown tells whether any were left out; max_groups + 1 rows at most from here on
+    first = shown.orderBy(*inner).limit(max_groups + 1).selectExpr("*", f"count(*) over (partition by 0) > {max_groups} as truncated")
+    return first.orderBy(*inner).limit(max_groups).selectExpr(*final, "value", "n", "n_rows", "truncated")
 
 
 # -- explanation ---------------------------------------------------------------

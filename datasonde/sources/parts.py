@@ -49,6 +49,15 @@ def is_empty(df: DataFrame) -> bool:
     return not df.columns or df.isEmpty()
 
 
+def filled_parts(parts: dict[str, DataFrame]) -> set[str]:
+    """The parts with rows, in one job that reads a row of each."""
+    readable = {name: df for name, df in parts.items() if df.columns}
+    if not readable:
+        return set()
+    firsts = [df.limit(1).selectExpr(f"{text_literal(name)} as part") for name, df in readable.items()]
+    return {r["part"] for r in union_all(firsts).collect()}
+
+
 def combine_parts(parts: dict[str, DataFrame], max_rows: int | None = None) -> tuple[DataFrame, list[str]]:
     """All non-empty parts as one table, and warnings.
 
@@ -56,7 +65,8 @@ def combine_parts(parts: dict[str, DataFrame], max_rows: int | None = None) -> t
     the part of each row, unless there is only one part or such a column exists.
     The row budget runs over the combined table.
     """
-    kept = {name: df for name, df in parts.items() if not is_empty(df)}
+    found = filled_parts(parts)
+    kept = {name: df for name, df in parts.items() if name in found}
     warnings = [f"skipped empty part '{name}'" for name in parts if name not in kept]
     if not kept:
         raise LoadError("there is no data in any part")
@@ -77,6 +87,18 @@ def _with_origin(name: str, df: DataFrame) -> DataFrame:
     return df.select(F.expr(f"{text_literal(name)} as {PART_COLUMN}"), "*")
 
 
+def read_part_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """All Parquet files of a folder as one table in one scan, each row with the name of its file.
+
+    The name goes to a first column, as :func:`combine_parts` does, unless the data have one.
+    """
+    try:
+        df = spark.read.parquet(folder)
+    except Exception as problem:
+        raise LoadError(f"could not load '{folder}': {problem}") from problem
+    return df if PART_COLUMN in df.columns else df.selectExpr(f"_metadata.file_name as {PART_COLUMN}", "*")
+
+
 def read_parts(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
     """Parts stored as files or directories, by name."""
     return {name: read_table(spark, path) for name, path in paths.items()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from datasonde.functions.fixed_values import CSV_MISSING_TOKENS
 from datasonde.functions.kinds import CATEGORICAL, column_infos, quoted, text_literal
@@ -14,52 +15,80 @@ class LoadError(Exception):
     """The input cannot become a table."""
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+# Where the cells beyond the header's are put, and what no cell is: empty cells stay empty texts.
+SURPLUS = "__surplus"
+NOT_A_CELL = "\u0001"
+WHOLE = r"^\s*[+-]?\d+\s*$"
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """A CSV file or directory with a header row.
 
-    Every cell is read as text, the missing tokens become null, and each column
-    then takes the narrowest type that holds all of its values; one pass over the
-    data decides for all columns.
+    Every cell is read as text, the missing tokens become null, and each column then takes
+    the narrowest type that holds all of its values without loss: 64-bit integers, integers
+    of up to 38 digits, doubles, booleans or text. One pass over the data decides for all.
+
+    Rows with a value beyond the cells of the header are an error, as are, unless ``multi_line`` is set,
+    quoted cells with a line break: those need whole files in one task, which is for the caller
+    to choose. Rows with fewer cells end in missing values.
     """
+    options = {"header": True, "escape": '"', "multiLine": multi_line, "nullValue": NOT_A_CELL}
     try:
-        raw = spark.read.csv(path, header=True, inferSchema=False, escape='"', multiLine=False)
+        names = spark.read.csv(path, inferSchema=False, **options).columns
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, SURPLUS]])
+        read = spark.read.schema(schema).csv(path, enforceSchema=True, **options) if names else None
     except Exception as problem:
         raise LoadError(f"could not load '{path}': {problem}") from problem
-    if not raw.columns:
-        return raw
+    if read is None:
+        return spark.read.csv(path, inferSchema=False, **options)
+    if not multi_line:
+        quotes = "length(value) - length(replace(value, '\"', ''))"
+        torn = spark.read.text(path).where(f"value rlike '(^|,)\\\\s*\"' and ({quotes}) % 2 = 1")
+        if not torn.isEmpty():
+            raise LoadError(f"'{path}' has quoted cells with a line break; read it with multi_line=True")
     tokens = ", ".join(text_literal(t) for t in CSV_MISSING_TOKENS)
-    blanked = raw.selectExpr(*[f"if({quoted(c)} in ({tokens}), null, {quoted(c)}) as {quoted(c)}" for c in raw.columns])
+    blanked = read.selectExpr(*[f"if({quoted(c)} in ({tokens}), null, {quoted(c)}) as {quoted(c)}" for c in names], SURPLUS)
 
     def parses(c) -> dict[str, str]:
         v = quoted(c.name)
+        whole = f"{v} rlike r'{WHOLE}'"
         return {
             "n": f"count({v})",
-            "whole": f"count(if({v} rlike r'^\\s*[+-]?\\d{{1,18}}\\s*$', 1, null))",
-            "number": f"count(if({v} rlike r'^\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*$', 1, null))",
+            "long": f"count(if({whole}, try_cast(trim({v}) as bigint), null))",
+            "wide": f"count(if({whole}, try_cast(trim({v}) as decimal(38,0)), null))",
+            "number": f"count(if({v} rlike r'{NUMBER}', 1, null))",
             "truth": f"count_if({v} in ('True', 'False', 'true', 'false', 'TRUE', 'FALSE'))",
         }
 
     counts = {r["column"]: r for r in per_column(blanked, column_infos(blanked), parses).collect()}  # one row per column
+    surplus = counts[SURPLUS]["n"]
+    if surplus:
+        raise LoadError(f"'{path}' has {surplus} row(s) with more cells than the {len(names)} of the header")
 
     def typed(name: str) -> str:
         found, v = counts[name], quoted(name)
         if found["n"] == 0 or found["n"] == found["number"]:
-            target = "bigint" if found["n"] and found["n"] == found["whole"] else "double"
+            target = next((t for t, k in (("bigint", "long"), ("decimal(38,0)", "wide")) if found["n"] and found[k] == found["n"]), "double")
             return f"cast(trim({v}) as {target}) as {v}"
         return f"cast({v} as boolean) as {v}" if found["n"] == found["truth"] else v
 
-    return blanked.selectExpr(*[typed(c) for c in blanked.columns])
+    return blanked.selectExpr(*[typed(c) for c in names])
 
 
 def read_table(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
-    """CSV by its suffix, otherwise Parquet; ``max_rows`` bounds it as in :func:`row_budget`."""
-    if path.rstrip("/").endswith(".csv"):
+    """CSV or Parquet by its suffix, Parquet for a folder without one; ``max_rows`` bounds it as in :func:`row_budget`."""
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    suffix = name.rsplit(".", 1)[-1].lower() if "." in name else ""
+    if suffix == "csv":
         df = read_csv(spark, path)
-    else:
+    elif suffix in ("parquet", ""):
         try:
             df = spark.read.parquet(path)
         except Exception as problem:
             raise LoadError(f"could not load '{path}': {problem}") from problem
+    else:
+        raise LoadError(f"cannot read '{path}': '.{suffix}' is neither .csv nor .parquet")
     return df if max_rows is None else row_budget(df, max_rows)
 
 
@@ -88,9 +117,12 @@ def check_input(df: DataFrame, max_rows: int | None = None, max_bytes: int | Non
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Bytes of the files behind ``df``, from the file metadata Spark exposes."""
-    files = df.select("_metadata.file_path", "_metadata.file_size").distinct()
-    return files.selectExpr("coalesce(sum(file_size), 0L) as size").first()["size"]
+    """Bytes of the files behind ``df``, from their listing; no content is read."""
+    files = df.inputFiles()
+    if not files:
+        return 0
+    listed = df.sparkSession.read.format("binaryFile").load(files).select("length")
+    return listed.selectExpr("coalesce(sum(length), 0L) as size").first()["size"]
 
 
 def infer_datetimes(df: DataFrame) -> DataFrame:

@@ -254,7 +254,7 @@ def anomaly_drilldown(spark, sf):
         "orders_gaps",
         each(
             f"select '{{c}}' as \"column\", count(*) - count({{c}}) as n_missing, {PCT_MISSING} as pct_missing, count(*) as n_rows from v",
-            c=["o_totalprice", "o_orderpriority", "o_orderstatus"],
+            c=["o_totalprice", "o_orderpriority", "o_orderstatus", "o_custkey"],
         ),
     ),
 )

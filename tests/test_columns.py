@@ -114,9 +114,10 @@ def test_profile_of_a_table_without_numbers(make):
     assert [r["column"] for r in C.column_summaries(df).collect()] == ["s"]
 
 
-def test_detail_covers_the_first_columns_and_counts_cover_all(spark):
+def test_detail_covers_all_columns_unless_a_caller_limits_it(spark):
     df = spark.range(3).selectExpr(*[f"id as c{i}" for i in range(104)], "cast(null as double) as last")
-    assert C.numeric_moments(df).count() == 100
+    assert C.numeric_moments(df).count() == 105
+    assert C.numeric_moments(df, max_columns=100).count() == 100
     assert by_column(C.missing_counts(df))["last"]["pct_missing"] == 100.0
 
 

@@ -1,6 +1,8 @@
 import pytest
 
+from datasonde.functions.kinds import column_infos
 from datasonde.functions.shared import shared_folder
+from datasonde.operators.columns import per_column
 from datasonde.sources import parts as P
 from datasonde.sources import sinks as K
 from datasonde.sources import tables as S
@@ -72,6 +74,68 @@ def test_csv_types_and_missing_tokens(spark, tmp_path):
     assert [r["code"] for r in rows] == [None, 7, 7, None]
 
 
+def test_csv_integers_keep_their_digits(spark, tmp_path):
+    path = tmp_path / "ids.csv"
+    ids = [9223372036854775806, 9223372036854775805, -9223372036854775808]
+    path.write_text("id,wide,huge\n" + "".join(f"{i},{i * 1000},{i}{'0' * 30}\n" for i in ids))
+    df = S.read_csv(spark, str(path))
+    assert dict(df.dtypes) == {"id": "bigint", "wide": "decimal(38,0)", "huge": "double"}
+    assert {r["id"] for r in df.collect()} == set(ids) and {int(r["wide"]) for r in df.collect()} == {i * 1000 for i in ids}
+
+
+def test_csv_rows_that_are_too_long_or_torn_are_errors(spark, tmp_path):
+    long, torn, short = (tmp_path / f"{n}.csv" for n in ("long", "torn", "short"))
+    long.write_text("a,b\n1,2\n3,4,5\n6,7,\n")
+    with pytest.raises(S.LoadError, match=r"1 row\(s\) with more cells than the 2"):
+        S.read_csv(spark, str(long))
+    torn.write_text('a,b\n1,"two\nlines"\n2,plain\n')
+    with pytest.raises(S.LoadError, match="line break"):
+        S.read_csv(spark, str(torn))
+    rows = S.read_csv(spark, str(torn), multi_line=True).orderBy("a").collect()
+    assert [tuple(r) for r in rows] == [(1, "two\nlines"), (2, "plain")]
+    short.write_text("a,b\n1\n2,x\n")
+    assert [tuple(r) for r in S.read_csv(spark, str(short)).orderBy("a").collect()] == [(1, None), (2, "x")]
+
+
+def test_the_type_pass_reads_a_wide_text_once(spark, tmp_path):
+    path = tmp_path / "wide.csv"
+    path.write_text(",".join(f"c{i}" for i in range(130)) + "\n" + ",".join("1" for _ in range(130)) + "\n")
+    df = S.read_csv(spark, str(path))
+    assert {t for _, t in df.dtypes} == {"bigint"}
+    infos = column_infos(df)
+    plan = per_column(df, infos, lambda c: {"n": f"count({c.value})"})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
+def test_other_suffixes_are_refused(spark):
+    with pytest.raises(S.LoadError, match="neither .csv nor .parquet"):
+        S.read_table(spark, "/nowhere/book.xlsx")
+
+
+def test_parts_of_a_folder_know_their_file(spark, parts, tmp_path):
+    parts["Jan"].coalesce(1).write.parquet(str(tmp_path / "all"))
+    parts["Feb"].coalesce(1).write.mode("append").parquet(str(tmp_path / "all"))
+    df = P.read_part_folder(spark, str(tmp_path / "all"))
+    assert df.columns == ["sheet", "id", "score"]
+    assert sorted(r["count"] for r in df.groupBy("sheet").count().collect()) == [2, 2]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Remote:
+        master = "spark://somewhere:7077"
+
+    class Session:
+        sparkContext = Remote()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
+    Remote.master = "local[2]"
+    assert shared_folder(Session())
+
+
 def test_unreadable_files(spark):
     for path in ("/nowhere/x.csv", "/nowhere/x.parquet"):
         with pytest.raises(S.LoadError, match="could not load"):
