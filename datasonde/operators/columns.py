@@ -18,7 +18,7 @@ from datasonde.functions.kinds import (
     text_literal,
 )
 from datasonde.functions.moments import sample_deviation, sample_kurtosis, sample_skewness
-from datasonde.functions.values import datetime_text, finite, grouped, percent, rounded, union_all
+from datasonde.functions.values import datetime_text, finite, grouped, number_literal, percent, rounded, union_all
 from datasonde.operators.frequency import (
     POSITION,
     first_k,
@@ -191,17 +191,26 @@ def judged_values(df: DataFrame, names: list[str], buckets: RangeBuckets | None
 
 
 def outlier_stats(df: DataFrame, names: list[str], buckets: RangeBuckets | None = None) -> DataFrame:
-    """(position, column, n, lower, upper, median, n_outliers, pct_outliers) per numeric column."""
-    counted = grouped(
-        judged_values(df, names, buckets),
-        ["position"],
-        n="max(n)",
-        lower="max(lower)",
-        upper="max(upper)",
-        median="max(median)",
-        n_outliers="sum(if(out, cnt, 0))",
-    )
-    return named(df, counted.selectExpr("*", f"{percent('n_outliers', 'n')} as pct_outliers"))
+    """(position, column, n, lower, upper, median, n_outliers, pct_outliers) per numeric column.
+
+    The fences, one row per column, are computed first; the rows outside them are then
+    counted in a plain pass, without a shuffle of values.
+    """
+    buckets = buckets or numeric_buckets(df, names)
+    fences = with_fences(quantiles(numeric_frequencies(df, names), ["position"], QUARTILES, buckets))
+    known = [tuple(r) for r in fences.select("position", "n", "lower", "upper", "median").collect()]
+    bounds = {position: (lower, upper) for position, _, lower, upper, _ in known if lower is not None}
+
+    def outside(c: ColumnInfo) -> dict[str, str]:
+        if c.position not in bounds:
+            return {"n_outliers": "count_if(false)"}
+        low, high = map(number_literal, bounds[c.position])
+        return {"n_outliers": f"count_if({c.number} < {low} or {c.number} > {high})"}
+
+    rows = df.sparkSession.createDataFrame(known, "position int, n bigint, lower double, upper double, median double")
+    counts = per_column(df, column_infos(df, names=names), outside).select("position", "n_outliers")
+    found = rows.join(F.broadcast(counts), "position")  # one row per column
+    return named(df, found.selectExpr("*", f"{percent('n_outliers', 'n')} as pct_outliers"))
 
 
 def outlier_examples(df: DataFrame, names: list[str], k: int = 3, buckets: RangeBuckets | None = None) -> DataFrame:

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from datasonde.functions.shared import shared_folder
 from datasonde.functions.values import union_all
-from datasonde.operators.frequency import distinct_counts
-from datasonde.operators.table import all_missing
 from datasonde.sources import parts as P
 from datasonde.sources import sinks as K
 from datasonde.sources import tables as S
@@ -143,19 +141,25 @@ def preview_rows(spark, sf):
     over(
         "orders_gaps",
         "with m as (" + each(f"select '{{c}}' as \"column\", count(*) - count({{c}}) as n_missing, {PCT_MISSING} as pct_missing, count(distinct {{c}}) as n_unique from v", c=GAPS_COLUMNS) + ")\n"
-        "select 'missing' as section, \"column\", n_missing as n, pct_missing as pct from m where n_missing > 0 union all select 'distinct', \"column\", n_unique, null from m",
+        "select 'missing' as section, \"column\", n_missing as n, pct_missing as pct from m union all select 'distinct', \"column\", n_unique, null from m\n"
+        "union all select 'duplicates', null, (select count(*) from v) - (select count(*) from (select distinct * from v)), null\n"
+        "union all select 'empty_rows', null, count(*), null from v where " + " or ".join(f"{c} is null" for c in GAPS_COLUMNS) + "\n"
+        "union all select 'co_missing', 'o_totalprice+o_orderpriority', count(*), null from v where o_totalprice is null and o_orderpriority is null",
     ),
 )
 def profile_sink(spark, sf):
-    """Two sections written as JSON and read back."""
-    df = table(spark, sf, "orders_gaps")
-    sections = {
-        "missing": all_missing(df).selectExpr("column", "n_missing as n", "pct_missing as pct"),
-        "distinct": distinct_counts(df).selectExpr("column", "n_unique as n"),
+    """A whole profile written as JSON, and some of its sections read back."""
+    tables = K.profile_tables(table(spark, sf, "orders_gaps"), order_by=["o_orderkey"])
+    written = dict(zip(tables, K.write_profile(tables, shared_folder(spark), run_id="1")))
+    none = "cast(null as double)"
+    read = {
+        "missing": ("column string, n_missing bigint, pct_missing double", "column", "n_missing", "pct_missing"),
+        "distinct": ("column string, n_unique bigint", "column", "n_unique", none),
+        "duplicates": ("duplicate_rows bigint", "cast(null as string)", "duplicate_rows", none),
+        "empty_rows": ("rows_with_missing bigint", "cast(null as string)", "rows_with_missing", none),
+        "co_missing": ("col_a string, col_b string, cnt bigint", "concat(col_a, '+', col_b)", "cnt", none),
     }
-    written = K.write_profile(sections, shared_folder(spark), run_id="1")
-    schema = "column string, n bigint, pct double"
     return union_all(
-        spark.read.schema(schema).json(path).selectExpr(f"'{section}' as section", "*")
-        for section, path in zip(sections, written)
+        spark.read.schema(schema).json(written[section]).selectExpr(f"'{section}' as section", f"{column} as column", f"{n} as n", f"{pct} as pct")
+        for section, (schema, column, n, pct) in read.items()
     )

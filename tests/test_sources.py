@@ -184,8 +184,11 @@ def test_preview_follows_the_key(spark):
 
 def test_profile_is_written_once_per_run(spark, tmp_path):
     df = spark.range(30).selectExpr("id", "if(id % 3 = 0, null, 'x') as s")
-    tables = K.profile_tables(df)
+    tables = K.profile_tables(df, order_by=["id"])
     assert {"shape", "missing", "moments", "pearson", "health", "insights", "recommendations"} <= set(tables)
+    assert {"quantiles", "modes", "column_types", "summaries", "sample", "empty_rows", "co_missing", "outlier_examples"} <= set(tables)
+    assert [r["id"] for r in tables["sample"].collect()] == ["0", "1", "2", "3", "4"]
+    assert tables["quantiles"].first()["median"] == 14.5 and tables["empty_rows"].first()["rows_with_missing"] == 10
     some = {k: tables[k] for k in ("shape", "missing", "health")}
     written = K.write_profile(some, str(tmp_path / "p"), run_id="1")
     assert len(written) == 3 and spark.read.json(written[0]).first()["n_rows"] == 30
