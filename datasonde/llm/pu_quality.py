@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from datasonde.llm.text_stats import SHAPE, hash_sample, measured, shape_matrix, shapes
+from datasonde.llm.text_stats import hash_sample, measured, shape_matrix, shapes
 
 MAX_POSITIVES = 20_000
 MAX_UNLABELLED = 40_000

@@ -1,4 +1,5 @@
 import random
+import re
 from itertools import combinations
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 def by_hand(text, width):
     words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
-    words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", words) if w]
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", words) if w]
     parts = [" ".join(words[i : i + width]) for i in range(max(len(words) - width + 1, 1))] if words else []
     hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
     return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
@@ -44,10 +45,6 @@ def test_fingerprints(text, width):
 def test_the_code_is_perfect():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 1 << 23, 2000)
-    index = simhash.decode(words)
-    for e in range(23):
-        for f in range(e):
-            pass
     nearest = simhash.decode(words)
     # Flipping up to three bits of a codeword decodes to the same index.
     remainders, patterns = simhash._golay()
@@ -58,7 +55,6 @@ def test_the_code_is_perfect():
         for _ in range(3):
             noise |= 1 << rng.integers(0, 23, len(words))
         assert (simhash.decode(codewords ^ noise) == nearest).all()
-    assert (index == nearest).all()
 
 
 @pytest.mark.parametrize("third", [False, True])
