@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import product
@@ -173,54 +174,86 @@ class ToxicModel:
         return 1.0 / (1.0 + np.exp(-(self.coefficients[0] + features @ self.coefficients[1:])))
 
 
-def _units(word: str) -> list[str]:
-    """A word, and its beginnings with a hyphen."""
-    return [word, *(word[:k] + "-" for k in PREFIXES if len(word) > k)]
+def _beginnings(word: str) -> list[str]:
+    return [word[:k] + "-" for k in PREFIXES if len(word) > k]
 
 
-def _places(docs: DataFrame, wanted: frozenset[str] | None = None) -> DataFrame:
-    """Distinct (unit, place, word) rows of (id, text) rows: where a unit first stands in a text, told by the words around it."""
+def _toxic_words(docs: DataFrame) -> DataFrame:
+    """(half, word, leads, n): in how many places the words of (half, text) rows first stand in a text.
+
+    A place is told by the words around it; a text gives one row for each of its words. Bit i of
+    ``leads`` says that the word is the text's first one with its beginning of ``PREFIXES[i]`` letters.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: set[tuple[str, int, int]] = set()
-            for text in batch.column(1):
+            rows: tuple[list, list, list, list] = ([], [], [], [])
+            for half, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = TOKEN.findall((text.as_py() or "").lower())
-                known = {word: i for i, word in zip(range(len(words) - 1, -1, -1), reversed(words))}
-                first: dict[str, int] = {}
-                for word, i in known.items():
-                    if len(word) > 1:
-                        for unit in _units(word):
-                            if wanted is None or unit in wanted:
-                                first[unit] = min(i, first.get(unit, i))
-                for unit, i in first.items():
+                known: set[str] = set()
+                for i, word in enumerate(words):
+                    if len(word) < 2 or word in known:
+                        continue
+                    starts = [word[:k] + "-" if len(word) > k else "" for k in PREFIXES]
+                    leads = sum(1 << b for b, start in enumerate(starts) if start and start not in known)
+                    known.update((word, *starts))
                     around = " ".join(words[max(i - 2, 0) : i] + words[i + 1 : i + 3])
-                    seen.add((unit, zlib.crc32(around.encode()), zlib.crc32(words[i].encode())))
-                if len(seen) > 200_000:
-                    yield _pairs(seen)
-                    seen = set()
-            yield _pairs(seen)
-
-    return docs.select("id", "text").mapInArrow(run, "unit string, place long, word long").distinct()
+                    for column, value in zip(rows, (half, word, leads, zlib.crc32(around.encode()))):
+                        column.append(value)
+            kinds = (pa.int32(), pa.string(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["half", "word", "leads", "place"])
 
+    places = docs.select("half", "text").mapInArrow(run, "half int, word string, leads int, place long").distinct()
+    return places.groupBy("half", "word", "leads").agg(F.count(F.lit(1)).alias("n"))
 
-def _pairs(seen: set[tuple[str, int, int]]) -> pa.RecordBatch:
-    units, places, words = zip(*sorted(seen)) if seen else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(places, pa.int64()), pa.array(words, pa.int64())], ["unit", "place", "word"])
 
+def _clean_units(docs: DataFrame, wanted: frozenset[str]) -> DataFrame:
+    """(half, unit, n): how many clean texts hold the wanted words and beginnings; counted by batch before the shuffle."""
 
-def learn_terms(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Weights, log odds of places per document, of the units that mark toxic texts; at most ``MAX_TERMS``."""
-    endings = F.approx_count_distinct("word")  # exact for so few
-    often = _places(toxic).groupBy("unit").agg(F.count_distinct("place").alias("n"), endings.alias("words"))
-    often = often.filter((F.col("n") >= MIN_PLACES) & (~F.col("unit").endswith("-") | (F.col("words") >= MIN_ENDINGS)))
-    # The sample bounds these: each unit stands in MIN_PLACES places of MAX_TOXIC texts.
-    counts = {r.unit: r.n for r in often.collect()}
-    common = _places(clean, frozenset(counts)).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
-    clean_counts = {r.unit: r.n for r in common.collect()}
-    odds = {u: float(np.log((n + 0.5) / (n_toxic + 1)) - np.log((clean_counts.get(u, 0) + 0.5) / (n_clean + 1))) for u, n in counts.items()}
-    strong = sorted(((u, w) for u, w in odds.items() if w >= MIN_LOG_ODDS), key=lambda x: (-x[1], x[0]))
-    return dict(strong[:MAX_TERMS])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: Counter[tuple[int, str]] = Counter()
+            for half, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = set(TOKEN.findall((text.as_py() or "").lower()))
+                units = words.union(*map(_beginnings, words)) & wanted
+                counts.update((half, u) for u in units)
+            halves, units = zip(*counts) if counts else ((), ())
+            columns = [pa.array(halves, pa.int32()), pa.array(units, pa.string()), pa.array(list(counts.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["half", "unit", "n"])
+
+    return docs.select("half", "text").mapInArrow(run, "half int, unit string, n long").groupBy("half", "unit").agg(F.sum("n").alias("n"))
+
+
+def _toxic_units(words: DataFrame) -> DataFrame:
+    """(unit, n0, n1): words, and beginnings of ``MIN_ENDINGS`` words, that stand in enough places of both halves together."""
+    sums = [F.sum(F.when(F.col("half") == h, F.col("n")).otherwise(0)).alias(f"n{h}") for h in (0, 1)]
+    starts = [F.when(F.col("leads").bitwiseAND(1 << b) > 0, F.concat(F.substring("word", 1, k), F.lit("-"))) for b, k in enumerate(PREFIXES)]
+    starts = words.select(F.explode(F.array(*starts)).alias("unit"), "word", "half", "n").filter(F.col("unit").isNotNull())
+    starts = starts.groupBy("unit").agg(*sums, F.approx_count_distinct("word").alias("words"))  # exact for so few
+    units = words.groupBy(F.col("word").alias("unit")).agg(*sums).unionByName(starts.filter(F.col("words") >= MIN_ENDINGS).drop("words"))
+    return units.filter(F.col("n0") + F.col("n1") >= MIN_PLACES)
+
+
+def learn_terms(rows: DataFrame, texts: dict[tuple[int, int], int]) -> tuple[dict[str, float], dict[str, float]]:
+    """Weights (log odds of a toxic text) of the units that mark toxic texts, from the first half and from both.
+
+    ``rows`` has (label, half, text), ``texts`` the number of rows by (label, half). At most ``MAX_TERMS`` units each.
+    """
+    found = _toxic_units(_toxic_words(rows.filter("label = 1"))).collect()  # bounded by the sample: each unit has MIN_PLACES
+    toxic = {r.unit: (r.n0, r.n1) for r in found}
+    clean = {(r.unit, r.half): r.n for r in _clean_units(rows.filter("label = 0"), frozenset(toxic)).collect()}
+
+    def weights(halves: tuple[int, ...]) -> dict[str, float]:
+        n_toxic, n_clean = (sum(texts.get((k, h), 0) for h in halves) + 1 for k in (1, 0))
+        odds = {}
+        for unit, n in toxic.items():
+            t, c = sum(n[h] for h in halves), sum(clean.get((unit, h), 0) for h in halves)
+            if t >= MIN_PLACES:
+                odds[unit] = float(np.log((t + 0.5) / n_toxic) - np.log((c + 0.5) / n_clean))
+        strong = sorted(((u, w) for u, w in odds.items() if w >= MIN_LOG_ODDS), key=lambda x: (-x[1], x[0]))
+        return dict(strong[:MAX_TERMS])
+
+    return weights((0,)), weights((0, 1))
 
 
 def _features(docs: DataFrame, model: ToxicModel, label: bool = False) -> DataFrame:
@@ -252,24 +285,24 @@ def _logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, pull: float = 0.0
     return w
 
 
+def _model(units: dict[str, float]) -> ToxicModel:
+    return ToxicModel({u: w for u, w in units.items() if u[-1] != "-"}, {u[:-1]: w for u, w in units.items() if u[-1] == "-"})
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> ToxicModel:
     """Fit on (id, text) rows and (id, label) rows with labels 0 and 1."""
     known = labels.filter(F.col("label").isNotNull() & F.col("id").isNotNull()).groupBy("id").agg(F.max("label").cast("int").alias("label"))
     parts = [hash_sample(known.filter(F.col("label") == k), most, "toxicity") for k, most in ((1, max_toxic), (0, max_clean))]
-    half = F.pmod(F.xxhash64(F.lit("half"), F.col("id")), F.lit(2))
+    half = F.pmod(F.xxhash64(F.lit("half"), F.col("id")), F.lit(2)).cast("int")
     sample = parts[0].unionByName(parts[1]).withColumn("half", half)
     counts = {(r.label, r.half): r.n for r in sample.groupBy("label", "half").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = docs.join(F.broadcast(sample), "id")  # max_toxic + max_clean rows, read several times
     rows = stored(rows.repartition(SAMPLE_TASKS, "id"))
 
-    def learned(halves: tuple[int, ...]) -> ToxicModel:
-        read = [rows.filter((F.col("label") == k) & F.col("half").isin(*halves)) for k in (1, 0)]
-        units = learn_terms(*read, *(sum(counts.get((k, h), 0) for h in halves) for k in (1, 0)))
-        return ToxicModel({u: w for u, w in units.items() if u[-1] != "-"}, {u[:-1]: w for u, w in units.items() if u[-1] == "-"})
-
-    found = sorted(tuple(r) for r in _features(rows.filter(F.col("half") == 1), learned((0,)), label=True).select("label", *FEATURES).collect())
+    first, both = (_model(units) for units in learn_terms(rows, counts))
+    found = sorted(tuple(r) for r in _features(rows.filter("half = 1"), first, label=True).select("label", *FEATURES).collect())
     table = np.array(found, np.float64).reshape(-1, len(FEATURES) + 1)
-    model = learned((0, 1))
+    model = both
     if len(table):
         fitted = _logistic(table[:, 1:], table[:, 0], model.coefficients)
         model.coefficients = np.concatenate([fitted[:1], np.maximum(fitted[1:], 0.0)])  # no pattern makes a text less toxic
