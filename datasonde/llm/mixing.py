@@ -56,7 +56,7 @@ def source_targets(sources: DataFrame, share: float = 1.5, cap: float = 2.0) ->
     )
     kept_back = F.sum(F.when(F.col("full"), F.col("limit_")).otherwise(0.0)).over(everything)
     full_weight = F.sum(F.when(F.col("full"), F.col("weight")).otherwise(0.0)).over(everything)
-    level = (F.col("wanted") - kept_back) / (F.col("weights") - full_weight)
+    level = F.try_divide(F.col("wanted") - kept_back, F.col("weights") - full_weight)  # no weight is left if all are full
     rows = rows.withColumn("target", F.when(F.col("full"), F.col("limit_")).otherwise(F.col("weight") * level))
     return rows.select("source", "source_size", "weight", "target")
 

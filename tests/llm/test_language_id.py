@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from datasonde.llm import language_id as lid
-from datasonde.llm.registry import QUERIES
+from datasonde.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 SYLLABLES = {"aa": "ka lo mi ru ta", "bb": "xo zi qu ge py", "cc": "éa ßo ün øl ñi"}

@@ -51,6 +51,11 @@ def test_reruns_agree_and_copies_are_numbered(spark):
     assert {(r[0], r[3]) for r in first} == {(i, k) for i, n in plan.items() for k in range(1, n + 1)}
 
 
+def test_sources_without_words_have_no_target(spark):
+    df = spark.createDataFrame([(1, "", "a"), (2, None, "b"), (3, " ", None)], "doc_id long, text string, source string")
+    assert {(r.target, r.taken) for r in mixing_plan(df).select("target", "taken").collect()} == {(0.0, 0)}
+
+
 def test_odd_rows(spark, odd, none):
     plan = mixing_plan(odd)
     rows = plan.select("row.doc_id", "row.source", "size", "source_size", "taken").collect()

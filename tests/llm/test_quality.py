@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from datasonde.llm import pu_quality as pu
 from datasonde.llm import quality_rules as rules
 from datasonde.llm.boosting import fit_trees
-from datasonde.llm.registry import QUERIES
+from datasonde.llm.queries import QUERIES
 from datasonde.llm.text_stats import BASE, SHAPE, measure
 
 SF = "/root/testdata/sf0.01"

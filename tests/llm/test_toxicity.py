@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from datasonde.llm import toxicity as tox
-from datasonde.llm.registry import QUERIES
+from datasonde.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
 MODEL = tox.ToxicModel({"fool": 4.0, "wretch": 2.0}, {"vile": 3.0})
