@@ -17,7 +17,7 @@ from datasonde.functions.kinds import (
     quoted,
     text_literal,
 )
-from datasonde.functions.values import as_text, grouped, number_literal, percent, rounded, union_all
+from datasonde.functions.values import as_text, finite, grouped, number_literal, percent, rounded, union_all
 from datasonde.operators.columns import missing_counts, numeric_buckets, per_column, pooled_buckets
 from datasonde.operators.frequency import named, numeric_frequencies, top_values
 from datasonde.operators.order_stats import QUARTILES, RangeBuckets, quantiles, with_fences
@@ -52,15 +52,18 @@ def chart_missing(df: DataFrame) -> DataFrame:
 
 
 def varying_columns(df: DataFrame, limit: int | None = None) -> list[dict]:
-    """Range, spread and count of the numeric columns that vary, or of the first ones (driver-side, one row each)."""
+    """Range, spread and count of the numeric columns that vary, or of the first ones (driver-side, one row each).
+
+    Of finite values: an infinite one has no place on a chart.
+    """
     facts = per_column(
         df,
         column_infos(df, NUMERIC),
         lambda c: {
-            "low": f"min({c.number})",
-            "high": f"max({c.number})",
-            "std": f"stddev_samp({c.number})",
-            "n": f"count({c.value})",
+            "low": f"min({finite(c.number)})",
+            "high": f"max({finite(c.number)})",
+            "std": f"stddev_samp({finite(c.number)})",
+            "n": f"count({finite(c.number)})",
         },
     )
     known = facts.where("low < high").orderBy("position").collect()
@@ -70,13 +73,13 @@ def varying_columns(df: DataFrame, limit: int | None = None) -> list[dict]:
 def histogram(df: DataFrame, bins: int = BINS, columns: int | None = None) -> DataFrame:
     """(column, bin, low, high, cnt): equal-width bins of the numeric columns, or of the first ``columns``.
 
-    Bins are counted inside each task, so only bins leave it.
+    Bins are counted inside each task, so only bins leave it. Infinite values are in no bin.
     """
     facts = varying_columns(df, columns)
     if not facts:
         return df.sparkSession.createDataFrame([], "column string, bin int, low double, high double, cnt bigint")
     infos = {c.name: c for c in column_infos(df, NUMERIC)}
-    values = df.selectExpr(*[f"{infos[f['column']].number} as v{i}" for i, f in enumerate(facts)])
+    values = df.selectExpr(*[f"{finite(infos[f['column']].number)} as v{i}" for i, f in enumerate(facts)])
     cells = []
     for i, f in enumerate(facts):
         low, high = number_literal(f["low"]), number_literal(f["high"])
@@ -120,7 +123,8 @@ def density(df: DataFrame, points: int = GRID_POINTS, columns: int | None = None
         [(f["position"], f["low"], f["high"], f["std"] * f["n"] ** -0.2, f["n"]) for f in facts],
         "position int, lo double, hi double, h double, n bigint",
     ).withColumn("step", F.expr(f"(hi - lo) / {points - 1}"))
-    values = numeric_frequencies(df, [f["column"] for f in facts]).join(F.broadcast(known), "position")  # one row per column
+    finite_values = numeric_frequencies(df, [f["column"] for f in facts]).where("abs(value) < double('Infinity')")
+    values = finite_values.join(F.broadcast(known), "position")  # one row per column
     first = f"greatest(0, cast(ceil((value - {reach} * h - lo) / step) as int))"
     last = f"least({points - 1}, cast(floor((value + {reach} * h - lo) / step) as int))"
     reached = values.selectExpr("position", "value", "cnt", "lo", "step", "h", f"explode(sequence({first}, {last})) as point")

@@ -147,7 +147,8 @@ def quantiles(freq: DataFrame, keys: list[str], probs: dict[str, float], buckets
         for side, spot in (("lo", at), ("hi", f"least({at} + 1, total - 1)")):
             ends[f"{name}_{side}"] = f"max(if(before <= {spot} and {spot} < before + cnt, value, null))"
         spot = f"(n - 1) * {p!r}D"
-        shown.append(f"{name}_lo + ({name}_hi - {name}_lo) * ({spot} - floor({spot})) as {name}")
+        between = f"{name}_lo + ({name}_hi - {name}_lo) * ({spot} - floor({spot}))"
+        shown.append(f"if({name}_lo = {name}_hi, {name}_lo, {between}) as {name}")  # equal infinities have no difference
     return grouped(running_counts(freq, keys, buckets), keys, **ends).selectExpr(*keys, "n", *shown)
 
 

@@ -20,7 +20,7 @@ from datasonde.functions.kinds import (
 )
 from datasonde.functions.moments import sample_deviation
 from datasonde.functions.shared import kept
-from datasonde.functions.values import as_text, grouped, number_literal, rounded, union_all
+from datasonde.functions.values import as_text, finite, grouped, number_literal, rounded, union_all
 from datasonde.operators.columns import approximate_distinct, missing_counts, per_column
 from datasonde.operators.frequency import distinct_counts
 from datasonde.operators.order_stats import RangeBuckets, average_ranks, plan_buckets
@@ -318,7 +318,7 @@ def category_effects(df: DataFrame, limit: int = 8, groups: int = 8) -> DataFram
     if not cats or not nums:
         return df.sparkSession.createDataFrame([], EFFECT_SCHEMA)
     deviations = per_column(
-        df, column_infos(df, names=nums), lambda c: {"std": sample_deviation(c.number)}
+        df, column_infos(df, names=nums), lambda c: {"std": finite(sample_deviation(c.number))}
     ).selectExpr("column as numeric", "std")
     pair = "over (partition by category, numeric)"
     judged = (

@@ -1,4 +1,9 @@
+import pytest
+
 from datasonde.operators import table as T
+from datasonde.operators.charts import histogram
+from datasonde.operators.columns import column_quantiles, numeric_moments
+from datasonde.operators.relations import category_effects
 
 
 def test_shape_counts_everything_not_numeric_as_categorical(make):
@@ -88,3 +93,39 @@ def test_order_check_across_buckets(spark, monkeypatch):
     df = spark.range(500).selectExpr("id as k", "id as up", "if(id = 400, 0, id) as dip").repartition(5)
     assert T.is_non_decreasing(df, "k", "up")
     assert not T.is_non_decreasing(df, "k", "dip")
+
+
+def test_order_keys_keep_their_type_repeat_and_may_be_missing(spark, make):
+    far = spark.range(20).selectExpr(f"{10**18}L + id as k", "100 - id as down")
+    assert not T.is_non_decreasing(far, "k", "down")
+    repeated = spark.range(1000).selectExpr("id div 500 as k", "id as v")
+    assert T.is_non_decreasing(repeated, "k", "v")
+    gaps = make("k long, v long", k=[1, 2, None, 3], v=[5, 6, 0, 7])
+    assert T.is_non_decreasing(gaps, "k", "v")
+
+
+@pytest.mark.parametrize("rows", [10, 2_000_000])
+def test_missing_keys_and_infinities_do_not_depend_on_the_buckets(spark, monkeypatch, rows):
+    from datasonde.operators import order_stats as O
+
+    monkeypatch.setattr(O, "ROWS_PER_BUCKET", rows)
+    df = spark.range(50).selectExpr("if(id % 7 = 0, null, id) as k", "id as up", "double('Infinity') as far", "double(id) as x")
+    assert T.is_non_decreasing(df, "k", "up")
+    found = {r["column"]: r["median"] for r in column_quantiles(df, ["far", "x"]).collect()}
+    assert found == {"far": float("inf"), "x": 24.5}
+
+
+def test_co_missing_looks_at_every_column(spark):
+    df = spark.range(40).selectExpr(*[f"if(id % {i + 2} = 0, null, id) as c{i}" for i in range(35)])
+    assert T.co_missing_pairs(df, limit=1000).count() == 35 * 34 // 2
+    assert T.co_missing_pairs(df, limit=1000, max_columns=30).count() == 30 * 29 // 2
+
+
+def test_infinities_do_not_become_nan(make):
+    n = 30
+    df = make("x double, y double, g string", x=[float("inf"), *map(float, range(n - 1))], y=[float(i * i) for i in range(n)], g=["a", "b", "c"] * 10)
+    moments = {r["column"]: r for r in numeric_moments(df).collect()}
+    assert moments["x"]["std"] is None and moments["x"]["skew"] is None and moments["y"]["std"] is not None
+    assert {r["numeric"] for r in category_effects(df).collect()} <= {"y"}
+    bins = [r["cnt"] for r in histogram(df.select("x")).collect()]
+    assert sum(bins) == n - 1 and max(bins) == 1
