@@ -68,7 +68,7 @@ def _table_of(words: DataFrame) -> np.ndarray:
     """The bits of the hashes of a column ``word``, as a table of fixed size; at most one row a byte comes to the driver."""
     bits = words.select((F.crc32(F.encode("word", "utf-8")) % FILTER_BITS).alias("bit")).distinct()
     bytes_ = bits.groupBy(F.expr("bit div 8").cast("int").alias("at")).agg(F.expr("cast(sum(shiftleft(1, cast(bit % 8 as int))) as int)").alias("value"))
-    rows = bytes_.toPandas()
+    rows = bytes_.toArrow()
     table = np.zeros(FILTER_BITS // 8, np.uint8)
     table[rows["at"].to_numpy()] = rows["value"].to_numpy()
     return table

@@ -144,7 +144,7 @@ class LanguageModel:
 
 def fit_languages(docs: DataFrame) -> LanguageModel:
     """Likelihoods from all (lang, text) rows."""
-    rows = count_grams(docs).toPandas()  # at most MAX_LANGUAGES times BUCKETS sums
+    rows = count_grams(docs).toArrow().to_pandas()  # at most MAX_LANGUAGES times BUCKETS sums
     languages = sorted(rows["lang"].unique())
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
