@@ -268,8 +268,9 @@ def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc
     rows = packed(docs, id=F.col(f"`{key}`"), digest=F.xxhash64(body), text=body)
     found = near_duplicates(rows, words_per_shingle, most, third_segment)
     chosen = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "digest")).alias("c"))
-    chosen = chosen.select(F.col("c.id").alias("of"), F.col("c.digest").alias("of_digest"))
-    same = F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("of_digest"))
-    left = rows.drop("text").join(chosen, same, "left_semi")
-    one = F.row_number().over(Window.partitionBy("id", "digest").orderBy(F.lit(0)))  # repeated rows are alike
+    name = F.coalesce(F.col("id").cast("string"), F.lit(""))
+    of = ["unnamed", "name", "digest"]  # no nulls: the join and the window below share one shuffle of the texts
+    chosen = chosen.select("c.*").select("unnamed", name.alias("name"), "digest")
+    left = rows.select("row", F.col("id").isNull().alias("unnamed"), name.alias("name"), "digest").join(chosen, of, "left_semi")
+    one = F.row_number().over(Window.partitionBy(*of).orderBy(F.lit(0)))  # repeated rows are alike
     return unpacked(left.withColumn("copy", one).filter("copy = 1"), docs.columns)
