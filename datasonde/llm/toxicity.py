@@ -237,21 +237,22 @@ def _toxic_units(words: DataFrame) -> DataFrame:
 def learn_terms(rows: DataFrame, texts: dict[tuple[int, int], int]) -> tuple[dict[str, float], dict[str, float]]:
     """Weights (log odds of a toxic text) of the units that mark toxic texts, from the first half and from both.
 
-    ``rows`` has (label, half, text), ``texts`` the number of rows by (label, half). At most ``MAX_TERMS`` units each.
+    ``rows`` has (label, half, text), ``texts`` the number of rows by (label, half). The driver gets the
+    names of the units, which the sample bounds, as each stands in MIN_PLACES places, and at most
+    ``MAX_TERMS`` weights each.
     """
-    found = _toxic_units(_toxic_words(rows.filter("label = 1"))).collect()  # bounded by the sample: each unit has MIN_PLACES
-    toxic = {r.unit: (r.n0, r.n1) for r in found}
-    clean = {(r.unit, r.half): r.n for r in _clean_units(rows.filter("label = 0"), frozenset(toxic)).collect()}
+    toxic = stored(_toxic_units(_toxic_words(rows.filter("label = 1"))))
+    names = frozenset(toxic.select("unit").toArrow().column(0).to_pylist())
+    by_half = [F.sum(F.when(F.col("half") == h, F.col("n")).otherwise(0)).alias(f"c{h}") for h in (0, 1)]
+    clean = _clean_units(rows.filter("label = 0"), names).groupBy("unit").agg(*by_half)
+    both = stored(toxic.join(clean, "unit", "left").fillna(0, ["c0", "c1"]))
 
     def weights(halves: tuple[int, ...]) -> dict[str, float]:
         n_toxic, n_clean = (sum(texts.get((k, h), 0) for h in halves) + 1 for k in (1, 0))
-        odds = {}
-        for unit, n in toxic.items():
-            t, c = sum(n[h] for h in halves), sum(clean.get((unit, h), 0) for h in halves)
-            if t >= MIN_PLACES:
-                odds[unit] = float(np.log((t + 0.5) / n_toxic) - np.log((c + 0.5) / n_clean))
-        strong = sorted(((u, w) for u, w in odds.items() if w >= MIN_LOG_ODDS), key=lambda x: (-x[1], x[0]))
-        return dict(strong[:MAX_TERMS])
+        places, holds = (sum((F.col(f"{c}{h}") for h in halves), F.lit(0)) for c in "nc")
+        odds = F.log((places + 0.5) / n_toxic) - F.log((holds + 0.5) / n_clean)
+        strong = both.filter(places >= MIN_PLACES).select("unit", odds.alias("weight")).filter(F.col("weight") >= MIN_LOG_ODDS)
+        return {r.unit: r.weight for r in strong.orderBy(F.desc("weight"), "unit").limit(MAX_TERMS).collect()}
 
     return weights((0,)), weights((0, 1))
 
