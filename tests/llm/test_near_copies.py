@@ -1,0 +1,118 @@
+import random
+from itertools import combinations
+
+import corpus_pipeline
+from datasonde.llm import near_copies
+from datasonde.llm.near_copies import band_keys, shingle_hashes, similar_links, without_near_copies
+from datasonde.llm.components import components
+
+
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def grouped(texts):
+    """Least position of each text's group, comparing all pairs."""
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in combinations(range(len(texts)), 2):
+        if jaccard(sets[i], sets[j]) >= 0.8:
+            a, b = sorted((top(i), top(j)))
+            root[b] = a
+    return [top(i) for i in range(len(texts))]
+
+
+def edited_copies(n, seed):
+    """Texts and copies of them, and of their copies, with some words changed."""
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(n):
+        words = [rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(300)) for _ in range(rng.randint(3, 250))]
+        for _ in range(rng.randint(1, 8)):
+            texts.append(" ".join(words))
+            words = list(words)
+            for _ in range(rng.randint(0, 1 + len(words) // 40)):
+                words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+    rng.shuffle(texts)
+    return texts
+
+
+def test_stage_leaves_what_all_pairs_leave(spark):
+    texts = [*edited_copies(60, 3), "", " \n", "two words", "Two  words"]
+    want = grouped(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    left = corpus_pipeline.one_of_each_group(spark, docs, "")
+    assert sorted(r.doc_id for r in left.collect()) == sorted(set(want))
+    assert len(set(want)) < len(set(texts)) - 50
+
+
+def test_a_single_changed_word_is_a_near_copy(spark):
+    words = [f"w{i}" for i in range(60)]
+    docs = [(1, " ".join(words)), (2, " ".join([*words[:30], "other", *words[31:]])), (3, " ".join([*words[:10], "x", *words[11:30], "other", *words[31:]]))]
+    left = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in left.collect()) == [1]  # 3 is within 0.8 of 2 only
+
+
+def test_what_stars_leave_is_compared(spark):
+    texts = edited_copies(25, 4)
+    rows = spark.createDataFrame([(i, t) for t, i in {t: i for i, t in enumerate(texts)}.items()], "node long, text string")
+    found = []
+    for stars in (1, 3):
+        links = similar_links(rows, stars=stars)
+        by_root = {}
+        for r in components(links).collect():
+            by_root.setdefault(r.root, []).append(r.node)
+        found.append(sorted(map(sorted, by_root.values())))
+    named = {}
+    for t, g in zip(texts, grouped(texts)):
+        named.setdefault(g, set()).add(texts.index(t) if texts.count(t) == 1 else len(texts) - 1 - texts[::-1].index(t))
+    assert found[0] == found[1] == sorted(sorted(g) for g in named.values() if len(g) > 1)
+
+
+def test_a_dense_group_is_not_compared_pair_by_pair(spark, monkeypatch):
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join([*base[:i], f"new{i}", *base[i + 1 :]]) for i in range(150)]
+    counts = []
+    verified = near_copies._verified
+
+    def counted(pairs, *rest):
+        counts.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "_verified", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert without_near_copies(docs).count() == 1
+    assert sum(counts) < 150 * 150 / 4
+
+
+def test_pairs_at_the_limit_share_a_key():
+    rng = random.Random(6)
+    for _ in range(300):
+        same = [rng.getrandbits(64) for _ in range(80)]
+        keys = [set(band_keys(_hashes(same + [rng.getrandbits(64) for _ in range(10)])).tolist()) for _ in range(2)]
+        assert keys[0] & keys[1]
+
+
+def _hashes(values):
+    import numpy as np
+
+    return np.array(values, np.uint64)
+
+
+def test_odd_rows(spark, odd, none):
+    left = without_near_copies(odd)
+    assert left.columns == odd.columns
+    assert sorted(r.doc_id for r in left.collect()) == [1, 2, 3, 6, 7, 7, 8]
+    assert without_near_copies(none).count() == 0
+    assert shingle_hashes(None).size == shingle_hashes(" \t").size == 0
