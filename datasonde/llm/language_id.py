@@ -18,6 +18,7 @@ id are predicted one by one; equal proportions go to the language that sorts fir
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -36,8 +37,9 @@ STEPS = 40
 TOLERANCE = 1e-3
 # Overlapping n-grams carry less than one observation each.
 GRAMS_PER_CHARACTER = len(GRAMS)
-# Texts are read in pieces of so many characters, which bounds the memory of one step.
+# Texts are read in pieces of so many characters, and on to the next white space, which bounds the memory of one step.
 PIECE = 1 << 20
+SPACE = re.compile(r"\s")
 
 
 @cache
@@ -70,8 +72,12 @@ def count_cells(text: str) -> tuple[np.ndarray, np.ndarray]:
     if len(text) <= 20_000:
         return np.unique(gram_cells(text), return_counts=True)
     total = np.zeros(BUCKETS, np.int64)
-    for start in range(0, len(text), PIECE):  # n-grams across the cut are left out
-        total += np.bincount(gram_cells(text[start : start + PIECE]), minlength=BUCKETS)
+    start = 0
+    while start < len(text):  # no n-gram and no lower case looks across white space
+        space = SPACE.search(text, start + PIECE)
+        end = space.start() if space else len(text)
+        total += np.bincount(gram_cells(text[start:end]), minlength=BUCKETS)
+        start = end
     cells = np.flatnonzero(total)
     return cells, total[cells]
 

@@ -92,3 +92,10 @@ def test_held_out_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     held = [r for r in rows if r.held_out]
     assert sum(r.lang_pred == docs[r.doc_id] for r in held) >= 0.95 * len(held)
+
+
+def test_pieces_count_as_the_whole_text():
+    text = "ab\u00e9 \u039f\u0394\u039f\u03a3 xyz, q7r\n" * 120_000 + "y" * 1_100_000 + " end"
+    whole, counts = np.unique(lid.gram_cells(text), return_counts=True)
+    cells, found = lid.count_cells(text)
+    assert (cells == whole).all() and (found == counts).all()
