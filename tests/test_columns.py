@@ -57,12 +57,12 @@ def test_distinct_counts_stay_exact_above_2_to_53(make):
 
 
 def test_iqr_outliers(make):
-    df = make("x double, y double", x=[1.0, 2.0, 3.0, 4.0, 5.0, 100.0], y=[10.0] * 5 + [50.0])
+    df = make("x double, y double", x=[14.0, 7.0, 90.0, 12.0, 9.0, 15.0, 10.0], y=[3.0] * 6 + [8.0])
     row = by_column(C.outlier_stats(df, ["x", "y"]))
-    assert (row["x"]["lower"], row["x"]["upper"]) == (-1.5, 8.5)
-    assert (row["x"]["n_outliers"], row["x"]["pct_outliers"]) == (1, 16.67)
+    assert (row["x"]["lower"], row["x"]["upper"]) == (2.0, 22.0)
+    assert (row["x"]["n_outliers"], row["x"]["pct_outliers"]) == (1, 14.29)
     assert (row["y"]["lower"], row["y"]["n_outliers"]) == (None, 0)  # no spread, no fences
-    assert [r["value"] for r in C.outlier_examples(df, ["x"]).collect()] == [100.0]
+    assert [r["value"] for r in C.outlier_examples(df, ["x"]).collect()] == [90.0]
 
 
 def test_outlier_examples_are_farthest_first_and_repeat(make):
@@ -72,9 +72,9 @@ def test_outlier_examples_are_farthest_first_and_repeat(make):
 
 
 def test_outlier_columns_report_both_shares(make):
-    df = make("x double", x=[1.0, 2.0, 3.0, 4.0, 5.0, 100.0, None, None])
+    df = make("x double", x=[14.0, None, 7.0, 90.0, 12.0, None, 9.0, 15.0, 10.0])
     row = C.outlier_columns(df).first()
-    assert (row["n_outliers"], row["pct_outliers"], row["pct_rows"], row["examples"]) == (1, 16.67, 12.5, [100.0])
+    assert (row["n_outliers"], row["pct_outliers"], row["pct_rows"], row["examples"]) == (1, 14.29, 11.11, [90.0])
 
 
 def test_datetime_span(make):
