@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datasonde.llm import decontaminate, simhash
+from datasonde.llm import decontaminate, ngram_join, simhash
 from datasonde.llm.registry import query, table
 
 WINDOW_SQL = r"""
@@ -50,3 +50,10 @@ def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("digest"), "text")
     rows = simhash.near_duplicates(docs, words_per_shingle=4, most=4)
     return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query("op12_ngram_join")
+def ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    rows = ngram_join.joined(docs)
+    return rows.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
