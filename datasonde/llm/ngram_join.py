@@ -9,8 +9,8 @@ never enters the product, or leaves it as soon as its count shows that:
   very frequent ones last; if two sets are similar, they share one of the first (100 - p) % of
   either, and of the shorter one's first (100 - p) / (100 + p). Only these parts form the product.
 * **Pairs.** Sizes must lie within p %; a shared n-gram's places in both sets bound the overlap;
-  and once all counts of a pair are added up, so do its number of shared n-grams and what follows
-  the last of them. The few pairs left are verified on the whole sets.
+  and once all counts of a pair are added up, so does their sum with what follows the last shared
+  n-gram, or with what the first parts leave out. The few pairs left are verified on whole sets.
 
 Frequent n-grams are told by a table of counters of fixed size, filled in one pass over all
 documents. A counter is never below the number of sets that hold its n-gram, so columns that are
@@ -225,7 +225,7 @@ def _columns(docs: DataFrame, sent: Broadcast, width: int, percent: int) -> Data
     return docs.select("text").mapInArrow(run, "hot boolean, token long, key long, size int, pos int, cold int")
 
 
-MEETING = ["token", "a", "size_a", "pos_a", "b", "size_b", "pos_b", "cold_a"]
+MEETING = ["token", "a", "size_a", "pos_a", "b", "size_b", "pos_b", "cold_a", "cold_b"]
 
 
 def _product(percent: int):
@@ -245,13 +245,13 @@ def _product(percent: int):
             good = possible(most, size[a], size[b], percent)
             if good.any():
                 a, b = a[good], b[good]
-                yield _batch([token[a], key[a], size[a], pos[a], key[b], size[b], pos[b], None])
+                yield _batch([token[a], key[a], size[a], pos[a], key[b], size[b], pos[b], cold[a], cold[b]])
             step += 1
             near = near[near + step < len(token)]
             near = near[token[near] == token[near + step]]
         kept = np.flatnonzero(hot)
         if len(kept):
-            yield _batch([token[kept], key[kept], size[kept], pos[kept], None, None, None, cold[kept]])
+            yield _batch([token[kept], key[kept], size[kept], pos[kept], None, None, None, cold[kept], None])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.empty((6, 0), np.int64)
@@ -273,7 +273,7 @@ def _product(percent: int):
 
 
 def _batch(columns: list[np.ndarray | None]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
     return pa.RecordBatch.from_arrays([pa.nulls(len(columns[0]), k) if c is None else pa.array(c, k) for c, k in zip(columns, kinds)], MEETING)
 
 
@@ -282,16 +282,22 @@ def _counted(met: DataFrame, percent: int) -> DataFrame:
     index = f"pos_a < {_index('size_a', percent)}"
     summed = grouped(
         met.where("b is not null"),
-        ["a", "b", "size_a", "size_b"],
+        ["a", "b", "size_a", "size_b", "cold_a", "cold_b"],
         shared="count(*)",
         at_a="max(pos_a)",
         at_b="max(pos_b)",
         begun=f"max({index})",
     )
-    bound = "shared + least(size_a - at_a, size_b - at_b) - 1"
+    # n-grams that aren't frequent come first, and of a set's first part all shared ones are counted
+    left = [f"size_{x} - least(cold_{x}, {_probe(f'size_{x}', percent)})" for x in "ab"]
+    bound = f"shared + least(size_a - at_a - 1, size_b - at_b - 1, greatest({left[0]}, {left[1]}))"
     return summed.where(f"begun and {_possible(bound, 'size_a', 'size_b', percent)}").select("a", "b")
 
 
+def _probe(n: str, percent: int) -> str:
+    return f"({n} - cast(ceil({percent}L * {n} / 100D) as int) + 1)"
+
+
 def _index(n: str, percent: int) -> str:
     return f"({n} - cast(ceil({2 * percent}L * {n} / {100 + percent}D) as int) + 1)"
 
@@ -373,11 +379,12 @@ def _sets(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The links (a, b) among the pairs, by their whole sets."""
+    """The links (a, b) among the pairs, by their whole sets, each of which is shuffled to its pairs once."""
     pairs = stored(pairs)
-    keys = pairs.selectExpr("explode(array(a, b)) as key").distinct()
-    sets = stored(_sets(docs, keys, width))
-    both = pairs.join(sets.selectExpr("key as a", "tokens as x"), "a").join(sets.selectExpr("key as b", "tokens as y"), "b")
+    sides = pairs.selectExpr("a", "b", "inline(array(struct(a as key, true as short), struct(b as key, false as short)))")
+    sets = _sets(docs, sides.select("key").distinct(), width)
+    met = sides.join(sets, "key").groupBy("a", "b")
+    both = met.agg(F.expr("any_value(if(short, tokens, null), true) as x"), F.expr("any_value(if(short, null, tokens), true) as y"))
     return stored(both.where(_possible("size(array_intersect(x, y))", "size(x)", "size(y)", percent)).select("a", "b"))
 
 
@@ -388,7 +395,7 @@ def set_links(docs: DataFrame, sized: DataFrame, width: int = WORDS, percent: in
     columns = _columns(docs, sent, width, percent)
     dealt: Column = F.when(F.col("hot"), F.xxhash64("token", "key")).otherwise(F.col("token"))
     columns = columns.repartition(dealt).sortWithinPartitions("hot", "token", "size", "key").select("hot", "token", "size", "key", "pos", "cold")
-    met = stored(columns.mapInArrow(_product(percent), "token long, a long, size_a int, pos_a int, b long, size_b int, pos_b int, cold_a int"))
+    met = stored(columns.mapInArrow(_product(percent), "token long, a long, size_a int, pos_a int, b long, size_b int, pos_b int, cold_a int, cold_b int"))
     members = _members(met)
     links = _verified(docs, _counted(met, percent).unionByName(_led(members, percent)).distinct(), width, percent)
     groups = components(links)
