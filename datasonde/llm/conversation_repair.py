@@ -356,7 +356,9 @@ def repair(rows: DataFrame, piece_bits: int = PIECE_BITS) -> Repair:
 
     pieces = ordered.select(F.shiftright("at", piece_bits).alias("piece"), "conv", "at", "n", "initial", "forced", "truncated")
     kind = ordered.schema["conv"].dataType.simpleString()
-    pieces = pieces.repartition("piece").sortWithinPartitions("piece", "at")
+    # narrow rows, but much work on each: as many tasks as shuffles have, however few bytes
+    tasks = int(ordered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = pieces.repartition(tasks, "piece").sortWithinPartitions("piece", "at")
     moved = stored(pieces.mapInArrow(_pieces, f"conv {kind}, {TRANSFER_SCHEMA}"))
     parts = moved.select("conv", "piece", "entry", "exit", "cost", "audit", "illegal", "first", "last")
     parts = parts.repartition("conv").sortWithinPartitions("conv", "piece")
