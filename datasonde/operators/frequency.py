@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from datasonde.functions.kinds import SCALAR_KINDS, column_infos, is_floating, is_integral, names_of, text_literal
+from datasonde.functions.shared import stored
 from datasonde.functions.values import KEY_BYTES, as_text, grouped, is_long, text_key, union_all
 
 
@@ -124,19 +125,60 @@ def top_values(df: DataFrame, names: list[str], k: int) -> DataFrame:
         counted = frequencies(df, cols, data_type).where("value is not null")
         shown = counted.selectExpr("position", f"{as_text('value', data_type)} as value", "cnt")
         if isinstance(data_type, T.StringType):
-            # keys of long texts order by their first characters only: whole texts decide among equals
-            best = whole_texts(df, cols, tied_k(shown, f"cnt desc, left(value, {KEY_BYTES})", k))
-            best = first_k(best, "position", "cnt desc, value", k)
+            best = top_texts(df, cols, shown, k) if holds_long_texts(df, cols) else first_k(shown, "position", "cnt desc, value", k)
         else:
             best = first_k(shown, "position", "cnt desc, value", k)
         parts.append(best.selectExpr("position", "cast(rank as bigint) as rank", "value", "cnt"))
     return named(df, union_all(parts))
 
 
-def tied_k(df: DataFrame, order: str, k: int) -> DataFrame:
-    """The first ``k`` rows per column and all that tie with the last of them."""
-    ranked = df.withColumn("rank", F.expr(f"rank() over (partition by position order by {order})"))
-    return ranked.where(f"rank <= {k}").drop("rank")
+# Characters by which prefixes of tied texts grow, and how far they are followed before whole texts decide.
+PREFIX_STEPS = (KEY_BYTES, 1024, 8192, 65_536)
+
+
+def holds_long_texts(df: DataFrame, cols: list[str]) -> bool:
+    """Whether any text is longer than its key; one scan of the columns."""
+    longest = df.selectExpr(*[f"max({is_long(c.value)}) as m{c.position}" for c in column_infos(df, names=cols)])
+    return any(longest.first())
+
+
+def top_texts(df: DataFrame, cols: list[str], counted: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` rows (position, rank, value, cnt) per column, by count and whole text.
+
+    ``counted`` holds keys, which order by their first characters. Rows that are surely among the
+    first, or surely not, are settled by a prefix; only those that share the prefix of the k-th
+    go on, with a longer prefix of the text, and only if there are more of them than places.
+    A step looks at prefixes folded with their numbers, so a column of texts with one long head
+    brings a row a prefix, not a row a text, to any task.
+    """
+    head = f"left(value, {PREFIX_STEPS[0]})"
+    open_ = stored(counted).selectExpr("position", "value", "cnt", f"{head} as prefix", f"cast({k} as bigint) as places")
+    settled = []
+    for step, size in enumerate(PREFIX_STEPS):
+        if step:
+            open_ = stored(open_.drop("prefix").join(_heads(df, cols, open_, size), ["position", "value"]))
+        # counts of equal (cnt, prefix), of which only those that may hold one of the first places leave a task
+        folded = grouped(open_, ["position", "places", "cnt", "prefix"], n="count(*)")
+        near = first_k(folded, "position", "cnt desc, prefix", k).drop("rank")
+        before = near.selectExpr("*", "coalesce(sum(n) over (partition by position order by cnt desc, prefix rows between unbounded preceding and 1 preceding), 0L) as before")
+        judged = before.where("before < places").selectExpr("position", "cnt", "prefix", "places - before as room", "n")
+        rows = open_.drop("places").join(F.broadcast(judged), ["position", "cnt", "prefix"])  # k rows a column
+        rows = stored(rows)
+        settled.append(rows.where("n <= room").select("position", "value", "cnt"))
+        open_ = rows.where("n > room").selectExpr("position", "value", "cnt", "prefix", "room as places")
+        if open_.isEmpty():
+            break
+    else:
+        settled.append(open_.select("position", "value", "cnt"))  # alike for so long that whole texts have to decide
+    best = whole_texts(df, cols, union_all(settled))
+    return first_k(best, "position", "cnt desc, value", k)
+
+
+def _heads(df: DataFrame, cols: list[str], keys: DataFrame, size: int) -> DataFrame:
+    """(position, value, prefix): the first ``size`` characters of the texts that the keys stand for."""
+    wanted = keys.selectExpr("position", "value")
+    cells = unpivot_values(df, cols, T.StringType()).selectExpr("position", f"left(value, {size}) as prefix", f"{text_key('value')} as value")
+    return grouped(cells.join(wanted, ["position", "value"], "left_semi"), ["position", "value"], prefix="any_value(prefix)")
 
 
 def whole_texts(df: DataFrame, cols: list[str], best: DataFrame) -> DataFrame:
@@ -152,8 +194,8 @@ def whole_texts(df: DataFrame, cols: list[str], best: DataFrame) -> DataFrame:
 def first_texts(df: DataFrame, cols: list[str], k: int) -> DataFrame:
     """(position, rank, value): the first ``k`` distinct texts of each column, in the order of whole texts.
 
-    Every task trims its cells to the first ``k`` ranks before they are shuffled.
+    Texts are folded in the tasks, so repeats never travel, and every task passes on only its
+    first ``k`` of a column.
     """
     cells = unpivot_values(df, cols, T.StringType()).where("value is not null")
-    ranked = cells.withColumn("rank", F.expr("dense_rank() over (partition by position order by value)"))
-    return ranked.where(f"rank <= {k}").distinct()
+    return first_k(cells.distinct(), "position", "value", k)

@@ -19,16 +19,14 @@ from datasonde.functions.kinds import (
     text_literal,
 )
 from datasonde.functions.moments import sample_deviation
-from datasonde.functions.shared import kept
 from datasonde.functions.values import as_text, finite, grouped, number_literal, rounded, union_all
 from datasonde.operators.columns import approximate_distinct, missing_counts, per_column
 from datasonde.operators.frequency import distinct_counts
+from datasonde.operators.gram import pair_sums, rank_sums
 from datasonde.operators.order_stats import RangeBuckets, average_ranks, plan_buckets
 
-# Column pairs aggregated in one scan: 36 columns take one, 100 columns nine.
-PAIRS_PER_PASS = 600
-# Sets of rows ranked in one job; with more columns that have gaps, jobs follow each other.
-RANKINGS_PER_JOB = 12
+# Column pairs that generated aggregates take in one scan; more are added up as matrices, in one scan too.
+PAIRS_IN_SQL = 600
 # Columns with no more values than this, by a sketch within a few percent, are looked up by broadcast.
 FEW_VALUES = 10_000
 # A value held by more than one row in this many is attached by broadcast.
@@ -99,9 +97,31 @@ def pearson_pairs(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     known = {r["column"]: r for r in facts.collect()}  # one row per column
     gaps = {n for n, r in known.items() if r["n"] < r["n_rows"]}
     centred = df.selectExpr(
-        *[f"{infos[n].number} - {number_literal(known[n]['mean'] or 0.0)} as v{i}" for i, n in enumerate(names)]
+        *[f"{infos[n].number} - {number_literal(_centre(known[n]['mean']))} as v{i}" for i, n in enumerate(names)]
     )
-    return _correlate(centred, numeric_pairs(names), gaps)
+    pairs = numeric_pairs(names)
+    if len(pairs) > PAIRS_IN_SQL:
+        return correlated(pair_sums(centred), names)
+    return _correlate(centred, pairs, gaps)
+
+
+def _centre(mean: float | None) -> float:
+    """What is taken from a column before its products are summed; any number gives the same result."""
+    return mean if mean is not None and abs(mean) < float("inf") else 0.0
+
+
+def correlated(sums: DataFrame, names: list[str]) -> DataFrame:
+    """(i, j, col_a, col_b, stat, n) of every pair of columns from the sums over its rows."""
+    listed = f"array({', '.join(text_literal(n) for n in names)})"
+    pairs = sums.sparkSession.createDataFrame([(i, j) for i, j, _, _ in numeric_pairs(names)], "i int, j int")
+    found = pairs.join(sums, ["i", "j"], "left")  # no row of an empty table
+    vx, vy = "(qx - try_divide(sx * sx, n))", "(qy - try_divide(sy * sy, n))"
+    r = f"try_divide(p - try_divide(sx * sy, n), sqrt({vx}) * sqrt({vy}))"
+    varies = f"not odd and {vx} > qx * {NO_VARIANCE} and {vy} > qy * {NO_VARIANCE}"
+    return found.selectExpr(
+        "i", "j", f"element_at({listed}, i + 1) as col_a", f"element_at({listed}, j + 1) as col_b",
+        f"if({varies}, greatest(-1D, least(1D, {r})), null) as stat", "cast(coalesce(n, 0D) as bigint) as n",
+    )
 
 
 def _correlate(centred: DataFrame, pairs: list[Pair], gaps: set[str]) -> DataFrame:
@@ -110,33 +130,30 @@ def _correlate(centred: DataFrame, pairs: list[Pair], gaps: set[str]) -> DataFra
     Columns without gaps share their own sums; a pair touching a column with gaps
     sums over the rows where both are present.
     """
-    parts = []
-    for at in range(0, len(pairs), PAIRS_PER_PASS):
-        sums: dict[str, str] = {"n": "cast(count(*) as double)"}
-        rows = []
-        for i, j, a, b in pairs[at : at + PAIRS_PER_PASS]:
-            x, y = f"v{i}", f"v{j}"
-            if {a, b} & gaps:
-                both, own = f"v{i} is not null and v{j} is not null", f"_{i}_{j}"
-                x, y = f"if({both}, {x}, null)", f"if({both}, {y}, null)"
-                sums["n" + own] = f"cast(count_if({both}) as double)"
-                at_x, at_y, n = f"x{own}", f"y{own}", f"n{own}"
-            else:
-                at_x, at_y, n = f"c{i}", f"c{j}", "n"
-            for key, v in ((at_x, x), (at_y, y)):
-                sums[f"s_{key}"], sums[f"q_{key}"] = f"sum({v})", f"sum({v} * {v})"
-            sums[f"p{i}_{j}"] = f"sum({x} * {y})"
-            cov = f"(p{i}_{j} - try_divide(s_{at_x} * s_{at_y}, {n}))"
-            vx, vy = (f"(q_{k} - try_divide(s_{k} * s_{k}, {n}))" for k in (at_x, at_y))
-            varies = f"{vx} > q_{at_x} * {NO_VARIANCE} and {vy} > q_{at_y} * {NO_VARIANCE}"
-            r = f"if({varies}, greatest(-1D, least(1D, try_divide({cov}, sqrt({vx}) * sqrt({vy})))), null)"
-            rows.append(
-                f"struct({i} as i, {j} as j, {text_literal(a)} as col_a, {text_literal(b)} as col_b, "
-                f"{r} as stat, cast({n} as bigint) as n)"
-            )
-        wide = centred.selectExpr(*[f"{sql} as {k}" for k, sql in sums.items()])
-        parts.append(wide.selectExpr(f"inline(array({', '.join(rows)}))"))
-    return union_all(parts)
+    sums: dict[str, str] = {"n": "cast(count(*) as double)"}
+    rows = []
+    for i, j, a, b in pairs:
+        x, y = f"v{i}", f"v{j}"
+        if {a, b} & gaps:
+            both, own = f"v{i} is not null and v{j} is not null", f"_{i}_{j}"
+            x, y = f"if({both}, {x}, null)", f"if({both}, {y}, null)"
+            sums["n" + own] = f"cast(count_if({both}) as double)"
+            at_x, at_y, n = f"x{own}", f"y{own}", f"n{own}"
+        else:
+            at_x, at_y, n = f"c{i}", f"c{j}", "n"
+        for key, v in ((at_x, x), (at_y, y)):
+            sums[f"s_{key}"], sums[f"q_{key}"] = f"sum({v})", f"sum({v} * {v})"
+        sums[f"p{i}_{j}"] = f"sum({x} * {y})"
+        cov = f"(p{i}_{j} - try_divide(s_{at_x} * s_{at_y}, {n}))"
+        vx, vy = (f"(q_{k} - try_divide(s_{k} * s_{k}, {n}))" for k in (at_x, at_y))
+        varies = f"{vx} > q_{at_x} * {NO_VARIANCE} and {vy} > q_{at_y} * {NO_VARIANCE}"
+        r = f"if({varies}, greatest(-1D, least(1D, try_divide({cov}, sqrt({vx}) * sqrt({vy})))), null)"
+        rows.append(
+            f"struct({i} as i, {j} as j, {text_literal(a)} as col_a, {text_literal(b)} as col_b, "
+            f"{r} as stat, cast({n} as bigint) as n)"
+        )
+    wide = centred.selectExpr(*[f"{sql} as {k}" for k, sql in sums.items()])
+    return wide.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def strongest(pairs: DataFrame, threshold: float, limit: int, name: str) -> DataFrame:
@@ -191,8 +208,8 @@ def attach_ranks(rows: DataFrame, base: DataFrame, v: str, n_rows: int, few: boo
 def spearman_pairs(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """(i, j, col_a, col_b, stat, n): Pearson on average ranks of each pair's complete rows.
 
-    Columns without missing values share one ranking; a column with missing values
-    is ranked together with its partners on the rows where it is present.
+    Columns without missing values share one ranking. If any column has gaps, cells are
+    ranked in long form, on the rows of each column with gaps at once.
     """
     names = names if names is not None else names_of(df, NUMERIC)
     if len(names) < 2:
@@ -203,22 +220,16 @@ def spearman_pairs(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     n_rows = max([r["n_rows"] for r in counted])
     sketch = approximate_distinct(df, names).collect()  # one row per numeric column
     few = {r["column"] for r in sketch if r["n_unique"] <= FEW_VALUES}
-    groups: dict[frozenset[str], list[Pair]] = {}
-    for pair in numeric_pairs(names):
-        groups.setdefault(frozenset({pair[2], pair[3]} & gaps), []).append(pair)
-    parts = []
-    for present, group in groups.items():
-        used = sorted({k for p in group for k in p[:2]})
-        base = df.selectExpr(*[f"{infos[names[k]].value} as v{k}" for k in used])
-        if present:
-            base = base.dropna(subset=[f"v{names.index(n)}" for n in present])
-        rows = base
-        for k in used:
-            rows = attach_ranks(rows, base, f"v{k}", n_rows, names[k] in few)
-        ranks = rows.selectExpr(*[f"rv{k} - {number_literal(n_rows / 2)} as v{k}" for k in used])
-        parts.append(_correlate(ranks, group, set()))
-    batches = [union_all(parts[at : at + RANKINGS_PER_JOB]) for at in range(0, len(parts), RANKINGS_PER_JOB)]
-    return batches[0] if len(batches) == 1 else union_all(kept(b) for b in batches)
+    if gaps:
+        return correlated(rank_sums(df, list(infos.values()), [i for i, n in enumerate(names) if n in gaps], n_rows), names)
+    base = df.selectExpr(*[f"{infos[n].value} as v{k}" for k, n in enumerate(names)])
+    rows = base
+    for k, n in enumerate(names):
+        rows = attach_ranks(rows, base, f"v{k}", n_rows, n in few)
+    ranks = rows.selectExpr(*[f"rv{k} - {number_literal(n_rows / 2)} as v{k}" for k in range(len(names))])
+    if len(numeric_pairs(names)) > PAIRS_IN_SQL:
+        return correlated(pair_sums(ranks), names)
+    return _correlate(ranks, numeric_pairs(names), set())
 
 
 def top_spearman(df: DataFrame, threshold: float = 0.5, limit: int = 10) -> DataFrame:

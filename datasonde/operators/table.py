@@ -21,6 +21,7 @@ from datasonde.functions.kinds import (
 from datasonde.functions.values import as_text, grouped, percent
 from datasonde.operators.columns import missing_counts, per_column
 from datasonde.operators.frequency import distinct_counts
+from datasonde.operators.gram import together_missing
 from datasonde.operators.order_stats import plan_buckets
 
 
@@ -103,22 +104,22 @@ def fully_empty_rows(df: DataFrame) -> DataFrame:
 def co_missing_pairs(df: DataFrame, limit: int = 5, max_columns: int | None = None) -> DataFrame:
     """(col_a, col_b, cnt, pct_of_rows) of columns missing together, most rows first.
 
-    Of all columns with gaps, or of the first ``max_columns``. Each row is reduced to the
-    list of its missing columns, which gives its pairs; pairs are counted in the tasks, so
-    one row per pair leaves each, however many patterns there are.
+    Of all columns with gaps, or of the first ``max_columns``. Every task multiplies the marks
+    of its rows, batch by batch, into one count per pair, so a row makes no rows however many
+    of its values are missing.
     """
     gaps = missing_counts(df).where("n_missing > 0").orderBy("position")
     found = gaps.select("column", "n_rows").collect()[:max_columns]  # one row per column
     infos = [column_info(df, r["column"]) for r in found]
     n_rows = found[0]["n_rows"] if found else 0
-    marks = ", ".join(f"if(({c.value}) is null, {i}, null)" for i, c in enumerate(infos, 1))
-    listed = f"array({', '.join(text_literal(c.name) for c in infos)})" if infos else "cast(array() as array<string>)"
-    rows = df.selectExpr(f"cast(array_compact(array({marks})) as array<int>) as at").where("size(at) > 1")
-    pairs = rows.selectExpr("at", "explode(at) as a").selectExpr("a", "explode(filter(at, x -> x > a)) as b")
-    counted = grouped(pairs, ["a", "b"], cnt="count(*)").orderBy("cnt", "a", "b", ascending=[False, True, True])
-    return counted.limit(limit).selectExpr(
-        f"element_at({listed}, a) as col_a",
-        f"element_at({listed}, b) as col_b",
+    if len(infos) < 2:
+        return df.sparkSession.createDataFrame([], "col_a string, col_b string, cnt bigint, pct_of_rows double")
+    listed = f"array({', '.join(text_literal(c.name) for c in infos)})"
+    counted = together_missing(df.selectExpr(*[f"({c.value}) is null as m{i}" for i, c in enumerate(infos)]))
+    ordered = counted.orderBy("cnt", "i", "j", ascending=[False, True, True])
+    return ordered.limit(limit).selectExpr(
+        f"element_at({listed}, i + 1) as col_a",
+        f"element_at({listed}, j + 1) as col_b",
         "cnt",
         f"{percent('cnt', f'{n_rows}L')} as pct_of_rows",
     )

@@ -1,3 +1,5 @@
+import random
+from collections import Counter
 from datetime import datetime
 
 import numpy as np
@@ -5,7 +7,8 @@ import pandas as pd
 import pytest
 
 from datasonde.operators import columns as C
-from datasonde.operators.frequency import distinct_counts, modes, top_values
+from datasonde.operators import frequency
+from datasonde.operators.frequency import distinct_counts, first_texts, modes, top_values
 
 
 def by_column(df):
@@ -133,3 +136,25 @@ def test_approximations_are_close(spark):
     got = by_column(C.approximate_distinct(df, ["id", "s"]))
     assert got["s"]["n_unique"] == pytest.approx(50, abs=5) and got["id"]["n_unique"] == pytest.approx(20_000, rel=0.2)
     assert by_column(C.approximate_quantiles(df, ["x"]))["x"]["median"] == pytest.approx(10_000, abs=5)
+
+
+@pytest.mark.parametrize("steps", [(128, 1024, 8192, 65_536), (128, 140), (128,)])
+def test_tied_texts_with_one_head_are_settled_by_longer_prefixes(spark, monkeypatch, steps):
+    """Short and long texts, heads shared by many, ties that end within or beyond the prefixes."""
+    monkeypatch.setattr(frequency, "PREFIX_STEPS", steps)
+    rng = random.Random(6)
+    head, far = "<html>" + "h" * 150, "<html>" + "h" * 150 + "x" * 900
+    texts = [head + str(rng.randrange(10**6)) for _ in range(400)] + [far + str(rng.randrange(10**6)) for _ in range(200)]
+    texts += [head, head, far, "<html>", "z", "z", head + "twice", head + "twice"]
+    df = spark.createDataFrame([(t, t[::-1]) for t in texts], "a string, b string").repartition(4)
+    for k in (1, 3, 8, 50):
+        got = [(r["column"], r["rank"], r["value"], r["cnt"]) for r in top_values(df, ["a", "b"], k).collect()]
+        for name, column in (("a", texts), ("b", [t[::-1] for t in texts])):
+            counts = sorted(Counter(column).items(), key=lambda c: (-c[1], c[0]))[:k]
+            assert sorted(g[1:] for g in got if g[0] == name) == [(i, v, n) for i, (v, n) in enumerate(counts, 1)]
+
+
+def test_first_texts_are_distinct_before_they_are_ranked(spark):
+    df = spark.createDataFrame([(f"v{i % 3}", None if i % 2 else f"w{i}") for i in range(3000)], "a string, b string").repartition(4)
+    rows = first_texts(df, ["a", "b"], 5).collect()
+    assert sorted((r["position"], r["rank"], r["value"]) for r in rows) == [(0, 1, "v0"), (0, 2, "v1"), (0, 3, "v2")] + [(1, i, v) for i, v in enumerate(sorted(f"w{i}" for i in range(0, 3000, 2))[:5], 1)]

@@ -1,7 +1,10 @@
+import uuid
+
 import numpy as np
 import pandas as pd
 import pytest
 
+from datasonde.operators import gram, order_stats
 from datasonde.operators import relations as R
 from datasonde.operators.relations import cramers_v_pairs, low_cardinality_columns
 
@@ -35,18 +38,85 @@ def test_pearson_matches_pandas(spark, numbers):
     assert {(r["col_a"], r["col_b"]): r["n"] for r in R.pearson_pairs(table(spark, numbers)).collect()}[("b", "d")] == len(numbers[["b", "d"]].dropna())
 
 
-@pytest.mark.parametrize("few, hot, batch", [(10_000, 200, 12), (0, 200, 12), (0, 2, 12), (0, 100_000, 2)])
-def test_spearman_matches_pandas(spark, numbers, monkeypatch, few, hot, batch):
+@pytest.mark.parametrize("gaps, few, hot", [(True, 0, 200), (True, 0, 2), (True, 0, 100_000), (False, 10_000, 200), (False, 0, 200), (False, 0, 2), (False, 0, 100_000)])
+def test_spearman_matches_pandas(spark, numbers, monkeypatch, gaps, few, hot):
     """The same ranks whether values are broadcast, hot or joined."""
     monkeypatch.setattr(R, "FEW_VALUES", few)
     monkeypatch.setattr(R, "HOT_SHARE", hot)
-    monkeypatch.setattr(R, "RANKINGS_PER_JOB", batch)
+    monkeypatch.setattr(gram, "HOT_SHARE", hot)
+    numbers = numbers if gaps else numbers.fillna(3.0)
     got, want = matrix(R.spearman_pairs(table(spark, numbers))), numbers.corr(method="spearman")
     assert len(got) == 10
     for (a, b), r in got.items():
         assert r is None if "k" in (a, b) else r == pytest.approx(want.loc[a, b], abs=1e-9)
 
 
+def wide(rng, n, k):
+    """Columns that hang together, some with gaps, one constant, one of whole numbers above 2^53."""
+    base = rng.normal(0, 1, (n, 3))
+    pdf = pd.DataFrame({f"c{i:02}": base[:, i % 3] * rng.normal(1, 0.2) + rng.normal(0, 0.5 + i % 4, n) for i in range(k)})
+    for i in range(0, k, 2):
+        pdf.loc[rng.random(n) < 0.02 * (i + 1) / k * 10, f"c{i:02}"] = np.nan
+    pdf["c03"] = np.round(pdf["c03"], 1)
+    pdf["c05"] = 7.0
+    return pdf
+
+
+def rows_and_stages(spark, run):
+    """The rows that ``run`` makes, and how many stages (scans and shuffles) that took."""
+    tracker = spark.sparkContext.statusTracker()
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "counted")
+    result = run().collect()
+    stages = [s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    return result, len(set(stages))
+
+
+def test_forty_columns_with_gaps_are_ranked_in_as_many_stages_as_six(spark, monkeypatch):
+    monkeypatch.setattr(order_stats, "ROWS_PER_BUCKET", 40)
+    rng = np.random.default_rng(8)
+    stages = {}
+    for k in (6, 40):
+        pdf = wide(rng, 150, k)
+        df = table(spark, pdf)
+        rows, stages[k] = rows_and_stages(spark, lambda: R.spearman_pairs(df))
+        want = pdf.corr(method="spearman")
+        assert len(rows) == k * (k - 1) // 2
+        for r in rows:
+            expected = want.loc[r["col_a"], r["col_b"]]
+            assert r["n"] == len(pdf[[r["col_a"], r["col_b"]]].dropna())
+            assert r["stat"] is None if np.isnan(expected) else r["stat"] == pytest.approx(expected, abs=1e-9)
+    assert stages[40] <= stages[6] + 1
+
+
+def test_a_hundred_columns_are_correlated_in_one_scan(spark):
+    pdf = wide(np.random.default_rng(9), 200, 100)
+    pdf.loc[5, "c08"] = np.inf
+    df = table(spark, pdf)
+    _, few = rows_and_stages(spark, lambda: R.pearson_pairs(df.select(*df.columns[:40])))
+    rows, many = rows_and_stages(spark, lambda: R.pearson_pairs(df))
+    assert many == few  # one scan for the means, one for all products
+    want = pdf.replace([np.inf], np.nan).corr()
+    for r in rows:
+        expected = want.loc[r["col_a"], r["col_b"]]
+        if "c08" in (r["col_a"], r["col_b"]):
+            other = r["col_b"] if r["col_a"] == "c08" else r["col_a"]
+            assert (r["stat"] is None) == (not np.isnan(pdf[other][5]) or np.isnan(expected))
+        elif np.isnan(expected):
+            assert r["stat"] is None
+        else:
+            assert r["stat"] == pytest.approx(expected, abs=1e-9)
+    assert len(rows) == 4950 and len(R.pearson_pairs(df.where("false")).collect()) == 4950
+
+
+def test_ranks_of_whole_numbers_and_decimals_with_gaps(spark):
+    big = 2**53
+    rows = [(big + i, None if i % 4 == 0 else 100 - i, float(i * i), f"{i}.25") for i in range(60)]
+    df = spark.createDataFrame(rows, "a long, b int, c float, d string").selectExpr("a", "b", "c", "cast(d as decimal(12,2)) as d")
+    got = matrix(R.spearman_pairs(df))
+    assert {k: round(v, 9) for k, v in got.items()} == {("a", "b"): -1.0, ("a", "c"): 1.0, ("a", "d"): 1.0, ("b", "c"): -1.0, ("b", "d"): -1.0, ("c", "d"): 1.0}
+
+
 def test_thresholds_and_order(spark):
     x = np.arange(100.0)
     pdf = pd.DataFrame({"a": x, "b": -x, "c": x**3, "d": np.tile([0.0, 1.0], 50)})

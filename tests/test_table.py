@@ -129,3 +129,18 @@ def test_infinities_do_not_become_nan(make):
     assert {r["numeric"] for r in category_effects(df).collect()} <= {"y"}
     bins = [r["cnt"] for r in histogram(df.select("x")).collect()]
     assert sum(bins) == n - 1 and max(bins) == 1
+
+
+def test_rows_with_many_gaps_make_no_rows_each(spark):
+    """Each row misses all but one of 60 columns; patterns differ, pairs are counted in the tasks."""
+    width, n = 60, 900
+    df = spark.range(n).repartition(4).selectExpr(*[f"if(id % {width} = {i}, id, null) as c{i:02}" for i in range(width)])
+    got = [tuple(r) for r in T.co_missing_pairs(df, limit=2000).collect()]
+    assert len(got) == width * (width - 1) // 2
+    assert got[0] == ("c00", "c01", n - 2 * n // width, round((n - 2 * n // width) * 100 / n, 2))
+    assert [g[:2] for g in got] == [(f"c{i:02}", f"c{j:02}") for i in range(width) for j in range(i + 1, width)]
+
+
+def test_no_pair_of_gaps(make):
+    assert T.co_missing_pairs(make("a int, b int", a=[1, None], b=[2, 3])).collect() == []
+    assert T.co_missing_pairs(make("a int, b int", a=[1, None], b=[None, 3])).collect() == []
