@@ -9,7 +9,7 @@ as little as any other.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +18,9 @@ from datasonde.functions.values import grouped, number_literal
 
 # Distinct values one window partition may hold before ranges are split.
 ROWS_PER_BUCKET = 2_000_000
-# Ranges of about equal counts, and the even parts each is split into as rows grow.
+# Ranges of about equal counts on each of two levels, the second within each range of the first;
+# beyond that, even parts of the second's ranges.
 EDGES = 64
-MAX_SPLITS = 1024
 
 QUARTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75}
 
@@ -29,13 +29,16 @@ QUARTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75}
 class RangeBuckets:
     """A monotone map from values to bucket numbers, from edges shared by all keys or one set per key.
 
-    Edges only balance the work; results are exact for any edges.
+    Where rows ask for more buckets than there are edges, ``fine`` has edges of its own for the
+    values of each range, so clustered and heavy-tailed values are spread like any others. Edges
+    only balance the work; results are exact for any edges.
     """
 
     edges: tuple[float, ...] = ()
     splits: int = 1
     key: str | None = None
     edges_by_key: tuple[tuple[int, tuple[float, ...]], ...] = ()
+    fine: tuple[tuple, ...] = ()  # (key, if any, range, edges)
 
     @property
     def single(self) -> bool:
@@ -46,30 +49,41 @@ class RangeBuckets:
         if self.single:
             return freq.selectExpr("*", "0 as bucket")
         if not self.edges_by_key:
-            return freq.selectExpr("*", f"{self._search([number_literal(e) for e in self.edges])} as bucket")
-        names = [f"e{i}" for i in range(EDGES + 1)]
-        schema = f"{self.key} int, " + ", ".join(f"{n} double" for n in names)
-        rows = [(k, *edges) for k, edges in self.edges_by_key]
-        known = freq.sparkSession.createDataFrame(rows, schema)
-        # one row per column; a column without finite values has no edges and a single bucket
-        placed = freq.join(F.broadcast(known), self.key, "left")
-        return placed.selectExpr(*freq.columns, f"{self._search(names)} as bucket")
-
-    def _search(self, edges: list[str]) -> str:
-        """Binary search as nested conditions; leaf ``i`` holds edges[i-1] <= value < edges[i]."""
-        v = "cast(value as double)"
-
-        def between(lo: int, hi: int) -> str:
-            if lo < hi:
-                mid = (lo + hi) // 2
-                return f"if({v} < {edges[mid]}, {between(lo, mid)}, {between(mid + 1, hi)})"
-            start = lo * self.splits
-            if self.splits == 1 or lo in (0, len(edges)):
-                return f"{start}"
-            share = f"try_divide({v} - {edges[lo - 1]}, {edges[lo]} - {edges[lo - 1]})"
-            return f"{start} + coalesce(cast(least(floor({share} * {self.splits}), {self.splits - 1}) as int), 0)"
-
-        return between(0, len(edges))
+            ranged = freq.selectExpr("*", f"{_search([number_literal(e) for e in self.edges])} as bucket")
+        else:
+            ranged = self._looked_up(freq, "e", [self.key], self.edges_by_key, 1)
+        if not self.fine:
+            return ranged
+        keys = [self.key, "bucket"] if self.key else ["bucket"]
+        return self._looked_up(ranged, "g", keys, self.fine, self.splits)
+
+    def _looked_up(self, rows: DataFrame, prefix: str, keys: list[str], edges: tuple, splits: int) -> DataFrame:
+        """``rows`` with the place among the edges of their keys, after the range they are in, if any."""
+        names = [f"{prefix}{i}" for i in range(EDGES + 1)]
+        schema = ", ".join([*(f"{k} int" for k in keys), *(f"{n} double" for n in names)])
+        known = rows.sparkSession.createDataFrame([(*row[:-1], *row[-1]) for row in edges], schema)
+        # one row per column, or per column and range; without finite values there are no edges and one bucket
+        placed = rows.join(F.broadcast(known), keys, "left")
+        start = f"cast(bucket as bigint) * {(EDGES + 2) * splits} + " if "bucket" in keys else ""
+        kept = [c for c in rows.columns if c != "bucket"]
+        return placed.selectExpr(*kept, f"{start}{_search(names, splits)} as bucket")
+
+
+def _search(edges: list[str], splits: int = 1) -> str:
+    """Binary search as nested conditions; leaf ``i`` holds edges[i-1] <= value < edges[i]."""
+    v = "cast(value as double)"
+
+    def between(lo: int, hi: int) -> str:
+        if lo < hi:
+            mid = (lo + hi) // 2
+            return f"if({v} < {edges[mid]}, {between(lo, mid)}, {between(mid + 1, hi)})"
+        start = lo * splits
+        if splits == 1 or lo in (0, len(edges)):
+            return f"{start}"
+        share = f"try_divide({v} - {edges[lo - 1]}, {edges[lo]} - {edges[lo - 1]})"
+        return f"{start} + coalesce(cast(least(floor({share} * {splits}), {splits - 1}) as int), 0)"
+
+    return between(0, len(edges))
 
 
 def _sketch() -> str:
@@ -77,8 +91,19 @@ def _sketch() -> str:
     return f"percentile_approx(cast(value as double), array({steps}), {10 * EDGES}) as edges"
 
 
-def _splits(n: int) -> int:
-    return min(MAX_SPLITS, max(1, -(-n // (EDGES * ROWS_PER_BUCKET))))
+def _filled(edges: tuple[float, ...]) -> tuple[float, ...]:
+    return edges + edges[-1:] * (EDGES + 1 - len(edges))
+
+
+def _refined(buckets: RangeBuckets, values: DataFrame, n: int) -> RangeBuckets:
+    """``buckets`` with edges inside their ranges, if ``n`` rows fill more than the ranges."""
+    if n <= EDGES * ROWS_PER_BUCKET or buckets.single:
+        return buckets
+    keys = [buckets.key, "bucket"] if buckets.key else ["bucket"]
+    found = buckets.place(values.where("value is not null")).groupBy(*keys).agg(F.expr(_sketch())).collect()  # a row per column and range
+    full = ((*(r[k] for k in keys), _finite(r["edges"])) for r in found)
+    fine = tuple((*row[:-1], _filled(row[-1])) for row in full if row[-1])
+    return replace(buckets, fine=fine, splits=max(1, -(-n // (EDGES * EDGES * ROWS_PER_BUCKET))))
 
 
 def _finite(edges: list[float] | None) -> tuple[float, ...]:
@@ -89,26 +114,26 @@ def plan_buckets(values: DataFrame, n: int) -> RangeBuckets:
     """Buckets for the column ``value`` of at most ``n`` rows, whatever their keys.
 
     Small inputs get a single bucket. Otherwise one aggregate brings back a fixed
-    number of approximate quantiles.
+    number of approximate quantiles, and for many rows a second one those of each range.
     """
     if n <= ROWS_PER_BUCKET:
         return RangeBuckets()
     found = values.selectExpr(_sketch()).first()["edges"]
-    return RangeBuckets(tuple(sorted(set(_finite(found)))), _splits(n))
+    return _refined(RangeBuckets(tuple(sorted(set(_finite(found))))), values, n)
 
 
 def plan_keyed_buckets(values: DataFrame, key: str, n: int) -> RangeBuckets:
     """Buckets of their own for each key of (key, value), a key holding at most ``n`` rows.
 
-    For columns profiled together, whose values may lie on different scales; one row
-    of edges per column comes back.
+    For columns profiled together, whose values may lie on different scales; one row of
+    edges per column comes back, and for many rows one per column and range.
     """
     if n <= ROWS_PER_BUCKET:
         return RangeBuckets()
     found = values.where("value is not null").groupBy(key).agg(F.expr(_sketch())).collect()
     full = ((r[key], _finite(r["edges"])) for r in found)
-    rows = tuple((k, edges + edges[-1:] * (EDGES + 1 - len(edges))) for k, edges in full if edges)
-    return RangeBuckets((), _splits(n), key, rows)
+    rows = tuple((k, _filled(edges)) for k, edges in full if edges)
+    return _refined(RangeBuckets((), 1, key, rows), values, n)
 
 
 def running_counts(freq: DataFrame, keys: list[str], buckets: RangeBuckets, totals: bool = True) -> DataFrame:

@@ -82,3 +82,29 @@ def test_any_edges_give_exact_results(spark, values, edges):
     got = O.quantiles(freq, ["side"], {"median": 0.5, "p75": 0.75}, buckets).first()
     assert got["median"] == pytest.approx(np.quantile(values, 0.5), rel=1e-9, abs=1e-6)
     assert got["p75"] == pytest.approx(np.quantile(values, 0.75), rel=1e-9, abs=1e-6)
+
+
+def awkward(kind, n=12_000):
+    rng = np.random.default_rng(11)
+    if kind == "heavy tails":
+        return np.exp(rng.normal(0, 5, n)) * rng.choice([-1, 1], n)
+    centres = rng.choice([0.0, 1.0, 1e6, 1e6 + 1e-3, -1e12], n)
+    return centres + rng.normal(0, 1e-6, n) * np.maximum(1, np.abs(centres)) ** 0.5
+
+
+@pytest.mark.parametrize("kind", ["heavy tails", "clusters"])
+@pytest.mark.parametrize("keyed", [False, True])
+def test_no_bucket_holds_more_than_four_times_its_share(spark, monkeypatch, kind, keyed):
+    values = awkward(kind)
+    monkeypatch.setattr(O, "EDGES", 8)
+    monkeypatch.setattr(O, "ROWS_PER_BUCKET", len(values) // 60)
+    rows = spark.createDataFrame([(p, float(v)) for p in (0, 1) for v in values * (1 + p)], "position int, value double").repartition(4)
+    rows = rows if keyed else rows.where("position = 0")
+    buckets = O.plan_keyed_buckets(rows, "position", len(values)) if keyed else O.plan_buckets(rows.select("value"), len(values))
+    assert buckets.fine
+    freq = grouped(rows, ["position", "value"], cnt="count(*)")
+    sizes = [r["count"] for r in buckets.place(freq).groupBy("position", "bucket").count().collect()]
+    assert max(sizes) <= 4 * O.ROWS_PER_BUCKET and sum(sizes) == freq.count()
+    for r in O.quantiles(freq, ["position"], PROBS, buckets).collect():
+        for name, p in PROBS.items():
+            assert r[name] == pytest.approx(np.quantile(values * (1 + r["position"]), p), rel=1e-12)
