@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,7 +118,8 @@ def density(df: DataFrame, points: int = GRID_POINTS, columns: int | None = None
 
     Every value is used. Each one only reaches the grid points its kernel can
     change, so the work per value shrinks as the bandwidth does with more rows: those
-    ``reach`` bandwidths away, beyond which a kernel is below double precision.
+    ``reach`` bandwidths away, beyond which a kernel is below double precision. Tasks add
+    kernels up on a grid of their own; the grids alone are shuffled, however many values differ.
     """
     facts = [f for f in varying_columns(df, columns) if f["std"]]
     if not facts:
@@ -123,13 +128,11 @@ def density(df: DataFrame, points: int = GRID_POINTS, columns: int | None = None
         [(f["position"], f["low"], f["high"], f["std"] * f["n"] ** -0.2, f["n"]) for f in facts],
         "position int, lo double, hi double, h double, n bigint",
     ).withColumn("step", F.expr(f"(hi - lo) / {points - 1}"))
-    finite_values = numeric_frequencies(df, [f["column"] for f in facts]).where("abs(value) < double('Infinity')")
-    values = finite_values.join(F.broadcast(known), "position")  # one row per column
-    first = f"greatest(0, cast(ceil((value - {reach} * h - lo) / step) as int))"
-    last = f"least({points - 1}, cast(floor((value + {reach} * h - lo) / step) as int))"
-    reached = values.selectExpr("position", "value", "cnt", "lo", "step", "h", f"explode(sequence({first}, {last})) as point")
-    z = "((lo + point * step - value) / h)"
-    summed = grouped(reached, ["position", "point"], s=f"sum(cnt * exp(-0.5D * {z} * {z}))")
+    infos = {c.name: c for c in column_infos(df, NUMERIC)}
+    values = df.selectExpr(*[f"{finite(infos[f['column']].number)} as v{i}" for i, f in enumerate(facts)])
+    grids = [(f["position"], f["low"], (f["high"] - f["low"]) / (points - 1), f["std"] * f["n"] ** -0.2) for f in facts]
+    parts = values.mapInArrow(_kernel_sums(grids, points, reach), "position int, point int, s double")
+    summed = grouped(parts, ["position", "point"], s="sum(s)")
     spine = known.selectExpr("position", "lo", "step", "h", "n", f"explode(sequence(0, {points - 1})) as point")
     drawn = spine.join(summed, ["position", "point"], "left").selectExpr(
         "position", "point", "lo + point * step as x", "coalesce(s, 0D) / (n * h * sqrt(2 * pi())) as density"
@@ -137,6 +140,31 @@ def density(df: DataFrame, points: int = GRID_POINTS, columns: int | None = None
     return named(df, drawn).drop("position")
 
 
+def _kernel_sums(grids: list[tuple[int, float, float, float]], points: int, reach: float):
+    """Sums of kernels at the points of each column's grid (position, low, step, bandwidth), over a task's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros((len(grids), points))
+        for batch in batches:
+            for total, column, (_, low, step, h) in zip(totals, batch.columns, grids):
+                v = column.to_numpy(zero_copy_only=False).astype(np.float64)
+                v, cnt = np.unique(v[~np.isnan(v)], return_counts=True)
+                first = np.maximum(np.ceil((v - reach * h - low) / step), 0).astype(np.int64)
+                last = np.minimum(np.floor((v + reach * h - low) / step), points - 1).astype(np.int64)
+                while len(v):
+                    z = (low + first * step - v) / h
+                    total += np.bincount(first, cnt * np.exp(-0.5 * z * z), points)
+                    first = first + 1
+                    more = first <= last
+                    v, cnt, first, last = v[more], cnt[more], first[more], last[more]
+        if totals.any():
+            place = np.repeat([g[0] for g in grids], points)
+            at = np.tile(np.arange(points), len(grids))
+            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array(at, pa.int32()), pa.array(totals.ravel())], ["position", "point", "s"])
+
+    return run
+
+
 def box_stats(freq: DataFrame, keys: list[str], buckets: RangeBuckets) -> DataFrame:
     """(keys…, n, p25, median, p75, whisker_low, whisker_high, n_fliers, pct_outliers).
 

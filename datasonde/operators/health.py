@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from datasonde.functions.fixed_values import (
     CONSISTENCY_CHECKS,
@@ -11,7 +12,7 @@ from datasonde.functions.fixed_values import (
     HEALTH_WEIGHTS,
     VALIDITY_CHECKS,
 )
-from datasonde.functions.values import union_all
+from datasonde.functions.values import grouped, union_all
 from datasonde.operators.columns import missing_counts
 from datasonde.operators.quality import quality_issues
 from datasonde.operators.table import constant_columns, duplicate_rows
@@ -58,16 +59,32 @@ def health_of(
 ) -> DataFrame:
     """The health row from the profile tables it is made of.
 
-    Scores and cited counts are stacked as rows and read off in one aggregate.
+    Every table is folded to one row of scores and cited counts in a single use, so none is
+    computed twice; the rows are stacked and read off in one aggregate.
     """
-    scores = union_all(
-        [completeness(missing), uniqueness(duplicates), consistency(issues, constants), validity(issues)]
-    ).selectExpr("component", "score", "cast(null as string) as label")
-    worst = "min(struct(-pct_missing as p, position, column))"
-    facts = [
-        duplicates.selectExpr("'duplicates' as component", "double(duplicate_rows) as score", "cast(null as string) as label"),
-        issues.selectExpr("'issues' as component", "double(count(distinct column)) as score", "cast(null as string) as label"),
-        missing.where("pct_missing > 0").selectExpr("'worst' as component", f"-{worst}.p as score", f"{worst}.column as label"),
+    nothing = "cast(null as string)"
+
+    def score(name: str, lost: str, label: str = nothing) -> str:
+        return f"struct('{name}' as component, least(100D, greatest(0D, 100D - ({lost}))) as score, {label} as label)"
+
+    def fact(name: str, value: str, label: str = nothing) -> str:
+        return f"struct('{name}' as component, {value} as score, {label} as label)"
+
+    worst = "min(if(pct_missing > 0, struct(-pct_missing as p, position, column), null)) as worst"
+    gaps = missing.selectExpr("(avg(coalesce(pct_missing, 0D)) + max(coalesce(pct_missing, 0D))) / 2 as lost", worst)
+    repeats = duplicates.selectExpr("coalesce(try_divide(duplicate_rows * 100D, n_rows), 0D) as lost", "double(duplicate_rows) as cnt")
+    listed = {name: ", ".join(f"'{c}'" for c in checks) for name, checks in (("c", CONSISTENCY_CHECKS), ("v", VALIDITY_CHECKS))}
+    marks = issues.selectExpr("column", f"check in ({listed['c']}) as c", f"check in ({listed['v']}) as v", "true as issue")
+    marks = marks.unionByName(constants.selectExpr("column", "false as c", "false as v", "false as issue").withColumn("constant", F.lit(True)), True)
+    by_column = grouped(marks, ["column"], c="int(max(c))", v="int(max(v))", issue="int(max(issue))", constant="int(max(coalesce(constant, false)))")
+    flags = by_column.selectExpr(*[f"coalesce(sum({c}), 0) as {c}" for c in ("c", "v", "issue", "constant")])
+    stacked = [
+        gaps.selectExpr(f"inline(array({score('completeness', 'lost')}, {fact('worst', '-worst.p', 'worst.column')}))"),
+        repeats.selectExpr(f"inline(array({score('uniqueness', 'lost')}, {fact('duplicates', 'cnt')}))"),
+        flags.selectExpr(
+            f"inline(array({score('consistency', f'(c + constant) * {HEALTH_DEDUCTION}D')}, "
+            f"{score('validity', f'v * {HEALTH_DEDUCTION}D')}, {fact('issues', 'double(issue)')}))"
+        ),
     ]
     weight = " ".join(f"when '{c}' then {w}" for c, w in HEALTH_WEIGHTS)
     total = f"sum(score * case component {weight} end) / {sum(w for _, w in HEALTH_WEIGHTS)}D"
@@ -75,7 +92,7 @@ def health_of(
     grade = " ".join(f"when score >= {least} then '{letter}'" for least, letter in HEALTH_GRADES)
     components = [c for c, _ in HEALTH_WEIGHTS]
     return (
-        union_all([scores, *facts])
+        union_all(stacked)
         .selectExpr(
             f"cast(bround({total}, 0) as bigint) as score",
             *[f"cast(bround({one(c, 'score')}, 0) as bigint) as {c}" for c in components],
