@@ -34,9 +34,9 @@ from datasonde.functions.values import (
     strip,
     union_all,
 )
-from datasonde.operators.columns import outlier_stats, pooled_buckets
+from datasonde.operators.columns import outlier_stats
 from datasonde.operators.frequency import distinct_counts, first_k, top_values
-from datasonde.operators.order_stats import RangeBuckets, quantiles
+from datasonde.operators.order_stats import plan_buckets, quantiles
 from datasonde.operators.relations import low_cardinality_counts, pearson_pairs, spearman_pairs
 
 MAX_GROUPS = 12
@@ -65,44 +65,45 @@ def correlation_check(df: DataFrame, column_a: str, column_b: str) -> DataFrame:
     )
 
 
+# The rank that stands for all rows together.
+TOTAL = -1
+
+
 def group_compare(df: DataFrame, numeric_column: str, categorical_column: str) -> DataFrame:
     """Rows per group (part 'group'), over all values ('overall') and the widest gap ('gap').
 
     (part, rank, category, low_category, n, mean, median, std, n_groups); in the gap
     row ``category`` and ``low_category`` are the groups and ``mean`` their distance.
-    Medians are only computed for the groups shown.
+    Two passes: one groups the rows and, as a grouping set, all of them; the groups shown and
+    the total come to the driver. The other counts values within the groups shown and the rest,
+    from which the medians of groups and total are taken.
     """
     number, label = column_info(df, numeric_column), column_info(df, categorical_column)
     rows = df.selectExpr(f"{as_text(label.value, label.data_type)} as category", f"{number.number} as value").where(
         "value is not null"
     )
-    complete = rows.where("category is not null")
-    summed = grouped(complete, ["category"], n="count(*)", mean="avg(value)", std=sample_deviation("value"))
-    largest = summed.orderBy(F.desc("n"), "category").limit(MAX_GROUPS)
-    buckets = pooled_buckets(df, [numeric_column])
-    shown = complete.join(F.broadcast(largest.select("category")), "category")  # 12 rows
-    medians = _medians(shown, "category", buckets)
-    numbered = largest.selectExpr(
-        "*", "cast(row_number() over (partition by 0 order by n desc, category) as bigint) as rank"
+    summed = rows.rollup("category").agg(
+        *[F.expr(f"{sql} as {name}") for name, sql in {"n": "count(*)", "mean": "avg(value)", "std": sample_deviation("value"), "total": "grouping(category)"}.items()]
     )
-    groups = numbered.join(medians, "category").selectExpr(
-        "rank", "category", "n", *[f"{rounded(c, 4)} as {c}" for c in ("mean", "median", "std")]
+    ordered = summed.where("total = 1 or category is not null").orderBy(F.desc("total"), F.desc("n"), "category")
+    found = ordered.limit(MAX_GROUPS + 1).collect()  # the total and 12 groups
+    known = df.sparkSession.createDataFrame(
+        [(i if i else TOTAL, r["category"], r["n"], r["mean"], r["std"]) for i, r in enumerate(found)],
+        "rank bigint, category string, n bigint, mean double, std double",
     )
+    n_rows = found[0]["n"] if found else 0
+    shown = known.where("category is not null").selectExpr("category", "rank")
+    freq = grouped(rows.join(F.broadcast(shown), "category", "left"), ["rank", "value"], cnt="count(*)")  # 12 rows are sent
+    twice = freq.selectExpr(f"inline(array(struct(rank, value, cnt), struct({TOTAL}L as rank, value, cnt)))").where("rank is not null")
+    buckets = plan_buckets(rows.select("value"), n_rows)
+    medians = quantiles(grouped(twice, ["rank", "value"], cnt="sum(cnt)"), ["rank"], {"median": 0.5}, buckets).drop("n")
+    groups = known.join(medians, "rank").selectExpr("rank", "category", "n", *[f"{rounded(c, 4)} as {c}" for c in ("mean", "median", "std")])
     none, no_number = "cast(null as string)", "cast(null as double)"
-    group_rows = groups.selectExpr("'group' as part", "rank", "category", f"{none} as low_category", "n", "mean", "median", "std")
-    everything = rows.selectExpr("'all' as category", "value")
-    overall = grouped(everything, ["category"], n="count(*)", mean="avg(value)", std=sample_deviation("value")).join(
-        _medians(everything, "category", buckets), "category"
+    group_rows = groups.selectExpr(
+        f"if(rank = {TOTAL}, 'overall', 'group') as part", f"nullif(rank, {TOTAL}L) as rank", "category", f"{none} as low_category", "n", "mean", "median", "std"
     )
-    overall_row = overall.selectExpr(
-        "'overall' as part",
-        "cast(null as bigint) as rank",
-        f"{none} as category",
-        f"{none} as low_category",
-        "n",
-        *[f"{rounded(c, 4)} as {c}" for c in ("mean", "median", "std")],
-    )
-    ends = groups.selectExpr("max(struct(mean, -rank, category)) as high", "min(struct(mean, rank, category)) as low", "count(*) as k")
+    means = known.where(f"rank <> {TOTAL}").selectExpr("rank", "category", f"{rounded('mean', 4)} as mean")
+    ends = means.selectExpr("max(struct(mean, -rank, category)) as high", "min(struct(mean, rank, category)) as low", "count(*) as k")
     gap_row = ends.where("k >= 2").selectExpr(
         "'gap' as part",
         "cast(null as bigint) as rank",
@@ -113,12 +114,7 @@ def group_compare(df: DataFrame, numeric_column: str, categorical_column: str) -
         f"{no_number} as median",
         f"{no_number} as std",
     )
-    return union_all([group_rows, overall_row, gap_row])
-
-
-def _medians(rows: DataFrame, key: str, buckets: RangeBuckets) -> DataFrame:
-    freq = grouped(rows, [key, "value"], cnt="count(*)")
-    return quantiles(freq, [key], {"median": 0.5}, buckets).drop("n")
+    return union_all([group_rows, gap_row])
 
 
 def missingness_analysis(df: DataFrame, column: str) -> DataFrame:
