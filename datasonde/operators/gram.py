@@ -90,6 +90,43 @@ def together_missing(missing: DataFrame) -> DataFrame:
     return grouped(missing.mapInArrow(run, "i int, j int, cnt long"), ["i", "j"], cnt="sum(cnt)")
 
 
+def pair_tables(labels: DataFrame) -> DataFrame:
+    """(i, j, a, b, cnt): the contingency table of each pair of text columns of few values, missing ones left out.
+
+    Every task gives the values of a column numbers of its own, and adds the pairs of numbers of a
+    batch to one table per pair; what leaves it are the cells of those tables.
+    """
+    width = len(labels.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers: list[dict[str, int]] = [{} for _ in range(width)]
+        tables: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            codes = []
+            for column, known in zip(batch.columns, numbers):
+                encoded = column.dictionary_encode()
+                own = [known.setdefault(v, len(known) + 1) for v in encoded.dictionary.to_pylist()]
+                at = encoded.indices.fill_null(len(own)).to_numpy()
+                codes.append(np.array([*own, 0])[at])  # 0: missing
+            for i in range(width - 1):
+                for j in range(i + 1, width):
+                    shape = len(numbers[i]) + 1, len(numbers[j]) + 1
+                    new = np.bincount(codes[i] * shape[1] + codes[j], minlength=shape[0] * shape[1]).reshape(shape)
+                    if (i, j) in tables:
+                        old = tables[i, j]
+                        new[: old.shape[0], : old.shape[1]] += old
+                    tables[i, j] = new
+        names = [[None, *known] for known in numbers]
+        for (i, j), table in tables.items():
+            a, b = np.nonzero(table[1:, 1:])
+            n = len(a)
+            columns = [pa.array([i] * n, pa.int32()), pa.array([j] * n, pa.int32())]
+            columns += [pa.array([of[k + 1] for k in at], pa.string()) for of, at in ((names[i], a), (names[j], b))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(table[1:, 1:][a, b], pa.int64())], ["i", "j", "a", "b", "cnt"])
+
+    return grouped(labels.mapInArrow(run, "i int, j int, a string, b string, cnt long"), ["i", "j", "a", "b"], cnt="sum(cnt)")
+
+
 # -- ranks within each other column's rows ----------------------------------------
 
 

@@ -22,7 +22,7 @@ from datasonde.functions.moments import sample_deviation
 from datasonde.functions.values import as_text, finite, grouped, number_literal, rounded, union_all
 from datasonde.operators.columns import approximate_distinct, missing_counts, per_column
 from datasonde.operators.frequency import distinct_counts
-from datasonde.operators.gram import pair_sums, rank_sums
+from datasonde.operators.gram import pair_sums, pair_tables, rank_sums
 from datasonde.operators.order_stats import RangeBuckets, average_ranks, plan_buckets
 
 # Column pairs that generated aggregates take in one scan; more are added up as matrices, in one scan too.
@@ -244,15 +244,15 @@ def pair_counts(df: DataFrame, counts: list[tuple[str, int]]) -> DataFrame:
 
     ``counts`` names the columns and their distinct values. Where these bound the
     joint groups, rows are folded into joint groups first and only those are
-    spread over the pairs.
+    spread over the pairs. Else the tables are filled in the tasks, and rows aren't
+    spread at all.
     """
     names = [n for n, _ in counts]
     infos = {c.name: c for c in column_infos(df, names=names)}
-    rows = df.selectExpr(
-        *[f"{as_text(infos[n].value, infos[n].data_type)} as c{i}" for i, n in enumerate(names)], "1L as cnt"
-    )
-    if joint_groups(counts) <= MAX_JOINT_GROUPS:
-        rows = grouped(rows, [f"c{i}" for i in range(len(names))], cnt="sum(cnt)")
+    labels = df.selectExpr(*[f"{as_text(infos[n].value, infos[n].data_type)} as c{i}" for i, n in enumerate(names)])
+    if joint_groups(counts) > MAX_JOINT_GROUPS:
+        return pair_tables(labels)
+    rows = grouped(labels, [f"c{i}" for i in range(len(names))], cnt="count(*)")
     cells = ", ".join(
         f"struct({i} as i, {j} as j, c{i} as a, c{j} as b)" for i, j in combinations(range(len(names)), 2)
     )

@@ -157,6 +157,23 @@ def test_cramers_v(spark, monkeypatch, joint):
     assert R.top_cramers_v(df).first()["cramers_v"] == pytest.approx(expected_v(both["a"], both["b"]), abs=5e-4)
 
 
+def test_forty_category_columns_in_one_scan(spark):
+    """780 tables whose joint groups are too many to fold: counted in the tasks, missing values left out."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 5, 600)
+    pdf = pd.DataFrame({f"c{i:02}": [f"v{(b + (rng.random() < 0.1 * (i % 7)) * rng.integers(0, 5)) % 5}" for b in base] for i in range(40)}, dtype=object)
+    pdf.loc[::11, "c04"] = None
+    df = table(spark, pdf).repartition(5)
+    counts = low_cardinality_columns(df)
+    assert len(counts) == 40 and R.joint_groups(counts) > R.MAX_JOINT_GROUPS
+    got = {(r["i"], r["j"], r["a"], r["b"]): r["cnt"] for r in R.pair_counts(df, counts).collect()}
+    for i, j in ((0, 1), (4, 17), (3, 39), (38, 39)):
+        t = pd.crosstab(pdf.iloc[:, i], pdf.iloc[:, j])
+        want = {(i, j, a, b): t.loc[a, b] for a in t.index for b in t.columns if t.loc[a, b]}
+        assert {k: n for k, n in got.items() if k[:2] == (i, j)} == want
+    assert len({k[:2] for k in got}) == 780
+
+
 @pytest.mark.parametrize("joint", [1_000_000, 0])
 def test_category_effects(spark, monkeypatch, joint):
     monkeypatch.setattr(R, "MAX_JOINT_GROUPS", joint)
