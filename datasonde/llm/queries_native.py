@@ -77,29 +77,33 @@ with parsed as (
 ), labels_ as (
   select *, case when rule is null then null when rule in ('com/', 'www.example.com/en/') then 0 else 1 end as bad from ruled
 ), leaves as (
-  select host, shape, count(*) as n, count(bad) as labelled, coalesce(sum(bad), 0) as blocked from labels_ group by host, shape
+  select host, shape, count(bad) as labelled, coalesce(sum(bad), 0) as blocked from labels_ group by host, shape
+), depths as (
+  select host, shape, labelled, blocked, generate_subscripts(shape, 1) as depth, unnest(shape) as segment from leaves
 ), segments as (
-  select host, shape, n, labelled, blocked, generate_subscripts(shape, 1) as depth, unnest(shape) as segment from leaves
+  select *, array_to_string(shape[1:depth - 1], '/') || case when depth = 1 then '' else '/' end as parent from depths
 ), branches as (
-  select host, depth, segment, sum(n) as n, sum(labelled) as labelled, sum(blocked) as blocked,
-         sum(sum(n)) over (partition by host, depth) as all_n
-  from segments group by host, depth, segment
-), kinds as (
-  select *, case when segment = '' or segment like '*%' then 'fixed'
-                 when n < greatest(5.0, 0.02::double * all_n) then 'rare' else 'branch' end as kind from branches
+  select host, parent, segment, sum(labelled) as labelled, sum(blocked) as blocked,
+         segment <> '' and not starts_with(segment, '*') as literal
+  from segments group by host, parent, segment
+), classed as (
+  select *, sum(case when literal then 1 else 0 end) over (partition by host, parent) as siblings,
+         case when literal and labelled > 0 then blocked * 20 // labelled end as class
+  from branches
 ), pooled as (
   select *, sum(blocked) over w / sum(labelled) over w as pool
-  from kinds where kind = 'branch' and labelled > 0 window w as (partition by host, depth)
+  from classed where class is not null window w as (partition by host, parent, class)
 ), similar_ as (
-  select host, depth, segment, count(*) over (partition by host, depth) as members from pooled
-  where abs(blocked - labelled * pool) <= 1.96::double * sqrt(labelled * pool * (1 - pool)) + 0.5
+  select host, parent, segment, count(*) over (partition by host, parent, class) as members from pooled
+  where abs(blocked - labelled * pool) <= 1.96::double * sqrt(labelled * pool * (1 - pool)) + 0.5 and class not between 1 and 18
 ), named as (
-  select k.host, k.depth, k.segment,
-         case when s.members > 1 then '+' when k.kind = 'rare' then '*' else k.segment end as name
-  from kinds k left join similar_ s on s.host = k.host and s.depth = k.depth and s.segment = k.segment
+  select k.host, k.parent, k.segment,
+         case when s.members > 1 then '+' || cast(cast(k.class as bigint) as varchar)
+              when k.literal and k.labelled = 0 and k.siblings > 50 then '**' else k.segment end as name
+  from classed k left join similar_ s on s.host = k.host and s.parent = k.parent and s.segment = k.segment
 ), paths as (
   select s.host, s.shape, any_value(s.labelled) as labelled, any_value(s.blocked) as blocked, string_agg(n.name, '/' order by s.depth) as template
-  from segments s join named n on n.host = s.host and n.depth = s.depth and n.segment = s.segment group by s.host, s.shape
+  from segments s join named n on n.host = s.host and n.parent = s.parent and n.segment = s.segment group by s.host, s.shape
 ), judged as (
   select host, template, (sum(blocked) + 5.0::double * 0.3::double) / (sum(labelled) + 5.0::double) as purity from paths group by host, template
 )

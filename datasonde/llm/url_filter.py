@@ -6,11 +6,15 @@ URLs they fit are the labels from which templates are judged:
 1. Paths are split in segments. A segment with a digit is variable and becomes ``*`` (with its
    file extension). URLs are folded to distinct (host, template) rows at once, combined before
    the shuffle, so a host with a third of all URLs is as small as any other afterwards.
-2. In the tree of a host, a literal branch that carries too few of the URLs at its depth is
-   variable as well and becomes ``*``.
-3. Labelled branches whose blocked share can't be told from that of all labelled branches at
-   their depth (a z test) are merged into ``+``. Branches are compared with the pool, not with
-   each other. Branches without labels are not merged.
+2. These templates are the leaves of a tree per host: a branch is a segment below its parent,
+   the path before it. Where a parent has more than ``MANY`` different literal branches, its
+   branches are variable: those without a label become ``**``. Nothing is wildcarded for being
+   rare.
+3. Literal branches of one parent that have labels are merged if their blocked shares are
+   statistically alike: they fall in one of 21 classes of the share, and each agrees with the
+   pooled share of its class (a z test). They become ``+`` and the class. Branches without
+   labels are never merged with labelled ones, and mixed ones (between 5 and 95 %), whose
+   verdict hangs on what lies below them, are left to their own branches.
 4. A template's purity is its smoothed blocked share, (blocked + strength * prior) /
    (labelled + strength). At ``threshold`` or more it is blocked, so a template without labels,
    whose share is the prior, is allowed.
@@ -38,8 +42,9 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 
-MIN_COUNT = 5
-MIN_SHARE = 0.02
+MANY = 50
+CLASSES = 20
+MIXED = (1, 18)
 Z = 1.96
 PRIOR = 0.3
 STRENGTH = 5.0
@@ -77,37 +82,34 @@ def template_tree(urls: DataFrame) -> DataFrame:
     """(host, lexical, template, labelled, blocked, purity) from (host, lexical, verdict) rows."""
     leaves = stored(
         urls.groupBy("host", "lexical").agg(
-            F.count(F.lit(1)).alias("n"),
             F.count("verdict").alias("labelled"),
             F.count(F.when(F.col("verdict") == "block", 1)).alias("blocked"),
         )
     )
-    segments = leaves.select("host", "lexical", "n", "labelled", "blocked", F.posexplode(F.split("lexical", "/")).alias("depth", "segment"))
-    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
-    branches = segments.groupBy("host", "depth", "segment").agg(*sums)
-    totals = branches.groupBy("host", "depth").agg(F.sum("n").alias("all_n"))
-    branches = branches.join(totals, ["host", "depth"])
-    fixed = (F.col("segment") == "") | F.col("segment").startswith("*")
-    rare = F.col("n") < F.greatest(F.lit(float(MIN_COUNT)), MIN_SHARE * F.col("all_n"))
-    branches = branches.withColumn("kind", F.when(fixed, "fixed").when(rare, "rare").otherwise("branch"))
-
-    labelled = branches.filter((F.col("kind") == "branch") & (F.col("labelled") > 0))
-    pool = labelled.groupBy("host", "depth").agg((F.sum("blocked") / F.sum("labelled")).alias("pool"))
+    # A branch's parent is the path before it, told by its digest, as paths may be long.
+    branch = "transform(split(lexical, '/'), (s, i) -> struct(md5(array_join(slice(split(lexical, '/'), 1, i), '/')) as parent, s as segment))"
+    segments = leaves.select("host", "lexical", "labelled", "blocked", F.posexplode(F.expr(branch)).alias("depth", "branch"))
+    segments = segments.select("host", "lexical", "labelled", "blocked", "depth", "branch.parent", "branch.segment")
+    of = ["host", "parent"]
+    branches = segments.groupBy(*of, "segment").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    literal = (F.col("segment") != "") & ~F.col("segment").startswith("*")
+    siblings = branches.filter(literal).groupBy(*of).agg(F.count(F.lit(1)).alias("siblings"))
+
+    classed = branches.filter(literal & (F.col("labelled") > 0)).withColumn("class", F.expr(f"blocked * {CLASSES} div labelled"))
+    pool = classed.groupBy(*of, "class").agg((F.sum("blocked") / F.sum("labelled")).alias("pool"))
     spread = F.sqrt(F.col("labelled") * F.col("pool") * (1 - F.col("pool")))
     alike = F.abs(F.col("blocked") - F.col("labelled") * F.col("pool")) <= Z * spread + 0.5
-    similar = labelled.join(pool, ["host", "depth"]).filter(alike)
-    several = similar.groupBy("host", "depth").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > 1)
-    merged = similar.join(several, ["host", "depth"], "left_semi").select("host", "depth", "segment", F.lit(True).alias("merged"))
-    named = branches.join(merged, ["host", "depth", "segment"], "left").select(
-        "host",
-        "depth",
-        "segment",
-        F.when(F.col("merged"), "+").when(F.col("kind") == "rare", "*").otherwise(F.col("segment")).alias("name"),
-    )
+    pure = (F.col("class") < MIXED[0]) | (F.col("class") > MIXED[1])
+    similar = classed.join(pool, [*of, "class"]).filter(pure & alike)
+    several = similar.groupBy(*of, "class").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > 1)
+    merged = similar.join(several, [*of, "class"], "left_semi").select(*of, "segment", "class")
+    variable = literal & (F.col("labelled") == 0) & (F.col("siblings") > MANY)
+    named = branches.join(siblings, of, "left").join(merged, [*of, "segment"], "left")
+    name = F.when(F.col("class").isNotNull(), F.concat(F.lit("+"), F.col("class").cast("string"))).when(variable, "**").otherwise(F.col("segment"))
+    named = named.select(*of, "segment", name.alias("name"))
 
     paths = (
-        segments.select("host", "lexical", "n", "labelled", "blocked", "depth", "segment")
-        .join(named, ["host", "depth", "segment"])
+        segments.join(named, [*of, "segment"])
         .groupBy("host", "lexical", "labelled", "blocked")
         .agg(F.sort_array(F.collect_list(F.struct("depth", "name"))).alias("names"))
         .select("host", "lexical", "labelled", "blocked", F.array_join(F.col("names").getField("name"), "/").alias("template"))
