@@ -13,7 +13,7 @@ what is left of a digest, one row for each part and label, meets its smallest id
 a text that a third of the documents share is a few rows there.
 
 A missing text is an empty one, a missing part the empty string, a missing mark of a label no
-mark. A missing id is never smaller than another and has none smaller, so it isn't removed as a
+mark. A missing id has no label, is never smaller than another and has none smaller, so it isn't removed as a
 copy; rows of one id and one text aren't copies of each other. A document labelled twice is good
 or toxic if one of its labels says so. Extra columns are ignored; an empty table has no parts.
 """
