@@ -7,10 +7,14 @@ before the shuffle, so a source with a third of the rows is one row per task; to
 sums of the folded batches, and never read a document again.
 
 A batch is committed in two steps: its sums are written to a folder of their own, then one row
-in the table of commits names that folder. A batch that is repeated, after a lost driver or by
-a second sender, is found among the commits and changes nothing; a folder without a commit is
-never read; of two commits of one batch, only one counts. ``compact`` folds the committed sums
-into one folder under the same rule, so totals read a bounded number of rows.
+in the table of commits, in a folder of its own as well, names them. A batch that is repeated,
+after a lost driver or by a second sender, is found among the commits and changes nothing; sums
+without a commit are never read; of two commits of one batch, the one of the lesser folder counts.
+
+``compact`` writes a snapshot: the sums of all batches so far and, as a table, their names. Totals
+are those of one snapshot and of the batches that it doesn't name, so any number of compactions at
+once, over the same or over different batches, can't count a batch twice. The driver sees the
+folders since that snapshot; the names of older batches stay in tables.
 
 Changes may lack a source or a language: those form groups of their own. A missing count is 0.
 Repeated rows in one batch count again, as documents do. Groups that come to no documents and
@@ -25,12 +29,15 @@ from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 KEYS = ("source", "lang", "version")
-COMMIT = T.StructType([T.StructField("batch", T.StringType()), T.StructField("folder", T.StringType()), T.StructField("replaces", T.ArrayType(T.StringType()))])
+# A row with a table of names is a snapshot, of all batches in that table.
+COMMIT = "batch string, folder string, names string, generation int"
+SUMS = "source string, lang string, version string, n_docs long, n_tokens long"
 # Pieces in which a text is encoded: the published pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -86,41 +93,69 @@ class TokenLedger:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        # An empty row set makes the table of commits readable before the first one.
-        self._commits(spark.createDataFrame([], COMMIT))
+        try:
+            self._rows()
+        except AnalysisException:  # no commits yet: an empty row set makes their table readable
+            self._commits(spark.createDataFrame([], COMMIT))
+
+    def _new(self, kind: str) -> str:
+        return f"{self.folder}/{kind}/by=x{uuid.uuid4().hex}"
+
+    def _rows(self) -> DataFrame:
+        return self.spark.read.schema(COMMIT).parquet(f"{self.folder}/commits").select("batch", "folder", "names", "generation")
 
     def _commits(self, rows: DataFrame) -> None:
-        rows.coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
+        rows.coalesce(1).write.parquet(self._new("commits"))
+
+    def _names(self, snapshot: Row | None) -> DataFrame:
+        if snapshot is None:
+            return self.spark.createDataFrame([], "batch string")
+        return self.spark.read.schema("batch string").parquet(snapshot["names"])
+
+    def _state(self) -> tuple[Row | None, dict[str, str]]:
+        """The latest snapshot, and batch -> folder of the sums for each batch it doesn't name."""
+        rows = self._rows()
+        snapshot = rows.filter("names is not null").orderBy(F.desc("generation"), "folder").first()
+        single = rows.filter("names is null").groupBy("batch").agg(F.min("folder").alias("folder"))
+        later = single.join(self._names(snapshot), "batch", "left_anti").collect()  # commits since the snapshot
+        return snapshot, {r["batch"]: r["folder"] for r in later}
 
     def committed(self) -> dict[str, str]:
-        """Batch -> folder of its sums: a row for each batch since the last compaction."""
-        rows = self.spark.read.schema(COMMIT).parquet(f"{self.folder}/commits").collect()
-        found: dict[str, str] = {}
-        for row in sorted(rows, key=lambda r: (r.batch, r.folder)):
-            found.setdefault(row.batch, row.folder)
-        gone = {b for row in rows if found[row.batch] == row.folder for b in row.replaces or ()}
-        return {batch: None if batch in gone else folder for batch, folder in found.items()}
-
-    def commit(self, batch: str, changes: DataFrame, replaces: tuple[str, ...] = ()) -> bool:
+        """Batch -> folder of its sums: the latest snapshot and each batch since."""
+        snapshot, later = self._state()
+        return later if snapshot is None else {snapshot["batch"]: snapshot["folder"], **later}
+
+    def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add the signed changes under the name ``batch``; False, and no change, if it was committed before."""
-        if batch in self.committed():
+        if not self._rows().filter(F.col("batch") == batch).isEmpty():
             return False
-        folder = f"{self.folder}/sums/{uuid.uuid4().hex}"
-        sums = changes.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        sums.write.parquet(folder)
-        self._commits(self.spark.createDataFrame([(batch, folder, list(replaces))], COMMIT))
+        folder = self._new("sums")
+        _added(changes).write.parquet(folder)
+        self._commits(self.spark.createDataFrame([(batch, folder, None, None)], COMMIT))
         return True
 
+    def _sums(self, folders: list[str]) -> DataFrame:
+        read = self.spark.read.schema(SUMS)
+        rows = read.parquet(*folders).select(*KEYS, "n_docs", "n_tokens") if folders else self.spark.createDataFrame([], SUMS)
+        return _added(rows)
+
     def totals(self) -> DataFrame:
         """(source, lang, version, n_docs, n_tokens) over all committed batches."""
-        folders = [f for f in self.committed().values() if f]
-        schema = "source string, lang string, version string, n_docs long, n_tokens long"
-        rows = self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
-        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        return self._sums(list(self.committed().values()))
 
     def compact(self) -> str:
-        """Fold all committed sums into one batch that replaces them; their names stay known."""
-        live = tuple(sorted(b for b, f in self.committed().items() if f))
-        name = f"compacted-{uuid.uuid4().hex}"
-        self.commit(name, self.totals(), live)
+        """Write a snapshot of all committed batches; its name. Their names stay known."""
+        snapshot, later = self._state()
+        folders = [*later.values(), *([] if snapshot is None else [snapshot["folder"]])]
+        folder, names = self._new("sums"), self._new("names")
+        self._sums(folders).write.parquet(folder)
+        added = self.spark.createDataFrame([(b,) for b in later], "batch string")
+        self._names(snapshot).unionByName(added).write.parquet(names)
+        name = f"snapshot-{uuid.uuid4().hex}"
+        generation = 1 if snapshot is None else snapshot["generation"] + 1
+        self._commits(self.spark.createDataFrame([(name, folder, names, generation)], COMMIT))
         return name
+
+
+def _added(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))

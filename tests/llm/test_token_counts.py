@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from datasonde.functions.shared import shared_folder
-from datasonde.llm.queries_tokens import RANKS_FILE
-from datasonde.llm.token_counts import PATTERN, TokenLedger, count_tokens, deletes, inserts, revisions
+from datasonde.llm.queries_tokens import RANKS_FILE, token_counts
+from datasonde.llm.token_counts import COMMIT, PATTERN, TokenLedger, count_tokens, deletes, inserts, revisions
 
 
 def changes(spark, rows, old=False):
@@ -63,6 +63,69 @@ def test_compaction_keeps_totals_and_names(spark, ledger):
     assert totals(ledger) == {("a", "en", "v1"): (4, 10)}
 
 
+def test_compactions_at_once_count_no_batch_twice(spark, ledger):
+    one = lambda n: inserts(changes(spark, [("a", "en", "v1", n)]))
+    ledger.commit("1", one(10))
+    ledger.commit("2", one(5))
+    seen = ledger._state()
+    late = TokenLedger(spark, ledger.folder)
+    late._state = lambda: seen  # a second compaction that read the ledger before the first ended
+    ledger.compact()
+    ledger.commit("3", one(2))
+    late.compact()
+    assert totals(ledger) == {("a", "en", "v1"): (3, 17)}
+    wider = TokenLedger(spark, ledger.folder)
+    ledger.compact()
+    del late._state
+    late.compact()
+    assert totals(wider) == {("a", "en", "v1"): (3, 17)} and not wider.commit("2", one(5))
+    assert len(wider.committed()) == 1
+
+
+def test_a_batch_that_comes_again_after_its_snapshot_is_left_out(spark, ledger):
+    batch = inserts(changes(spark, [("a", "en", "v1", 10)]))
+    ledger.commit("1", batch)
+    ledger.compact()
+    batch.write.parquet(f"{ledger.folder}/sums/of-a-slow-sender")
+    ledger._commits(spark.createDataFrame([("1", f"{ledger.folder}/sums/of-a-slow-sender", None, None)], COMMIT))
+    assert totals(ledger) == {("a", "en", "v1"): (1, 10)}
+
+
+def test_odd_rows(spark, ledger, odd, none):
+    rows = odd.select("source", "lang", F.lit("v").alias("version"), F.length("text").alias("tokens"))
+    expected = {}
+    for r in odd.collect():
+        n, tokens = expected.get((r.source, r.lang, "v"), (0, 0))
+        expected[r.source, r.lang, "v"] = (n + 1, tokens + len(r.text or ""))
+    assert ledger.commit("odd", inserts(rows)) and totals(ledger) == expected
+    assert ledger.commit("none", deletes(rows.limit(0))) and totals(ledger) == expected
+    ledger.commit("gone", deletes(rows))
+    ledger.compact()
+    assert totals(ledger) == {key: (0, 0) for key in expected}
+
+
+def test_the_query_against_a_recount(spark, tmp_path):
+    import re
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS_FILE, "rb"))}
+    plain = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["two words", None, "", "dash - and \u00e9t\u00e9 !", "a\nb\t c", "word " * 5000, "two words", "... 7"]
+    docs = [(i, t, "ab"[i % 2] if i != 3 else None, "en" if i % 3 else None) for i, t in enumerate(texts)]
+    marked = {2, 4, 6}
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, int(i in marked)) for i in range(len(texts))] + [(4, 1)]
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    expected = {}
+    for i, text, source, lang in docs:
+        spoken = sum(any(c.isalnum() for c in w) for w in re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+        for version, tokens in (("byte_bpe_50k", len(plain.encode_ordinary(text or ""))), ("words", spoken)):
+            n, total = expected.get((source, lang, version), (0, 0))
+            expected[source, lang, version] = (n, total) if i in marked else (n + 1, total + tokens)
+    assert {(r.source, r.lang, r.version): (r.n_docs, r.n_tokens) for r in token_counts(spark, str(tmp_path)).collect()} == expected
+
+
 def test_empty_batches(spark, ledger):
     assert ledger.commit("none", inserts(changes(spark, [])))
     assert totals(ledger) == {} and not ledger.commit("none", inserts(changes(spark, [])))
