@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from datasonde.functions.fixed_values import CSV_MISSING_TOKENS
 from datasonde.functions.kinds import CATEGORICAL, column_infos, quoted, text_literal
 from datasonde.functions.values import iso_instant, iso_offset, iso_timestamp
 from datasonde.operators.columns import per_column
+from datasonde.sources.records import csv_records, unclosed_files
 
 
 class LoadError(Exception):
@@ -29,13 +31,15 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFr
     the narrowest type that holds all of its values without loss: 64-bit integers, integers
     of up to 38 digits, doubles, booleans or text. One pass over the data decides for all.
 
-    Rows with a value beyond the cells of the header are an error, as are, unless ``multi_line`` is set,
-    quoted cells with a line break: those need whole files in one task, which is for the caller
-    to choose. Rows with fewer cells end in missing values.
+    Quoted cells may hold line breaks: splits are read in parallel all the same, see
+    :mod:`datasonde.sources.records`. ``multi_line`` reads each file in one task instead, which also
+    takes stray quotes beside quoted cells. Rows with a value beyond the cells of the header are an
+    error, and so is a file that ends inside a quoted cell. Rows with fewer cells end in missing values.
     """
     options = {"header": True, "escape": '"', "multiLine": multi_line, "nullValue": NOT_A_CELL}
     try:
-        names = spark.read.csv(path, inferSchema=False, **options).columns
+        # Only the first record is read for the names, whatever the size of the file.
+        names = spark.read.csv(path, inferSchema=False, **{**options, "multiLine": True}).columns
         schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, SURPLUS]])
         read = spark.read.schema(schema).csv(path, enforceSchema=True, **options) if names else None
     except Exception as problem:
@@ -46,7 +50,11 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFr
         quotes = "length(value) - length(replace(value, '\"', ''))"
         torn = spark.read.text(path).where(f"value rlike '(^|,)\\\\s*\"' and ({quotes}) % 2 = 1")
         if not torn.isEmpty():
-            raise LoadError(f"'{path}' has quoted cells with a line break; read it with multi_line=True")
+            if not unclosed_files(spark, path).isEmpty():
+                raise LoadError(f"'{path}' ends inside a quoted cell")
+            ddl = ", ".join(f"{quoted(n)} string" for n in schema.names)
+            cells = F.from_csv("record", ddl, {"escape": '"', "nullValue": NOT_A_CELL})
+            read = csv_records(spark, path).select(cells.alias("cells")).select("cells.*")
     tokens = ", ".join(text_literal(t) for t in CSV_MISSING_TOKENS)
     blanked = read.selectExpr(*[f"if({quoted(c)} in ({tokens}), null, {quoted(c)}) as {quoted(c)}" for c in names], SURPLUS)
 

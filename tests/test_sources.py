@@ -1,11 +1,16 @@
+import csv
+import random
+
 import pytest
 
+from datasonde.functions.fixed_values import CSV_MISSING_TOKENS
 from datasonde.functions.kinds import column_infos
 from datasonde.functions.shared import shared_folder
 from datasonde.operators.columns import per_column
 from datasonde.sources import parts as P
 from datasonde.sources import sinks as K
 from datasonde.sources import tables as S
+from datasonde.sources.records import csv_records
 
 
 @pytest.fixture(scope="module")
@@ -83,20 +88,51 @@ def test_csv_integers_keep_their_digits(spark, tmp_path):
     assert {r["id"] for r in df.collect()} == set(ids) and {int(r["wide"]) for r in df.collect()} == {i * 1000 for i in ids}
 
 
-def test_csv_rows_that_are_too_long_or_torn_are_errors(spark, tmp_path):
+def test_csv_rows_that_are_too_long_or_unclosed_are_errors(spark, tmp_path):
     long, torn, short = (tmp_path / f"{n}.csv" for n in ("long", "torn", "short"))
     long.write_text("a,b\n1,2\n3,4,5\n6,7,\n")
     with pytest.raises(S.LoadError, match=r"1 row\(s\) with more cells than the 2"):
         S.read_csv(spark, str(long))
     torn.write_text('a,b\n1,"two\nlines"\n2,plain\n')
-    with pytest.raises(S.LoadError, match="line break"):
+    for whole_files in (False, True):
+        rows = S.read_csv(spark, str(torn), multi_line=whole_files).orderBy("a").collect()
+        assert [tuple(r) for r in rows] == [(1, "two\nlines"), (2, "plain")]
+    torn.write_text('a,b\n1,"two\nlines\n2,plain\n')
+    with pytest.raises(S.LoadError, match="ends inside a quoted cell"):
         S.read_csv(spark, str(torn))
-    rows = S.read_csv(spark, str(torn), multi_line=True).orderBy("a").collect()
-    assert [tuple(r) for r in rows] == [(1, "two\nlines"), (2, "plain")]
     short.write_text("a,b\n1\n2,x\n")
     assert [tuple(r) for r in S.read_csv(spark, str(short)).orderBy("a").collect()] == [(1, None), (2, "x")]
 
 
+def torn_rows(n, seed):
+    rng = random.Random(seed)
+    bits = ["a", "b,c", '"', "\n", "\n\n", "x y", "\r\n", '5" pipe', "", ",\"", "1"]
+    return [[str(i), "".join(rng.choice(bits) for _ in range(rng.randint(0, 6))), rng.choice(["k", 'q"', "v\nw"])] for i in range(n)]
+
+
+def test_csv_line_breaks_are_read_from_all_splits(spark, tmp_path):
+    folder = tmp_path / "many.csv"
+    folder.mkdir()
+    wanted = set()
+    for part in range(3):
+        rows = [[f"{part}-{i}", *rest] for i, *rest in torn_rows(400, part)]
+        wanted |= {tuple(r) for r in rows}
+        with open(folder / f"{part}.csv", "w", newline="") as out:
+            out.write("\n" * part)
+            csv.writer(out, lineterminator=("\n", "\r\n")[part % 2]).writerows([["id", "some\ntext", "kind"], *rows])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        records = csv_records(spark, str(folder))
+        assert spark.read.text(str(folder)).rdd.getNumPartitions() > 5
+        df = S.read_csv(spark, str(folder))
+        assert df.columns == ["id", "some\ntext", "kind"]
+        missing = {t for t in CSV_MISSING_TOKENS}
+        assert {tuple(r) for r in df.collect()} == {tuple(None if c in missing else c for c in r) for r in wanted}
+        assert records.count() == 1200
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_the_type_pass_reads_a_wide_text_once(spark, tmp_path):
     path = tmp_path / "wide.csv"
     path.write_text(",".join(f"c{i}" for i in range(130)) + "\n" + ",".join("1" for _ in range(130)) + "\n")
