@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from datetime import UTC, datetime
 
+from pyspark.sql import functions as F
+
 from datasonde.functions.values import union_all
 from datasonde.plans.engine import run_plan
 from datasonde.plans.windows import conjunction, date_window
@@ -395,3 +397,71 @@ register(
     "count(l_quantity) as n, count(*) as n_rows from lineitem group by 1, 2)\n"
     "select *, (select count(*) from g) > 20 as truncated from g order by l_suppkey, l_returnflag limit 20",
 )
+
+
+# what a plan says it computes: (plan, time zone, the sentence, its rows in SQL)
+EXPLAINED = [
+    (
+        {"aggregate": "mean", "column": "o_totalprice", "filters": leaf("=", "o_orderstatus", "F")},
+        "UTC",
+        "mean of `o_totalprice` | where `o_orderstatus` = 'F'",
+        "o_orderstatus = 'F'",
+    ),
+    (
+        {
+            "aggregate": "count",
+            "filters": {
+                "op": "and",
+                "children": [
+                    leaf(">=", "o_orderdate", "@last_month_start"),
+                    {"op": "not", "child": {"op": "in", "column": "o_orderpriority", "values": ["1-URGENT", "5-LOW"]}},
+                ],
+            },
+        },
+        "Asia/Tokyo",
+        "count of matching rows | where (`o_orderdate` >= 1998-02-01 00:00:00+09:00 and not (`o_orderpriority` in ('1-URGENT', '5-LOW')))"
+        " | [Asia/Tokyo; @last_month_start=1998-02-01T00:00:00+09:00]",
+        "o_orderdate >= timestamp '1998-02-01' and (o_orderpriority is null or o_orderpriority not in ('1-URGENT', '5-LOW'))",
+    ),
+    (
+        {
+            "aggregate": "sum",
+            "column": "o_totalprice",
+            "group_by": ["o_orderstatus", "o_orderpriority"],
+            "filters": {
+                "op": "or",
+                "children": [
+                    {"op": "between", "column": "o_totalprice", "low": 1000, "high": 50000.5},
+                    {"op": "is null", "column": "o_orderpriority"},
+                ],
+            },
+        },
+        "UTC",
+        "sum of `o_totalprice` | where (`o_totalprice` between 1000 and 50000.5 or `o_orderpriority` is null)"
+        " | grouped by `o_orderstatus`, `o_orderpriority`",
+        "(o_totalprice between 1000 and 50000.5 or o_orderpriority is null) and o_orderstatus is not null and o_orderpriority is not null",
+    ),
+]
+
+
+def plan_explanation(spark, sf):
+    """The sentence of each plan beside the number of rows that the plan used."""
+    df = table(spark, sf, "orders_gaps")
+    said = []
+    for plan, tz, *_ in EXPLAINED:
+        result = run_plan(df, plan, tz, NOW)
+        n = "n_rows" if "group_by" in plan else "n_matched"
+        said.append(result.table.selectExpr(f"sum({n}) as n_rows").withColumn("explanation", F.lit(result.interpretation)))
+    return union_all(said)
+
+
+register(
+    "plan_explanation",
+    plan_explanation,
+    over(
+        "orders_gaps",
+        "\nunion all ".join(
+            f"select count(*) as n_rows, '{text.replace(chr(39), chr(39) * 2)}' as explanation from v where {where}" for _, _, text, where in EXPLAINED
+        ),
+    ),
+)

@@ -163,3 +163,31 @@ def profile_sink(spark, sf):
         spark.read.schema(schema).json(written[section]).selectExpr(f"'{section}' as section", f"{column} as column", f"{n} as n", f"{pct} as pct")
         for section, (schema, column, n, pct) in read.items()
     )
+
+
+@query(
+    "scan_csv_breaks",
+    "select c_custkey, case when c_custkey % 3 = 0 then c_name || chr(10) || '\"' || c_mktsegment || '\", ' || chr(10) || 'x' else c_name end as c_name, "
+    "case when c_custkey % 5 = 0 then null else c_acctbal end as c_acctbal, case when c_custkey % 7 = 0 then chr(10) || ',' else c_mktsegment end as \"two\nlines\" from customer",
+)
+def scan_csv_breaks(spark, sf):
+    """Cells with quotes, commas and line breaks, and a header with one, in several files."""
+    path = f"{shared_folder(spark)}/customer.csv"
+    table(spark, sf, "customer").repartition(3, "c_custkey").selectExpr(
+        "c_custkey",
+        "if(c_custkey % 3 = 0, concat(c_name, '\\n\"', c_mktsegment, '\", \\nx'), c_name) as c_name",
+        "if(c_custkey % 5 = 0, 'NA', cast(c_acctbal as string)) as c_acctbal",
+        "if(c_custkey % 7 = 0, '\\n,', c_mktsegment) as `two\nlines`",
+    ).write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return S.read_table(spark, path)
+
+
+@query(
+    "byte_guard",
+    "select 'one byte' as allowed, true as refused, count(*) as n_rows from orders union all select 'a petabyte', false, count(*) from orders",
+)
+def byte_guard(spark, sf):
+    orders = table(spark, sf, "orders")
+    limits = {"one byte": 1, "a petabyte": 10**15}
+    refused = {name: str("the limit is" in (S.check_input(orders, max_bytes=n) or "")).lower() for name, n in limits.items()}
+    return union_all(orders.selectExpr(f"'{name}' as allowed", f"{said} as refused", "count(*) as n_rows") for name, said in refused.items())
