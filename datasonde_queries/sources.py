@@ -7,7 +7,20 @@ from datasonde.functions.values import union_all
 from datasonde.sources import parts as P
 from datasonde.sources import sinks as K
 from datasonde.sources import tables as S
-from datasonde_queries.profile import GAPS_COLUMNS, PCT_MISSING
+from datasonde_queries.profile import (
+    GAPS_COLUMNS,
+    PCT_MISSING,
+    completeness_sql,
+    cramers_sql,
+    effects_sql,
+    id_like_sql,
+    issues_sql,
+    pearson_sql,
+    pii_scan_sql,
+    spearman_sql,
+    strongest_sql,
+    top_sql,
+)
 from datasonde_queries.registry import each, query
 from datasonde_queries.views import over, table
 
@@ -191,3 +204,82 @@ def byte_guard(spark, sf):
     limits = {"one byte": 1, "a petabyte": 10**15}
     refused = {name: str("the limit is" in (S.check_input(orders, max_bytes=n) or "")).lower() for name, n in limits.items()}
     return union_all(orders.selectExpr(f"'{name}' as allowed", f"{said} as refused", "count(*) as n_rows") for name, said in refused.items())
+
+
+NUMBERS = ["o_orderkey", "o_custkey", "o_totalprice"]
+CATEGORIES = ["o_orderstatus", "o_orderpriority"]
+QUANTILES = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
+MOMENTS = {"mean": "avg({c})", "std": "stddev_samp({c})", "min": "min({c})", "max": "max({c})", "skew": "skewness({c})", "kurtosis": "kurtosis({c})"}
+KINDS = {"o_orderkey": "numeric", "o_custkey": "numeric", "o_orderstatus": "categorical", "o_totalprice": "numeric", "o_orderdate": "datetime", "o_orderpriority": "categorical"}
+
+
+def long_sql(section: str, item: str, stats: dict[str, str], source: str, said: str = "null") -> str:
+    """(section, item, stat, value, said): a row for each statistic of each row of ``source``."""
+    return "\nunion all ".join(
+        f"select '{section}' as section, cast({item} as varchar) as item, '{stat}' as stat, round_even(cast({value} as double), 4) + 0.0::double as value, "
+        f"cast({said} as varchar) as said from ({source})"
+        for stat, value in stats.items()
+    )
+
+
+def long_rows(section: str, df, item: str, stats: dict[str, str], said: str = "null"):
+    cells = ", ".join(f"struct('{stat}' as stat, bround(cast({value} as double), 4) + 0.0D as value)" for stat, value in stats.items())
+    return df.selectExpr(f"'{section}' as section", f"cast({item} as string) as item", f"inline(array({cells}))", f"cast({said} as string) as said")
+
+
+PAIR = "col_a || '+' || col_b"
+COLUMN = '"column"'
+SECTIONS_SQL = "\nunion all ".join(
+    [
+        *[long_sql("column_types", f"'{c}'", {"n_valid": f"(select count({c}) from v)"}, "select 1", f"'{kind}'") for c, kind in KINDS.items()],
+        *[long_sql("quantiles", f"'{c}'", {q: f"(select quantile_cont({c}::double, {p}) from v)" for q, p in QUANTILES.items()}, "select 1") for c in NUMBERS],
+        *[long_sql("modes", f"'{c}'", {"mode": c}, f"select {c} from v where {c} is not null group by {c} order by count(*) desc, {c} limit 1") for c in NUMBERS],
+        *[long_sql("moments", f"'{c}'", {m: f"(select {sql.format(c=c)} from v)" for m, sql in MOMENTS.items()}, "select 1") for c in NUMBERS],
+        *[long_sql("moments", f"'{c}'", {"n_zeros": f"count(case when {c} = 0 then 1 end)", "n_negative": f"count(case when {c} < 0 then 1 end)"}, "select * from v") for c in NUMBERS],
+        long_sql("shape", "'table'", {"n_rows": "n", "n_columns": "6", "n_numeric_columns": "3", "n_categorical_columns": "3"}, "select count(*) as n from v"),
+        long_sql("top_values", COLUMN, {"rank": "rank", "cnt": "cnt"}, top_sql("v", CATEGORIES, 5), "value"),
+        long_sql("datetime_spans", "'o_orderdate'", {"n_valid": "count(o_orderdate)", "span_days": "date_diff('day', min(o_orderdate), max(o_orderdate))"}, "select * from v", "strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S')"),
+        long_sql("pearson", PAIR, {"pearson_r": "pearson_r"}, strongest_sql(pearson_sql(NUMBERS), 0.3, "pearson_r")),
+        long_sql("spearman", PAIR, {"spearman_r": "spearman_r"}, strongest_sql(spearman_sql(NUMBERS), 0.5, "spearman_r")),
+        long_sql("cramers_v", PAIR, {"cramers_v": "cramers_v"}, strongest_sql(cramers_sql(CATEGORIES), 0.3, "cramers_v")),
+        long_sql("category_effects", "category || '+' || numeric || '+' || \"group\"", {"rank": "rank", "spread": "spread", "group_rank": "group_rank", "mean": "mean", "cnt": "cnt"}, effects_sql(cats=CATEGORIES, nums=NUMBERS)),
+        long_sql("id_like", COLUMN, {"found": "1"}, id_like_sql("v", NUMBERS[:2], CATEGORIES), "reason"),
+        long_sql("quality", COLUMN, {"hits": "hits", "total": "total"}, issues_sql(CATEGORIES), '"check"'),
+        long_sql("pii", COLUMN, {"cnt": "cnt", "pct": "pct"}, pii_scan_sql(CATEGORIES), "kind"),
+        long_sql("health", "'table'", {"completeness": "round_even(score, 0)", "uniqueness": "100", "consistency": "100", "validity": "100"}, completeness_sql(GAPS_COLUMNS)),
+        long_sql("sample", "o_orderkey", {"o_custkey": "o_custkey", "o_totalprice": "o_totalprice"}, "select * from v order by v.o_orderkey limit 5", "o_orderpriority"),
+    ]
+)
+
+
+@query("profile_sink_sections", over("orders_gaps", SECTIONS_SQL))
+def profile_sink_sections(spark, sf):
+    """Sixteen more sections of a written profile, read back in long form."""
+    tables = K.profile_tables(table(spark, sf, "orders_gaps"), order_by=["o_orderkey"])
+    written = dict(zip(tables, K.write_profile(tables, shared_folder(spark), run_id="1")))
+
+    def rows(section: str, item: str, stats: list[str], said: str = "null"):
+        read = spark.read.schema(tables[section].schema).json(written[section])
+        return long_rows(section, read, item, {s: {"found": "1"}.get(s, s) for s in stats}, said)
+
+    pair = "concat(col_a, '+', col_b)"
+    return union_all(
+        [
+            rows("column_types", "column", ["n_valid"], "kind"),
+            rows("quantiles", "column", list(QUANTILES)),
+            rows("modes", "column", ["mode"]),
+            rows("moments", "column", [*MOMENTS, "n_zeros", "n_negative"]),
+            rows("shape", "'table'", ["n_rows", "n_columns", "n_numeric_columns", "n_categorical_columns"]),
+            rows("top_values", "column", ["rank", "cnt"], "value"),
+            rows("datetime_spans", "column", ["n_valid", "span_days"], "min"),
+            rows("pearson", pair, ["pearson_r"]),
+            rows("spearman", pair, ["spearman_r"]),
+            rows("cramers_v", pair, ["cramers_v"]),
+            rows("category_effects", "concat(category, '+', numeric, '+', `group`)", ["rank", "spread", "group_rank", "mean", "cnt"]),
+            rows("id_like", "column", ["found"], "reason"),
+            rows("quality", "column", ["hits", "total"], "check"),
+            rows("pii", "column", ["cnt", "pct"], "kind"),
+            rows("health", "'table'", ["completeness", "uniqueness", "consistency", "validity"]),
+            rows("sample", "o_orderkey", ["o_custkey", "o_totalprice"], "o_orderpriority"),
+        ]
+    )
