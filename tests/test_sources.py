@@ -133,6 +133,22 @@ def test_csv_line_breaks_are_read_from_all_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_csv_cells_longer_than_a_split(spark, tmp_path):
+    long, bare = tmp_path / "long.csv", tmp_path / "bare.csv"
+    text = "\n".join(f'line {i}, ""said"", {"x" * (i % 7)}' for i in range(400))
+    long.write_text(f'a,b\n1,"{text}"\n2,plain\n3,"{text}"\n4,"{text}"\n')
+    bare.write_text('"a\nb",c\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        rows = S.read_csv(spark, str(long)).orderBy("a").collect()
+        cell = text.replace('""', '"')
+        assert [tuple(r) for r in rows] == [(1, cell), (2, "plain"), (3, cell), (4, cell)]
+        empty = S.read_csv(spark, str(bare))
+        assert empty.columns == ["a\nb", "c"] and empty.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_the_type_pass_reads_a_wide_text_once(spark, tmp_path):
     path = tmp_path / "wide.csv"
     path.write_text(",".join(f"c{i}" for i in range(130)) + "\n" + ",".join("1" for _ in range(130)) + "\n")
