@@ -1,9 +1,14 @@
 """Remove passages of three lines that were seen before, with DataFrame functions only.
 
 Every document gives overlapping windows of three consecutive lines; blank lines are passed
-over, and a document of one or two lines is one window. Windows are hashed to 128 bits and
-counted over the whole corpus. The first occurrence, by (id, position), stays; every later
-one covers its lines, covered positions are merged, and those lines are removed.
+over, and a document of one or two lines is one window. A line of more than 16 words is first
+cut into shorter ones, of 5 to 13 words, where the text itself says so: after a mark or a final
+letter that every fourth word or so has. So a passage inside one long line is cut alike wherever
+it stands, but for its first and last piece, and one of over 50 words has windows of its own.
+
+Windows are hashed to 128 bits and counted over the whole corpus. The first occurrence, by
+(id, position), stays; every later one covers its lines, covered positions are merged, and
+those lines are removed. Pieces of a line that stay are one line as before.
 
 The first occurrence of a line's text is never removed, since a window that holds it can
 only be a first one. So no content is lost, whatever the overlaps.
@@ -14,7 +19,8 @@ execution may split it. Text is shuffled once, to meet the positions to remove.
 
 Missing texts stay missing, empty ones empty. Lines are compared without ASCII white space at
 their ends. A text without a removal is returned unchanged. Rows of one id and one text count
-as one occurrence; a missing id sorts first. An empty table stays empty.
+as one occurrence; a missing id sorts first. An empty table stays empty. Writing without spaces
+is one word, however long.
 """
 
 from __future__ import annotations
@@ -25,37 +31,49 @@ from pyspark.sql import functions as F
 from datasonde.llm.columns import ASCII_SPACE, packed, unpacked
 
 WINDOW_LINES = 3
+# A line in pieces, which hold all of it: whole if it has at most 16 words, else up to the first of the words 5 to 12
+# that ends in a mark or one of ten letters, which end a quarter of the words of most languages, else 13 words.
+_SPACE, _WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+_ENDED = rf"(?:{_SPACE}+|\z)"
+PIECE = (
+    rf"\A{_SPACE}*(?:{_WORD}+{_ENDED}){{0,16}}\z"
+    rf"|{_SPACE}*(?:{_WORD}+{_SPACE}+){{4,11}}?{_WORD}*[.!?,;:egklpu\x{{0430}}\x{{043A}}\x{{043B}}\x{{043F}}]{_ENDED}"
+    rf"|{_SPACE}*(?:{_WORD}+{_ENDED}){{1,13}}"
+)
+
+
+def _pieces(text: Column) -> Column:
+    """(line, piece) of a text: its lines, long ones in pieces."""
+    cut = F.transform(
+        F.split(text, "\n"),
+        lambda line, i: F.transform(F.regexp_extract_all(line, F.lit(PIECE), F.lit(0)), lambda p: F.struct(i.alias("line"), p.alias("piece"))),
+    )
+    return F.flatten(cut)
 
 
-def _lines(text: Column) -> Column:
-    return F.split(text, "\n")
+def _line_count(text: Column) -> Column:
+    """Lines that aren't blank; a missing text has none."""
+    return F.coalesce(F.size(F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(ASCII_SPACE)) != "")), F.lit(0))
 
 
-def _line_numbers(lines: Column) -> Column:
-    """Positions of the lines that aren't blank."""
-    kept = F.filter(
-        F.transform(lines, lambda line, i: F.when(F.btrim(line, F.lit(ASCII_SPACE)) != "", i)),
-        lambda i: i.isNotNull(),
-    )
-    return kept
+def repeated_windows(docs: DataFrame, width: int = WINDOW_LINES) -> DataFrame:
+    """(id, digest, ranges) for documents of (id, text): ranges of pieces whose windows occurred before."""
+    rows = docs.filter(F.col("text").isNotNull()).select("id", F.xxhash64("text").alias("digest"), _pieces(F.col("text")).alias("pieces"))
 
+    def hashed(p: Column, i: Column) -> Column:
+        body = F.btrim(p.piece, F.lit(ASCII_SPACE))
+        return F.when(body != "", F.struct(i.alias("at"), F.xxhash64(body).alias("h1"), F.xxhash64(F.lit(1), body).alias("h2")))
 
-def repeated_windows(docs: DataFrame, width: int = WINDOW_LINES) -> DataFrame:
-    """(id, digest, ranges) for documents of (id, text): line ranges of windows that occurred before."""
-    rows = docs.select("id", F.xxhash64("text").alias("digest"), _lines(F.col("text")).alias("lines"))
-    rows = rows.withColumn("numbers", _line_numbers(F.col("lines"))).filter(F.size("numbers") > 0)
-    trimmed = F.transform("numbers", lambda i: F.btrim(F.get(F.col("lines"), i), F.lit(ASCII_SPACE)))
-    rows = rows.select("id", "digest", "numbers", trimmed.alias("lines"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("lines") - width, F.lit(0)))
+    rows = rows.select("id", "digest", F.filter(F.transform("pieces", hashed), lambda x: x.isNotNull()).alias("units")).filter(F.size("units") > 0)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("units") - width, F.lit(0)))
 
     def window(p: Column) -> Column:
-        body = F.array_join(F.slice("lines", p + 1, width), "\n")
-        last = F.least(p + width, F.size("lines")) - 1
+        units = [F.get(F.col("units"), p + k) for k in range(width)]
         return F.struct(
-            F.xxhash64(body).alias("h1"),
-            F.xxhash64(F.lit(1), body).alias("h2"),
-            F.get(F.col("numbers"), p).alias("a"),
-            F.get(F.col("numbers"), last).alias("b"),
+            F.xxhash64(*(u.h1 for u in units)).alias("h1"),
+            F.xxhash64(*(u.h2 for u in units)).alias("h2"),
+            units[0].at.alias("a"),
+            F.coalesce(*(u.at for u in reversed(units))).alias("b"),
         )
 
     windows = rows.select("id", "digest", F.inline(F.transform(starts, window)))
@@ -70,21 +88,24 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW_LINES) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WINDOW_LINES) -> DataFrame:
-    """``docs`` as a struct ``row`` with the new text, the number of lines (blank ones not counted) and of those removed."""
+    """``docs`` as a struct ``row`` with the new text, whether it changed, the number of lines (blank ones not counted) and of those gone."""
     body = F.col(f"`{text}`")
     found = repeated_windows(docs.select(F.col(f"`{key}`").alias("id"), body.alias("text")), width)
     found = found.select(F.col("id").alias("of"), F.col("digest").alias("of_digest"), "ranges")
     rows = packed(docs, id=F.col(f"`{key}`"), digest=F.xxhash64(body), text=body)
     joined = rows.join(found, F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("of_digest")), "left")
-    joined = joined.withColumn("lines", _lines(F.col("text")))
+    changed = F.col("ranges").isNotNull()
+    joined = joined.withColumn("pieces", F.when(changed, _pieces(F.col("text"))))
     covered = F.array_distinct(F.flatten(F.transform("ranges", lambda r: F.sequence(r.a, r.b))))
-    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), covered)
-    shorter = F.array_join(F.transform(left, lambda i: F.get(F.col("lines"), i)), "\n")
-    new = F.when(F.col("ranges").isNull(), F.col("text")).otherwise(shorter)
-    n_lines = F.coalesce(F.size(_line_numbers(F.col("lines"))), F.lit(0))
-    joined = joined.select("row", new.alias("new_text"), F.when(F.col("text").isNull(), 0).otherwise(n_lines).alias("n_lines"))
-    n_left = F.when(F.col("new_text").isNull(), 0).otherwise(F.size(_line_numbers(_lines(F.col("new_text")))))
-    return joined.select("row", "new_text", "n_lines", (F.col("n_lines") - n_left).alias("n_removed"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("pieces") - 1), covered)
+    joined = joined.withColumn("left", F.when(changed, F.transform(left, lambda i: F.get(F.col("pieces"), i))))
+    # A piece starts a line if the piece before it is of another one.
+    before = F.concat(F.array(F.lit(None).cast("int")), F.col("left.line"))
+    parts = F.zip_with("left", before, lambda p, line: F.concat(F.when(line != p.line, "\n").otherwise(""), p.piece))
+    joined = joined.withColumn("new_text", F.when(changed, F.array_join(parts, "")).otherwise(F.col("text")))
+    n_lines = _line_count(F.col("text"))
+    gone = F.when(changed, n_lines - _line_count(F.col("new_text"))).otherwise(0)
+    return joined.select("row", "new_text", changed.alias("changed"), n_lines.alias("n_lines"), gone.alias("n_removed"))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", length: str | None = "n_chars", width: int = WINDOW_LINES) -> DataFrame:
@@ -93,5 +114,5 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", length
     changed = {text: F.col("new_text")}
     if length in docs.columns:
         old = F.col("row").getField(length)
-        changed[length] = F.when(F.col("n_removed") > 0, F.length("new_text")).otherwise(old).cast(docs.schema[length].dataType)
+        changed[length] = F.when(F.col("changed"), F.length("new_text")).otherwise(old).cast(docs.schema[length].dataType)
     return unpacked(rows, docs.columns, **changed)

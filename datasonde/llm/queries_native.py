@@ -10,35 +10,51 @@ from datasonde.llm.mixing import mixing_plan
 from datasonde.llm.registry import query, table
 from datasonde.llm.url_filter import judge_urls
 
-# Lines of three at a time: later occurrences cover positions, and what is covered goes.
+# Lines of three at a time, long ones in pieces: later occurrences cover positions, and what is covered goes.
 LINE_SQL = r"""
-with docs as (
-  select doc_id, text, string_split(text, chr(10)) as lines from documents
-), raw as (
-  select doc_id, generate_subscripts(lines, 1) as i, unnest(lines) as line from docs where text is not null
+with raw as (
+  select doc_id, generate_subscripts(lines, 1) as i, unnest(lines) as line
+  from (select doc_id, string_split(text, chr(10)) as lines from documents where text is not null)
+), cut as (
+  select doc_id, i, case
+    when len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) <= 16 then [line]
+    else regexp_extract_all(line, '[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){4,11}?[^\x20\x09-\x0D]*[.!?,;:egklpu\x{0430}\x{043A}\x{043B}\x{043F}](?:[\x20\x09-\x0D]+|\z)|[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+|\z)){1,13}')
+    end as pieces
+  from raw
+), units as (
+  select doc_id, i, generate_subscripts(pieces, 1) as j, unnest(pieces) as piece from cut
 ), solid as (
-  select doc_id, i, trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) as line from raw
-  where trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) <> ''
+  select doc_id, i, j, i * 10000000 + j as place, trim(piece, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) as body from units
+  where trim(piece, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) <> ''
 ), numbered as (
   select *, row_number() over w as k, count(*) over (partition by doc_id) as n,
-         lead(line, 1) over w as second, lead(line, 2) over w as third,
-         lead(i, 1) over w as i2, lead(i, 2) over w as i3
-  from solid window w as (partition by doc_id order by i)
+         lead(body, 1) over w as second, lead(body, 2) over w as third
+  from solid window w as (partition by doc_id order by place)
 ), windows as (
-  select doc_id, i as a, coalesce(i3, i2, i) as b,
-         least(n, 3) as width, line, second, third
-  from numbered where k <= greatest(n - 2, 1)
+  select doc_id, k, place, least(n, 3) as width, body, second, third from numbered where k <= greatest(n - 2, 1)
 ), ranked as (
-  select *, row_number() over (partition by width, line, second, third order by doc_id, a) as seen from windows
+  select *, row_number() over (partition by width, body, second, third order by doc_id, place) as seen from windows
 ), covered as (
-  select distinct doc_id, unnest(generate_series(a, b)) as i from ranked where seen > 1
+  select distinct doc_id, unnest(generate_series(k, k + width - 1)) as k from ranked where seen > 1
+), marked as (
+  select u.doc_id, u.i, u.j, u.piece, n.k, c.k is not null as gone
+  from units u left join numbered n on n.doc_id = u.doc_id and n.i = u.i and n.j = u.j
+  left join covered c on c.doc_id = n.doc_id and c.k = n.k
+), placed as (
+  -- Blank lines between covered pieces of one window go with them.
+  select *, max(k) over (partition by doc_id order by i, j) as before from marked
+), joined_windows as (
+  select distinct doc_id, unnest(generate_series(k, k + width - 2)) as k from ranked where seen > 1
+), kept as (
+  select p.doc_id, p.i, string_agg(p.piece, '' order by p.j) as line from placed p
+  where not p.gone and not (p.k is null and exists (select 1 from joined_windows w where w.doc_id = p.doc_id and w.k = p.before))
+  group by p.doc_id, p.i
 ), left_over as (
-  select r.doc_id, string_agg(r.line, chr(10) order by r.i) as text
-  from raw r where not exists (select 1 from covered c where c.doc_id = r.doc_id and c.i = r.i)
-  group by r.doc_id
+  select doc_id, string_agg(line, chr(10) order by i) as text from kept group by doc_id
 ), counts as (
-  select s.doc_id, count(*) as n_lines, count(c.i) as n_removed
-  from solid s left join covered c on c.doc_id = s.doc_id and c.i = s.i group by s.doc_id
+  select doc_id, count(*) as n_lines, sum(all_gone) as n_removed from (
+    select doc_id, i, case when bool_and(gone) then 1 else 0 end as all_gone from marked where k is not null group by doc_id, i
+  ) group by doc_id
 )
 select d.doc_id, case when d.text is null then null else coalesce(l.text, '') end as text,
        cast(coalesce(c.n_lines, 0) as bigint) as n_lines, cast(coalesce(c.n_removed, 0) as bigint) as n_removed

@@ -1,26 +1,51 @@
 import random
+import re
 
 from datasonde.llm.line_dedup import dedup_lines, without_repeats
 
 BLANK = " \t\n\x0b\x0c\r"
 
 
+def pieces(line):
+    """A line with more than 16 words in pieces of 5 to 12 words up to a mark or certain letters, else of 13; all of it."""
+    spans = [m.span() for m in re.finditer(r"[^ \t-\r]+", line)]
+    if len(spans) <= 16:
+        return [line]
+    out, begin, first = [], 0, 0
+    while first < len(spans):
+        ends = [k for k in range(first + 4, min(first + 12, len(spans))) if line[spans[k][1] - 1] in ".!?,;:egklpu\u0430\u043a\u043b\u043f"]
+        last = ends[0] if ends else min(first + 13, len(spans)) - 1
+        end = spans[last + 1][0] if last + 1 < len(spans) else len(line)
+        out.append(line[begin:end])
+        begin, first = end, last + 1
+    return out
+
+
 def brute(rows):
-    """(id, text) -> text without the lines of windows that occurred before."""
+    """(id, text) -> text without the pieces of windows that occurred before."""
     windows, cut = {}, {}
+    split = {t: [(i, p) for i, line in enumerate(t.split("\n")) for p in pieces(line)] for _, t in rows if t is not None}
     for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         if text is None:
             continue
-        lines = [(i, s.strip(BLANK)) for i, s in enumerate(text.split("\n")) if s.strip(BLANK)]
-        for p in range(max(len(lines) - 2, 1) if lines else 0):
-            part = lines[p : p + 3]
+        solid = [(k, p.strip(BLANK)) for k, (_, p) in enumerate(split[text]) if p.strip(BLANK)]
+        for p in range(max(len(solid) - 2, 1) if solid else 0):
+            part = solid[p : p + 3]
             windows.setdefault(tuple(s for _, s in part), []).append((doc, text, part[0][0], part[-1][0]))
     for places in windows.values():
         first = (places[0][0], places[0][1], places[0][2])
         for doc, text, a, b in places:
             if (doc, text, a) != first:
                 cut.setdefault((doc, text), set()).update(range(a, b + 1))
-    return [(d, t if t is None or (d, t) not in cut else "\n".join(s for i, s in enumerate(t.split("\n")) if i not in cut[d, t])) for d, t in rows]
+
+    def rest(doc, text):
+        lines = {}
+        for k, (i, p) in enumerate(split[text]):
+            if k not in cut[doc, text]:
+                lines[i] = lines.get(i, "") + p
+        return "\n".join(lines.values())
+
+    return [(d, t if t is None or (d, t) not in cut else rest(d, t)) for d, t in rows]
 
 
 def run(spark, rows):
@@ -34,6 +59,34 @@ def test_random_texts_match_brute_force(spark):
     assert run(spark, rows) == sorted(brute(rows), key=repr)
 
 
+def test_passages_within_long_lines_match_brute_force(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("aeinst") for _ in range(rng.randint(1, 6))) + rng.choice(["", "", "", ",", "."])
+    shared = [" ".join(word() for _ in range(rng.randint(30, 90))) for _ in range(8)]
+    some = lambda n: " ".join(word() for _ in range(rng.randint(0, n)))
+    part = lambda: rng.choice([some(40), rng.choice(shared), rng.choice(shared) + rng.choice([" ", "  ", "\t"]) + some(9)])
+    rows = [(i, "\n".join(rng.choice(["", " "]) + some(12) + " " + part() for _ in range(rng.randint(0, 5)))) for i in range(80)]
+    want = brute(rows)
+    assert run(spark, rows) == sorted(want, key=repr)
+    assert sum(a != b for a, b in zip(rows, want)) > 40
+
+
+def test_a_long_line_in_many_documents_stays_once(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("bcdefghilmnoprstu") for _ in range(6))
+    line = " ".join(word() for _ in range(80))
+    own = [[" ".join(word() for _ in range(30)) for _ in range(6)] for _ in range(5)]
+    whole = [(i, "\n".join([*own[i][:3], line, *own[i][3:]])) for i in range(5)]
+    got = dict(run(spark, whole))
+    assert got[0] == whole[0][1]
+    assert all(got[i] == "\n".join(own[i]) for i in range(1, 5))
+    inside = [(i, "\n".join([own[i][0] + " " + line + " " + own[i][1], *own[i][2:]])) for i in range(5)]
+    got = dict(run(spark, inside))
+    left = [len(set(line.split()) & set(got[i].split())) for i in range(5)]
+    assert left[0] == 80 and max(left[1:]) <= 26  # at most a piece at each end
+    assert all(set(" ".join(own[i]).split()) <= set(got[i].split()) for i in range(5))
+
+
 def test_first_text_of_a_line_stays(spark):
     rows = [(1, "A\nA\nA\nA\nA"), (2, "x\ny\nz\nw"), (3, "q\nx\ny\nz\nr")]
     assert run(spark, rows) == [(1, "A"), (2, "x\ny\nz\nw"), (3, "q\nr")]
