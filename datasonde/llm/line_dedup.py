@@ -2,7 +2,7 @@
 
 Every document gives overlapping windows of three consecutive lines; blank lines are passed
 over, and a document of one or two lines is one window. A line of more than 16 words is first
-cut into shorter ones, of 5 to 13 words, where the text itself says so: after a mark or a final
+cut into shorter ones, of 9 to 16 words, where the text itself says so: after a mark or a final
 letter that every fourth word or so has. So a passage inside one long line is cut alike wherever
 it stands, but for its first and last piece, and one of over 50 words has windows of its own.
 
@@ -31,14 +31,14 @@ from pyspark.sql import functions as F
 from datasonde.llm.columns import ASCII_SPACE, packed, unpacked
 
 WINDOW_LINES = 3
-# A line in pieces, which hold all of it: whole if it has at most 16 words, else up to the first of the words 5 to 12
-# that ends in a mark or one of ten letters, which end a quarter of the words of most languages, else 13 words.
+# A line in pieces, which hold all of it: whole if it has at most 16 words, else up to the first of the words 9 to 16
+# that ends in a mark or one of ten letters, which end a quarter of the words of most languages, else 16 words.
 _SPACE, _WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 _ENDED = rf"(?:{_SPACE}+|\z)"
 PIECE = (
     rf"\A{_SPACE}*(?:{_WORD}+{_ENDED}){{0,16}}\z"
-    rf"|{_SPACE}*(?:{_WORD}+{_SPACE}+){{4,11}}?{_WORD}*[.!?,;:egklpu\x{{0430}}\x{{043A}}\x{{043B}}\x{{043F}}]{_ENDED}"
-    rf"|{_SPACE}*(?:{_WORD}+{_ENDED}){{1,13}}"
+    rf"|{_SPACE}*(?:{_WORD}+{_SPACE}+){{8,15}}?{_WORD}*[.!?,;:egklpu\x{{0430}}\x{{043A}}\x{{043B}}\x{{043F}}]{_ENDED}"
+    rf"|{_SPACE}*(?:{_WORD}+{_ENDED}){{1,16}}"
 )
 
 

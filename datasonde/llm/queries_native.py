@@ -18,7 +18,7 @@ with raw as (
 ), cut as (
   select doc_id, i, case
     when len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) <= 16 then [line]
-    else regexp_extract_all(line, '[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){4,11}?[^\x20\x09-\x0D]*[.!?,;:egklpu\x{0430}\x{043A}\x{043B}\x{043F}](?:[\x20\x09-\x0D]+|\z)|[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+|\z)){1,13}')
+    else regexp_extract_all(line, '[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){8,15}?[^\x20\x09-\x0D]*[.!?,;:egklpu\x{0430}\x{043A}\x{043B}\x{043F}](?:[\x20\x09-\x0D]+|\z)|[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+|\z)){1,16}')
     end as pieces
   from raw
 ), units as (

@@ -7,14 +7,14 @@ BLANK = " \t\n\x0b\x0c\r"
 
 
 def pieces(line):
-    """A line with more than 16 words in pieces of 5 to 12 words up to a mark or certain letters, else of 13; all of it."""
+    """A line with more than 16 words in pieces of 9 to 16 words up to a mark or certain letters, else of 16; all of it."""
     spans = [m.span() for m in re.finditer(r"[^ \t-\r]+", line)]
     if len(spans) <= 16:
         return [line]
     out, begin, first = [], 0, 0
     while first < len(spans):
-        ends = [k for k in range(first + 4, min(first + 12, len(spans))) if line[spans[k][1] - 1] in ".!?,;:egklpu\u0430\u043a\u043b\u043f"]
-        last = ends[0] if ends else min(first + 13, len(spans)) - 1
+        ends = [k for k in range(first + 8, min(first + 16, len(spans))) if line[spans[k][1] - 1] in ".!?,;:egklpu\u0430\u043a\u043b\u043f"]
+        last = ends[0] if ends else min(first + 16, len(spans)) - 1
         end = spans[last + 1][0] if last + 1 < len(spans) else len(line)
         out.append(line[begin:end])
         begin, first = end, last + 1
@@ -83,7 +83,7 @@ def test_a_long_line_in_many_documents_stays_once(spark):
     inside = [(i, "\n".join([own[i][0] + " " + line + " " + own[i][1], *own[i][2:]])) for i in range(5)]
     got = dict(run(spark, inside))
     left = [len(set(line.split()) & set(got[i].split())) for i in range(5)]
-    assert left[0] == 80 and max(left[1:]) <= 26  # at most a piece at each end
+    assert left[0] == 80 and max(left[1:]) <= 45  # what comes before the first cut that both share, and the last piece
     assert all(set(" ".join(own[i]).split()) <= set(got[i].split()) for i in range(5))
 
 
