@@ -6,7 +6,7 @@ cut into shorter ones, of 9 to 16 words, where the text itself says so: after a
 letter that every fourth word or so has. So a passage inside one long line is cut alike wherever
 it stands, but for its first and last piece, and one of over 50 words has windows of its own.
 
-Windows are hashed to 128 bits and counted over the whole corpus. The first occurrence, by
+Windows are hashed to 96 bits and counted over the whole corpus. The first occurrence, by
 (id, position), stays; every later one covers its lines, covered positions are merged, and
 those lines are removed. Pieces of a line that stay are one line as before.
 
@@ -71,7 +71,7 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW_LINES) -> DataFrame:
         units = [F.get(F.col("units"), p + k) for k in range(width)]
         return F.struct(
             F.xxhash64(*(u.h1 for u in units)).alias("h1"),
-            F.xxhash64(*(u.h2 for u in units)).alias("h2"),
+            F.hash(*(u.h2 for u in units)).alias("h2"),
             units[0].at.alias("a"),
             F.coalesce(*(u.at for u in reversed(units))).alias("b"),
         )
@@ -92,8 +92,9 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     body = F.col(f"`{text}`")
     found = repeated_windows(docs.select(F.col(f"`{key}`").alias("id"), body.alias("text")), width)
     found = found.select(F.col("id").alias("of"), F.col("digest").alias("of_digest"), "ranges")
-    rows = packed(docs, id=F.col(f"`{key}`"), digest=F.xxhash64(body), text=body)
+    rows = packed(docs, id=F.col(f"`{key}`"), digest=F.xxhash64(body))
     joined = rows.join(found, F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("of_digest")), "left")
+    joined = joined.withColumn("text", F.col("row").getField(text))  # shuffled once, within its row
     changed = F.col("ranges").isNotNull()
     joined = joined.withColumn("pieces", F.when(changed, _pieces(F.col("text"))))
     covered = F.array_distinct(F.flatten(F.transform("ranges", lambda r: F.sequence(r.a, r.b))))
