@@ -33,39 +33,38 @@ from datasonde.llm.columns import ASCII_SPACE, packed, unpacked
 WINDOW_LINES = 3
 # A line in pieces, which hold all of it: whole if it has at most 16 words, else up to the first of the words 9 to 16
 # that ends in a mark or one of ten letters, which end a quarter of the words of most languages, else 16 words.
-_SPACE, _WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
-_ENDED = rf"(?:{_SPACE}+|\z)"
-PIECE = (
-    rf"\A{_SPACE}*(?:{_WORD}+{_ENDED}){{0,16}}\z"
-    rf"|{_SPACE}*(?:{_WORD}+{_SPACE}+){{8,15}}?{_WORD}*[.!?,;:egklpu\x{{0430}}\x{{043A}}\x{{043B}}\x{{043F}}]{_ENDED}"
-    rf"|{_SPACE}*(?:{_WORD}+{_ENDED}){{1,16}}"
-)
+# \s and \S are ASCII white space and anything else. No match is given back, so a word is read once, the first 16 of a long line twice.
+_WORD_ENDED = r"(?>\S+(?:\s+|\z))"
+_GOES_ON = r"(?>(?>\S+)(?<![.!?,;:egklpu\x{0430}\x{043A}\x{043B}\x{043F}])\s+)"
+PIECE = rf"\A\s*+{_WORD_ENDED}{{0,16}}+\z|\s*+{_WORD_ENDED}{{1,8}}+{_GOES_ON}{{0,7}}+{_WORD_ENDED}?+"
+
+
+def _line_pieces(line: Column) -> Column:
+    """A line, in pieces if it is long."""
+    return F.regexp_extract_all(line, F.lit(PIECE), F.lit(0))
 
 
 def _pieces(text: Column) -> Column:
     """(line, piece) of a text: its lines, long ones in pieces."""
-    cut = F.transform(
-        F.split(text, "\n"),
-        lambda line, i: F.transform(F.regexp_extract_all(line, F.lit(PIECE), F.lit(0)), lambda p: F.struct(i.alias("line"), p.alias("piece"))),
-    )
-    return F.flatten(cut)
+    return F.flatten(F.transform(F.split(text, "\n"), lambda line, i: F.transform(_line_pieces(line), lambda p: F.struct(i.alias("line"), p.alias("piece")))))
 
 
 def _line_count(text: Column) -> Column:
     """Lines that aren't blank; a missing text has none."""
-    return F.coalesce(F.size(F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(ASCII_SPACE)) != "")), F.lit(0))
+    return F.coalesce(F.regexp_count(text, F.lit(r"\S[^\n]*")), F.lit(0))
 
 
 def repeated_windows(docs: DataFrame, width: int = WINDOW_LINES) -> DataFrame:
     """(id, digest, ranges) for documents of (id, text): ranges of pieces whose windows occurred before."""
-    rows = docs.filter(F.col("text").isNotNull()).select("id", F.xxhash64("text").alias("digest"), _pieces(F.col("text")).alias("pieces"))
+    bodies = F.transform(F.flatten(F.transform(F.split("text", "\n"), _line_pieces)), lambda p: F.btrim(p, F.lit(ASCII_SPACE)))
 
-    def hashed(p: Column, i: Column) -> Column:
-        body = F.btrim(p.piece, F.lit(ASCII_SPACE))
+    def hashed(body: Column, i: Column) -> Column:
         return F.when(body != "", F.struct(i.alias("at"), F.xxhash64(body).alias("h1"), F.xxhash64(F.lit(1), body).alias("h2")))
 
-    rows = rows.select("id", "digest", F.filter(F.transform("pieces", hashed), lambda x: x.isNotNull()).alias("units")).filter(F.size("units") > 0)
-    starts = F.sequence(F.lit(0), F.greatest(F.size("units") - width, F.lit(0)))
+    units = F.filter(F.transform(bodies, hashed), lambda x: x.isNotNull())
+    rows = docs.filter(F.col("text").isNotNull()).select("id", F.xxhash64("text").alias("digest"), units.alias("units"))
+    # Not a filter on the units: Spark would move it below them and cut each text twice.
+    starts = F.when(F.size("units") > 0, F.sequence(F.lit(0), F.greatest(F.size("units") - width, F.lit(0))))
 
     def window(p: Column) -> Column:
         units = [F.get(F.col("units"), p + k) for k in range(width)]
@@ -104,9 +103,9 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     before = F.concat(F.array(F.lit(None).cast("int")), F.col("left.line"))
     parts = F.zip_with("left", before, lambda p, line: F.concat(F.when(line != p.line, "\n").otherwise(""), p.piece))
     joined = joined.withColumn("new_text", F.when(changed, F.array_join(parts, "")).otherwise(F.col("text")))
-    n_lines = _line_count(F.col("text"))
-    gone = F.when(changed, n_lines - _line_count(F.col("new_text"))).otherwise(0)
-    return joined.select("row", "new_text", changed.alias("changed"), n_lines.alias("n_lines"), gone.alias("n_removed"))
+    joined = joined.withColumn("n_lines", _line_count(F.col("text")))
+    gone = F.when(changed, F.col("n_lines") - _line_count(F.col("new_text"))).otherwise(0)
+    return joined.select("row", "new_text", changed.alias("changed"), "n_lines", gone.alias("n_removed"))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", length: str | None = "n_chars", width: int = WINDOW_LINES) -> DataFrame:

@@ -1,7 +1,9 @@
 import random
 import re
 
-from datasonde.llm.line_dedup import dedup_lines, without_repeats
+from pyspark.sql import functions as F
+
+from datasonde.llm.line_dedup import PIECE, _pieces, dedup_lines, without_repeats
 
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -112,3 +114,24 @@ def test_odd_rows(spark, odd, none):
 def test_no_python_in_the_plan(spark, odd):
     plan = dedup_lines(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_each_text_is_cut_once_for_each_use(spark, odd):
+    # The windows to count, the windows to compare, and the texts to change; a filter on what is cut would cut again.
+    plan = without_repeats(odd)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(PIECE) == 3
+
+
+def test_pieces_of_lines_with_odd_words_and_spaces(spark):
+    rng = random.Random(8)
+    ends = [*"egklpu.,;:!?", *"abdz9)", "\u0430", "\u043b", "\u0436", "\xe9", "\u4e2d", "\U0001f600", "\xa0", "\x85", "\u2003", "e.", "\u0430\u0301"]
+    word = lambda: "".join(rng.choice("abcdfhij\u0431\xa0") for _ in range(rng.randint(0, 3))) + rng.choice(ends)
+    space = lambda: "".join(rng.choice(BLANK) for _ in range(rng.choice([1, 1, 1, 2, 3])))
+    line = lambda n: rng.choice(["", space()]) + "".join(word() + space() for _ in range(n - 1)) + word() * (n > 0) + rng.choice(["", space()])
+    texts = ["\n".join(line(rng.choice([0, 1, 7, 8, 9, 15, 16, 17, 18, 24, 25, 33, rng.randint(0, 70)])) for _ in range(6)) for _ in range(300)]
+    texts += ["", " ", "\n", "x" * 40000, "b " * 5000, "e " * 5000 + "\t" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [tuple(p) for p in r.pieces] for r in df.select("doc_id", _pieces(F.col("text")).alias("pieces")).collect()}
+    assert got == {k: [(i, p) for i, line in enumerate(t.split("\n")) for p in pieces(line)] for k, t in enumerate(texts)}
+    counted = {r.doc_id: r.n_lines for r in without_repeats(df).select("row.doc_id", "n_lines").collect()}
+    assert counted == {k: sum(x.strip(BLANK) != "" for x in t.split("\n")) for k, t in enumerate(texts)}
